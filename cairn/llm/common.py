@@ -172,3 +172,44 @@ def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bo
         out[i:j] = (sums[e] - sums[s]) * inverse[s] + (e - s).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)
         i = j
     return mix(out)
+
+
+# ---- joins -----------------------------------------------------------------
+
+#: A side of a join is broadcast up to this many bytes, found by counting its rows.
+BROADCAST_BYTES = 32 << 20
+#: A key with more than a HOT-th of all rows is dealt out; so there are at most HOT such keys.
+HOT = 500
+
+
+def row_bytes(df: DataFrame) -> int:
+    """An estimate of a row's bytes in memory, for tables of short columns."""
+    return 48 + sum(8 if isinstance(f.dataType, T.NumericType) else 64 for f in df.schema.fields)
+
+
+def fits(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether a written table of short columns may be broadcast."""
+    most = limit // row_bytes(df)
+    return df.limit(most + 1).count() <= most
+
+
+def sized_join(rows: DataFrame, small: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """rows joined with small, which is broadcast if it fits and shuffled if not."""
+    return rows.join(F.broadcast(small) if fits(small) else small, keys, how)
+
+
+def dealt_join(rows: DataFrame, unique: DataFrame, keys: list[str], n: str, total: int) -> DataFrame:
+    """Inner join of rows with the one row that unique has for each key.
+
+    Column n of unique says how many rows have the key, of total. Keys with more
+    than a HOT-th of them are dealt out: both sides get a salt, and the row of
+    unique is repeated for each salt. The list of hot keys has HOT entries at
+    most, so it can be broadcast.
+    """
+    if fits(unique):
+        return rows.join(F.broadcast(unique), keys)
+    parts = F.ceil(F.col(n) * HOT / F.lit(max(total, 1))).cast("int")
+    hot = unique.where(F.col(n) * HOT > F.lit(total)).select(*keys, parts.alias("_parts"))
+    spread = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(*[c for c in rows.columns if c not in keys]), F.col("_parts")).cast("int"), F.lit(0))).drop("_parts")
+    repeated = unique.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(F.col(n) * HOT > F.lit(total), parts - 1).otherwise(F.lit(0)))))
+    return spread.join(repeated, [*keys, "_salt"]).drop("_salt")

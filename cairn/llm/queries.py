@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import quality_mil, toxicity
+from cairn.llm import exact_lsm, mixing, quality_mil, quality_rules, toxicity
 from cairn.llm.common import remainder, table
 
 
@@ -19,6 +19,11 @@ def op1_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= quality_mil.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judged(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = F.coalesce(remainder(F.col("doc_id"), 3) == 1, F.lit(False))
@@ -27,11 +32,29 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op7_exact_lsm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_lsm.dedup(table(spark, sf_dir, "documents"))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.selection(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_mil": op1_quality_mil,
+    "op4_quality_rules": op4_quality_rules,
     "op6_toxicity": op6_toxicity,
+    "op7_exact_lsm": op7_exact_lsm,
+    "op9_mixing": op9_mixing,
+}
+ORACLE: dict[str, str] = {
+    "op7_exact_lsm": r"""
+WITH n AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
+SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept, text_sha256
+FROM n WINDOW g AS (PARTITION BY text_sha256)
+""",
+    "op9_mixing": mixing.ORACLE,
 }
-ORACLE: dict[str, str] = {}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
