@@ -2,9 +2,12 @@
 
 Rules look at counts of a text and vote for keeping it, against it, or
 abstain. How often each rule is right isn't given: expectation-maximisation
-over the vote patterns of the whole corpus estimates it together with the share
-of good texts, and a text stays if its posterior probability of being good
-reaches KEEP, instead of having to pass every rule.
+over the vote patterns of the whole corpus estimates, for each rule, how often
+it votes for good texts and against bad ones where it votes, together with the
+share of good texts. A text stays if its posterior probability of being good
+reaches KEEP, instead of having to pass every rule. Two accuracies for a rule,
+since one that is silent on most bad texts can still be almost sure where it
+votes against one.
 
 Only DataFrame operations; words, windows and lines of a text are arrays, and a
 text's repeated windows are found by sorting its own array. What reaches the
@@ -25,8 +28,9 @@ from pyspark.sql import functions as F
 from cairn.llm.common import SPACE, written
 
 KEEP, ROUNDS = 0.5, 60
-#: Starting estimates: a rule's accuracy where it votes, and the share of good texts.
-ACCURACY, GOOD = 0.8, 0.8
+#: Starting estimates: a rule's accuracies on good and on bad texts, and the share of good texts. They
+#: count as votes on a share PRIOR of all texts: rules are written so that they seldom fire on good ones.
+ON_GOOD, ON_BAD, GOOD, PRIOR = 0.995, 0.3, 0.85, 0.5
 WINDOW = 8
 
 
@@ -65,6 +69,7 @@ def features(docs: DataFrame) -> DataFrame:
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.size("lines").cast("long").alias("n_lines"),
         (F.length("text") - F.length(F.regexp_replace("text", r"[A-Z]+", ""))).cast("long").alias("n_upper"),
+        F.length(F.regexp_replace("text", r"[^\p{L}]+", "")).cast("long").alias("n_letters"),
         F.transform("words", lambda w: F.xxhash64(w)).alias("h"),
     )
     pair = lambda a, k: F.zip_with(a, F.slice(a, k + 1, F.greatest(F.size(a) - k, F.lit(0))), lambda x, y: F.xxhash64(x, y))
@@ -83,7 +88,8 @@ def rules() -> dict[str, tuple[Column, Column]]:
         "length": (c("n_words") < 20, (c("n_words") >= 50) & (c("n_words") <= 200000)),
         "word_length": ((c("word_chars") < 2 * c("n_words")) | (c("word_chars") > 15 * c("n_words")), (c("word_chars") >= 3 * c("n_words")) & (c("word_chars") <= 11 * c("n_words"))),
         "symbols": (10 * c("n_symbols") > c("n_words"), 100 * c("n_symbols") <= c("n_words")),
-        "lines": (10 * c("n_dup_lines") > 3 * c("n_lines"), (c("n_dup_lines") == 0) & (c("n_lines") >= 2)),
+        "letters": ((100 * c("n_letters") < 88 * c("word_chars")) & (c("n_words") >= 60), 100 * c("n_letters") >= 93 * c("word_chars")),
+        "lines": (2 * c("n_dup_lines") > c("n_lines"), (c("n_dup_lines") == 0) & (c("n_lines") >= 2)),
         "repeats": (5 * c("n_repeat_words") > c("n_words"), (20 * c("n_repeat_words") <= c("n_words")) & (c("n_words") >= 50)),
         "upper": (5 * c("n_upper") > c("word_chars"), 20 * c("n_upper") <= c("word_chars")),
         "variety": ((4 * c("n_unique") < c("n_words")) & (c("n_words") < 2000), (2 * c("n_unique") > c("n_words")) & (c("n_words") >= 20)),
@@ -96,26 +102,37 @@ def votes(counts: DataFrame) -> DataFrame:
     return counts.withColumns({f"v_{k}": F.when(some & against, -1).when(some & favour, 1).otherwise(0) for k, (against, favour) in rules().items()})
 
 
-def estimate(patterns: list[tuple[tuple[int, ...], int]], n_rules: int) -> tuple[float, list[float]]:
-    """The share of good texts and each rule's accuracy where it votes, by EM over (votes, texts)."""
-    good, acc = GOOD, [ACCURACY] * n_rules
+def estimate(patterns: list[tuple[tuple[int, ...], int]], n_rules: int) -> tuple[float, list[tuple[float, float]]]:
+    """The share of good texts and each rule's accuracies on good and bad texts, by EM over (votes, texts)."""
+    good, acc = GOOD, [(ON_GOOD, ON_BAD)] * n_rules
+    prior = max(1.0, PRIOR * sum(n for _, n in patterns))
+    sure = (prior * GOOD, prior * (1 - GOOD))
     for _ in range(ROUNDS):
-        right, cast, mass, total = [1.0] * n_rules, [1.0 / ACCURACY] * n_rules, GOOD, 1.0
+        right = [[sure[0] * ON_GOOD, sure[1] * ON_BAD] for _ in range(n_rules)]
+        cast = [[*sure] for _ in range(n_rules)]
+        mass, total = prior * GOOD, prior
         for pattern, n in patterns:
             p = posterior(pattern, good, acc)
             mass, total = mass + n * p, total + n
             for k, v in enumerate(pattern):
                 if v:
-                    right[k] += n * (p if v > 0 else 1 - p)
-                    cast[k] += n
+                    cast[k][0] += n * p
+                    cast[k][1] += n * (1 - p)
+                    right[k][v < 0] += n * (p if v > 0 else 1 - p)
         good = min(max(mass / total, 0.01), 0.99)
-        acc = [min(max(r / c, 0.05), 0.995) for r, c in zip(right, cast, strict=True)]
+        acc = [tuple(min(max(r / c, 1e-4), 1 - 1e-4) for r, c in zip(rs, cs, strict=True)) for rs, cs in zip(right, cast, strict=True)]
     return good, acc
 
 
-def posterior(pattern: tuple[int, ...], good: float, acc: list[float]) -> float:
-    z = math.log(good / (1 - good)) + sum(v * math.log(a / (1 - a)) for v, a in zip(pattern, acc, strict=True))
-    return 1 / (1 + math.exp(-z))
+def weights(accuracies: tuple[float, float]) -> tuple[float, float]:
+    """What a rule's vote against and its vote for add to the log-odds of good."""
+    a, b = accuracies
+    return math.log((1 - a) / b), math.log(a / (1 - b))
+
+
+def posterior(pattern: tuple[int, ...], good: float, acc: list[tuple[float, float]]) -> float:
+    z = math.log(good / (1 - good)) + sum(weights(a)[v > 0] for v, a in zip(pattern, acc, strict=True) if v)
+    return 1 / (1 + math.exp(-max(min(z, 500), -500)))
 
 
 def judged(docs: DataFrame) -> DataFrame:
@@ -126,7 +143,8 @@ def judged(docs: DataFrame) -> DataFrame:
     good, acc = estimate([(tuple(r[:-1]), r["n"]) for r in found], len(names))
     z = F.lit(math.log(good / (1 - good)))
     for k, a in zip(names, acc, strict=True):
-        z = z + F.col(k) * F.lit(math.log(a / (1 - a)))
+        against, favour = weights(a)
+        z = z + F.when(F.col(k) < 0, F.lit(against)).when(F.col(k) > 0, F.lit(favour)).otherwise(F.lit(0.0))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     out = rated.withColumn("posterior", 1 / (1 + F.exp(-z))).withColumn("base_failed", failed)
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= KEEP))
