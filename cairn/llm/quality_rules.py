@@ -90,7 +90,7 @@ def rules() -> dict[str, tuple[Column, Column]]:
         "symbols": (10 * c("n_symbols") > c("n_words"), 100 * c("n_symbols") <= c("n_words")),
         "letters": ((100 * c("n_letters") < 88 * c("word_chars")) & (c("n_words") >= 60), 100 * c("n_letters") >= 93 * c("word_chars")),
         "lines": (2 * c("n_dup_lines") > c("n_lines"), (c("n_dup_lines") == 0) & (c("n_lines") >= 2)),
-        "repeats": (5 * c("n_repeat_words") > c("n_words"), (20 * c("n_repeat_words") <= c("n_words")) & (c("n_words") >= 50)),
+        "repeats": (4 * c("n_repeat_words") > c("n_words"), (20 * c("n_repeat_words") <= c("n_words")) & (c("n_words") >= 50)),
         "upper": (5 * c("n_upper") > c("word_chars"), 20 * c("n_upper") <= c("word_chars")),
         "variety": ((4 * c("n_unique") < c("n_words")) & (c("n_words") < 2000), (2 * c("n_unique") > c("n_words")) & (c("n_words") >= 20)),
     }
