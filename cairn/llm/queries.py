@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import exact_lsm, mixing, quality_mil, quality_rules, toxicity
+from cairn.llm import exact_lsm, line_cuckoo, mixing, quality_mil, quality_rules, toxicity
 from cairn.llm.common import remainder, table
 
 
@@ -19,6 +19,10 @@ def op1_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= quality_mil.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op3_line_cuckoo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_cuckoo.deduped(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judged(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
@@ -42,12 +46,14 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_mil": op1_quality_mil,
+    "op3_line_cuckoo": op3_line_cuckoo,
     "op4_quality_rules": op4_quality_rules,
     "op6_toxicity": op6_toxicity,
     "op7_exact_lsm": op7_exact_lsm,
     "op9_mixing": op9_mixing,
 }
 ORACLE: dict[str, str] = {
+    "op3_line_cuckoo": line_cuckoo.ORACLE,
     "op7_exact_lsm": r"""
 WITH n AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
 SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept, text_sha256
