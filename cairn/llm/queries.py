@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import exact_lsm, line_cuckoo, mixing, quality_mil, quality_rules, toxicity
+from cairn.llm import exact_lsm, line_cuckoo, lm_bloom, mixing, quality_mil, quality_rules, toxicity
 from cairn.llm.common import remainder, table
 
 
@@ -44,6 +44,13 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.selection(table(spark, sf_dir, "documents"))
 
 
+def op10_lm_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = F.coalesce(remainder(F.col("doc_id"), 7) == 2, F.lit(False))
+    scores = lm_bloom.scored(docs, remainder(F.col("doc_id"), 7) != 2)
+    return scores.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_mil": op1_quality_mil,
     "op3_line_cuckoo": op3_line_cuckoo,
@@ -51,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_toxicity": op6_toxicity,
     "op7_exact_lsm": op7_exact_lsm,
     "op9_mixing": op9_mixing,
+    "op10_lm_bloom": op10_lm_bloom,
 }
 ORACLE: dict[str, str] = {
     "op3_line_cuckoo": line_cuckoo.ORACLE,
