@@ -198,15 +198,16 @@ def sized_join(rows: DataFrame, small: DataFrame, keys: list[str], how: str = "i
     return rows.join(F.broadcast(small) if fits(small) else small, keys, how)
 
 
-def dealt_join(rows: DataFrame, unique: DataFrame, keys: list[str], n: str, total: int) -> DataFrame:
+def dealt_join(rows: DataFrame, unique: DataFrame, keys: list[str], n: str, total: int, short: bool = True) -> DataFrame:
     """Inner join of rows with the one row that unique has for each key.
 
     Column n of unique says how many rows have the key, of total. Keys with more
     than a HOT-th of them are dealt out: both sides get a salt, and the row of
     unique is repeated for each salt. The list of hot keys has HOT entries at
-    most, so it can be broadcast.
+    most, so it can be broadcast. short: unique has short columns, and is
+    broadcast itself if it fits.
     """
-    if fits(unique):
+    if short and fits(unique):
         return rows.join(F.broadcast(unique), keys)
     parts = F.ceil(F.col(n) * HOT / F.lit(max(total, 1))).cast("int")
     hot = unique.where(F.col(n) * HOT > F.lit(total)).select(*keys, parts.alias("_parts"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import exact_lsm, line_cuckoo, lm_bloom, mixing, quality_mil, quality_rules, toxicity
+from cairn.llm import exact_lsm, line_cuckoo, lm_bloom, minhash_bayes, mixing, quality_mil, quality_rules, toxicity
 from cairn.llm.common import remainder, table
 
 
@@ -19,6 +19,10 @@ def op1_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= quality_mil.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op2_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_bayes.grouped(table(spark, sf_dir, "documents"), words=4)
+
+
 def op3_line_cuckoo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_cuckoo.deduped(table(spark, sf_dir, "documents"))
 
@@ -53,6 +57,7 @@ def op10_lm_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_mil": op1_quality_mil,
+    "op2_minhash_bayes": op2_minhash_bayes,
     "op3_line_cuckoo": op3_line_cuckoo,
     "op4_quality_rules": op4_quality_rules,
     "op6_toxicity": op6_toxicity,
