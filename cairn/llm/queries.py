@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import exact_lsm, line_cuckoo, lm_bloom, minhash_bayes, mixing, quality_mil, quality_rules, toxicity
+import corpus_pipeline
+from cairn.llm import chat, exact_lsm, line_cuckoo, lm_bloom, minhash_bayes, mixing, quality_mil, quality_rules, sentencepiece_trie, toxicity
 from cairn.llm.common import remainder, table
 
 
@@ -32,6 +33,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
 
 
+def op5_sentencepiece_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_trie.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), ids=False)
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = F.coalesce(remainder(F.col("doc_id"), 3) == 1, F.lit(False))
@@ -44,6 +49,10 @@ def op7_exact_lsm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_lsm.dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.collapsed(table(spark, sf_dir, "conversations"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.selection(table(spark, sf_dir, "documents"))
 
@@ -60,8 +69,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash_bayes": op2_minhash_bayes,
     "op3_line_cuckoo": op3_line_cuckoo,
     "op4_quality_rules": op4_quality_rules,
+    "op5_sentencepiece_trie": op5_sentencepiece_trie,
     "op6_toxicity": op6_toxicity,
     "op7_exact_lsm": op7_exact_lsm,
+    "op8_chat": op8_chat,
     "op9_mixing": op9_mixing,
     "op10_lm_bloom": op10_lm_bloom,
 }
@@ -72,13 +83,15 @@ WITH n AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\
 SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept, text_sha256
 FROM n WINDOW g AS (PARTITION BY text_sha256)
 """,
+    "op8_chat": chat.ORACLE,
     "op9_mixing": mixing.ORACLE,
 }
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
+    return {**QUERIES, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE)
+    sql = corpus_pipeline.ORACLE_SQL
+    return {**ORACLE, **({"pipeline": sql} if sql else {})}
