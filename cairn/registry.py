@@ -7,8 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-FLAGSHIP = "a01_capture_counts"
-MODULES: list[str] = []
+FLAGSHIP = "a01_job_dedup_summary"
+MODULES = ["archive"]
 
 
 def _modules():
