@@ -38,8 +38,8 @@ from cairn.llm.common import chunks, mix, word_hashes, word_spans, written
 
 BASE, LEVELS = 1.5, 64
 MIN_BIGRAM = 2
-BITS_PER_ITEM, PROBES = 10, 5
-SEGMENT_BITS, FILTER_BITS = 1 << 22, 1 << 31
+BITS_PER_ITEM, PROBES = 12, 5
+SEGMENT_BITS, BLOCK_BITS, FILTER_BITS = 1 << 22, 512, 1 << 31
 HEAD = 500_000
 #: Weight of the bigram estimate.
 BIGRAM_WEIGHT = 0.2
@@ -107,9 +107,18 @@ def values(least: int) -> np.ndarray:
     return np.array(out)
 
 
-def _bits(h: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray]:
-    g = mix(h + np.uint64(q * 0x632BE59BD9B4E019 & (2**64 - 1)))
-    return g & np.uint64(SEGMENT_BITS - 1), (g >> np.uint64(32)) | np.uint64(1)
+def _blocks(h: np.ndarray) -> np.ndarray:
+    """The first bit of each n-gram's block in its segment: all its levels lie in one block, one line of a processor's cache."""
+    return (h & np.uint64(SEGMENT_BITS // BLOCK_BITS - 1)) * np.uint64(BLOCK_BITS)
+
+
+def _bits(h: np.ndarray, q: int) -> np.ndarray:
+    """What the places of (n-gram, level) in the block are taken from, nine bits for each probe."""
+    return mix(h + np.uint64(q * 0x632BE59BD9B4E019 & (2**64 - 1)))
+
+
+def _place(g: np.ndarray, probe: int) -> np.ndarray:
+    return (g >> np.uint64(9 * probe)) & np.uint64(BLOCK_BITS - 1)
 
 
 def segment_of(h: np.ndarray, n: int) -> np.ndarray:
@@ -123,10 +132,10 @@ def built(rows: DataFrame, least: int, n_segments: int) -> DataFrame:
         h, q = pdf["h"].to_numpy().view(np.uint64), pdf["q"].to_numpy()
         on = np.zeros(SEGMENT_BITS, bool)
         for k in range(1, int(q.max()) + 1):
-            at, step = _bits(h[q >= k], k)
-            for _ in range(PROBES):
-                on[at.astype(np.int64)] = True
-                at = (at + step) & np.uint64(SEGMENT_BITS - 1)
+            own = h[q >= k]
+            block, g = _blocks(own), _bits(own, k)
+            for probe in range(PROBES):
+                on[(block + _place(g, probe)).astype(np.int64)] = True
         return pd.DataFrame({"seg": [int(pdf["seg"].iloc[0])], "bits": [np.packbits(on, bitorder="little").tobytes()]})
 
     seg = F.expr(f"cast(shiftrightunsigned(shiftrightunsigned(h, 32) * {n_segments}L, 32) as int)")
@@ -142,15 +151,14 @@ class Filter:
         out = np.zeros(len(h), np.int8)
         if not self.n:
             return out
-        base = segment_of(h, self.n) * np.uint64(SEGMENT_BITS)
+        base = segment_of(h, self.n) * np.uint64(SEGMENT_BITS) + _blocks(h)
         alive = np.arange(len(h))
         for q in range(1, LEVELS + 1):
-            at, step = _bits(h[alive], q)
-            for _ in range(PROBES):
-                where = base[alive] + at
-                hit = (self.bits[(where >> np.uint64(3)).astype(np.int64)] >> (where & np.uint64(7)).astype(np.uint8)) & 1 == 1
-                alive, at, step = alive[hit], at[hit], step[hit]
-                at = (at + step) & np.uint64(SEGMENT_BITS - 1)
+            g = _bits(h, q)
+            for probe in range(PROBES):
+                where = base + _place(g, probe)
+                hit = np.flatnonzero((self.bits[(where >> np.uint64(3)).view(np.int64)] >> (where & np.uint64(7)).astype(np.uint8)) & np.uint8(1))
+                alive, h, base, g = alive[hit], h[hit], base[hit], g[hit]
             if not len(alive):
                 break
             out[alive] = q
