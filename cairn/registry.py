@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 FLAGSHIP = "a01_job_dedup_summary"
-MODULES = ["archive", "scalars"]
+MODULES = ["archive", "scalars", "social"]
 
 
 def _modules():
