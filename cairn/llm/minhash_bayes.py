@@ -13,8 +13,8 @@ the bucket's smallest member, which joins most of a group with as many pairs as
 it has members. Then only members of one bucket that are still in different
 components are paired; all of those, so no link that a bucket holds is lost,
 while a large group of near copies, being one component by then, makes no pairs
-at all. Buckets of more than BLOCK members are compared in blocks by their
-signatures, and only pairs that survive leave the task.
+at all. Buckets of more than FEW members are compared and verified in pairs of
+blocks, and only links that join components leave such a task.
 
 Defined results: a null text counts as empty; a text without words has an empty
 set and is linked with nothing; with fewer words than a shingle has, the whole
@@ -44,7 +44,8 @@ HASHES = BANDS * ROWS
 PERCENT = 80
 #: Hashes compared at a time, and the posterior below which a pair is given up.
 STEP, MISS = 16, 1e-7
-BLOCK = 128
+#: Buckets of more than FEW members are compared in blocks of BLOCK, their sets COLUMNS shingles at a time.
+FEW, BLOCK, COLUMNS = 128, 512, 4096
 WORDS = 5
 
 _rng = np.random.default_rng(20240229)
@@ -201,26 +202,77 @@ def components(links: DataFrame) -> DataFrame:
         state = now
 
 
+def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all left sets with all right ones, by products of incidence matrices."""
+    ids, at = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+    rows = np.repeat(np.arange(len(left) + len(right)), [len(s) for s in [*left, *right]])
+    order = np.argsort(at, kind="stable")
+    at, rows = at[order], rows[order]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for lo in range(0, len(ids), COLUMNS):
+        a, b = np.searchsorted(at, [lo, lo + COLUMNS])
+        m = np.zeros((len(left) + len(right), COLUMNS), np.float32)
+        m[rows[a:b], at[a:b] - lo] = 1
+        out += m[: len(left)] @ m[len(left) :].T
+    return out.astype(np.int64)
+
+
+def joined_links(ids_a: np.ndarray, comp_a: np.ndarray, ids_b: np.ndarray, comp_b: np.ndarray, links: np.ndarray) -> list[tuple[int, int]]:
+    """As many of the links (a matrix) as join different components; the others follow from them."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            root[x] = x = root.get(up, up)
+        return x
+
+    out = []
+    for i, j in zip(*(k.tolist() for k in np.nonzero(links)), strict=True):
+        a, b = find(int(comp_a[i])), find(int(comp_b[j]))
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            x, y = int(ids_a[i]), int(ids_b[j])
+            out.append((min(x, y), max(x, y)))
+    return out
+
+
 def _blocks(members: DataFrame) -> DataFrame:
-    """Surviving pairs (a, b) of different components in large buckets; members: (band, key, c, id, comp, sig)."""
+    """Verified links (a, b) that join components in large buckets; members: (band, key, c, id, comp, sig, set).
+
+    A bucket's members are dealt into blocks, and each pair of blocks is one
+    group of 2 * BLOCK members at most. A pair is looked at in the first band
+    that it shares only. Signatures prune, full sets verify, and what leaves a
+    group is a forest: fewer links than members.
+    """
     least = least_matches()
     parts = F.ceil(F.col("c") / BLOCK).cast("int")
     mine = members.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("id"), "parts").cast("int"))
     dealt = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "comp", "sig")
+    dealt = dealt.select("band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "comp", "sig", "set")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
+        band, i, j = (int(pdf[c].iloc[0]) for c in ("band", "i", "j"))
         left, right = pdf[pdf["own"] == i], pdf[pdf["own"] == j]
         out: list[tuple[int, int]] = []
         if len(left) and len(right):
-            s = np.frombuffer(b"".join(map(bytes, right["sig"])), np.uint32).reshape(-1, HASHES)
-            ids, comp = right["id"].to_numpy(), right["comp"].to_numpy()
-            for x, c, sig in zip(left["id"], left["comp"], left["sig"], strict=True):
-                pick = np.flatnonzero((comp != c) & ((ids > x) if i == j else True))
+            sig = lambda p: np.frombuffer(b"".join(map(bytes, p["sig"])), np.uint32).reshape(-1, HASHES)
+            s, t = sig(left), sig(right)
+            ids_a, ids_b, comp_a, comp_b = (p[c].to_numpy() for c in ("id", "comp") for p in (left, right))
+            alive = np.zeros((len(s), len(t)), bool)
+            for k in range(len(s)):
+                pick = np.flatnonzero((comp_b != comp_a[k]) & ((ids_b > ids_a[k]) if i == j else True))
+                if band and len(pick):
+                    before = (t[pick, : band * ROWS] == s[k, : band * ROWS]).reshape(len(pick), band, ROWS)
+                    pick = pick[~before.all(2).any(1)]
                 if len(pick):
-                    one = np.broadcast_to(np.frombuffer(bytes(sig), np.uint32), (len(pick), HASHES))
-                    out += [(min(x, y), max(x, y)) for y in ids[pick[survive(one, s[pick], least)]].tolist()]
+                    alive[k, pick[survive(np.broadcast_to(s[k], (len(pick), HASHES)), t[pick], least)]] = True
+            a, b = np.flatnonzero(alive.any(1)), np.flatnonzero(alive.any(0))
+            if len(a):
+                sets = lambda p, at: [np.frombuffer(bytes(x), np.uint64) for x in p["set"].iloc[at]]
+                sets_a, sets_b = sets(left, a), sets(right, b)
+                both = common_counts(sets_a, sets_b)
+                whole = np.array([len(x) for x in sets_a])[:, None] + np.array([len(x) for x in sets_b]) - both
+                out = joined_links(ids_a[a], comp_a[a], ids_b[b], comp_b[b], alive[np.ix_(a, b)] & (100 * both >= PERCENT * whole))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return dealt.groupBy("band", "key", "i", "j").applyInPandas(run, "a long, b long")
@@ -250,18 +302,17 @@ def grouped(docs: DataFrame, words: int = WORDS) -> DataFrame:
     labelled = written(labelled, "near-labelled")
     mixed = labelled.groupBy("band", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band", "key")
     open_ = written(labelled.join(mixed, ["band", "key"]), "near-open")
-    few, many = open_.where(F.col("c") <= BLOCK), open_.where(F.col("c") > BLOCK)
+    few, many = open_.where(F.col("c") <= FEW), open_.where(F.col("c") > FEW)
     right = few.select("band", "key", F.col("id").alias("b"), F.col("comp").alias("comp_b"), F.col("n").alias("n_b"))
     pairs = few.select("band", "key", F.col("id").alias("a"), "comp", "n").join(right, ["band", "key"])
     alike = (100 * F.least("n", "n_b") >= PERCENT * F.greatest("n", "n_b")) & (F.col("comp") != F.col("comp_b")) & (F.col("a") < F.col("b"))
     pairs = pairs.where(alike).select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
-    rest = pruned(written(pairs, "near-pairs2"), reps)
-    if not many.isEmpty():
-        rest = rest.unionByName(_blocks(many.join(reps.select("id", "sig"), "id")).distinct().join(star, ["a", "b"], "left_anti"))
-    rest = written(rest.distinct(), "near-survivors2")
-    if not rest.isEmpty():
-        sets2 = written(full_sets(docs, rest.select(F.explode(F.array("a", "b")).alias("id")).distinct(), words), "near-sets2")
-        more = written(verified(rest, sets2, max(1, rest.count())), "near-links2")
+    rest = written(pruned(written(pairs, "near-pairs2"), reps), "near-survivors2")
+    wanted = rest.select(F.explode(F.array("a", "b")).alias("id")).union(many.select("id")).distinct()
+    if not wanted.isEmpty():
+        sets2 = written(full_sets(docs, wanted, words), "near-sets2")
+        more = verified(rest, sets2, max(1, rest.count())).unionByName(_blocks(many.join(reps.select("id", "sig"), "id").join(sets2, "id")))
+        more = written(more, "near-links2")
         if not more.isEmpty():
             comps = components(links.unionByName(more))
 

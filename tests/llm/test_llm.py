@@ -158,8 +158,9 @@ def near_corpus() -> dict[int, str]:
     return dict(enumerate(out))
 
 
-@pytest.mark.parametrize("block", [128, 3])
-def test_near_groups(spark, empty, monkeypatch, block):
+@pytest.mark.parametrize(("few", "block"), [(128, 512), (2, 3)])
+def test_near_groups(spark, empty, monkeypatch, few, block):
+    monkeypatch.setattr(minhash_bayes, "FEW", few)
     monkeypatch.setattr(minhash_bayes, "BLOCK", block)
     texts = near_corpus()
     docs = spark.createDataFrame([(d, t, "en") for d, t in texts.items()], "doc_id long, text string, n string").repartition(5)
