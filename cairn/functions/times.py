@@ -76,9 +76,10 @@ def weekday_time(text: Column) -> Column:
 def loose_date(text: Column) -> Column:
     """The first date in a text: day/month/year, else month/day/year, else year-month-day."""
     european = F.regexp_extract(text, r"\b([0-3]?[0-9][./][01]?[0-9][./][0-9]{4})\b", 1)
+    american = F.regexp_extract(text, r"\b([01]?[0-9][./][0-3]?[0-9][./][0-9]{4})\b", 1)
     technical = F.regexp_extract(text, r"\b([0-9]{4}-[01][0-9]-[0-3][0-9])\b", 1)
-    plain = F.regexp_replace(european, "[.]", "/")
-    return F.coalesce(F.to_date(_try(plain, "d/M/yyyy")), F.to_date(_try(plain, "M/d/yyyy")), F.to_date(_try(technical, "yyyy-MM-dd")))
+    slashed = lambda c: F.regexp_replace(c, "[.]", "/")
+    return F.coalesce(F.to_date(_try(slashed(european), "d/M/yyyy")), F.to_date(_try(slashed(american), "M/d/yyyy")), F.to_date(_try(technical, "yyyy-MM-dd")))
 
 
 def day_bounds(first: str | None, last: str | None) -> tuple[str | None, str | None]:
