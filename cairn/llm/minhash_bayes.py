@@ -8,9 +8,9 @@ probability that its similarity reaches the threshold falls below MISS. Pairs
 that survive are verified exactly on full sets, and components of the verified
 links give each document its group.
 
-Pairs are proposed in two rounds. First each member of a bucket is paired with
-the bucket's smallest member, which joins most of a group with as many pairs as
-it has members. Then only members of one bucket that are still in different
+Pairs are proposed in two rounds. First each document is paired with the
+smallest member of its buckets, and with the largest of their smallest members,
+which joins most of a group with two pairs a member. Then only members of one bucket that are still in different
 components are paired; all of those, so no link that a bucket holds is lost,
 while a large group of near copies, being one component by then, makes no pairs
 at all. Buckets of more than FEW members are compared and verified in pairs of
@@ -45,7 +45,7 @@ PERCENT = 80
 #: Hashes compared at a time, and the posterior below which a pair is given up.
 STEP, MISS = 16, 1e-7
 #: Buckets of more than FEW members are compared in blocks of BLOCK, their sets COLUMNS shingles at a time.
-FEW, BLOCK, COLUMNS = 128, 512, 4096
+FEW, BLOCK, COLUMNS = 32, 512, 4096
 WORDS = 5
 
 _rng = np.random.default_rng(20240229)
@@ -291,7 +291,8 @@ def grouped(docs: DataFrame, words: int = WORDS) -> DataFrame:
     total = max(1, reps.count() * BANDS)
     members = written(dealt_join(banded, buckets, ["band", "key"], "c", total), "near-members")
 
-    star = written(members.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), "near-pairs")
+    leads = members.where("id <> lead").groupBy("id").agg(F.min("lead").alias("x"), F.max("lead").alias("y"))
+    star = written(leads.select(F.explode(F.array_distinct(F.array("x", "y"))).alias("a"), F.col("id").alias("b")), "near-pairs")
     kept = written(pruned(star, reps), "near-survivors")
     sets = written(full_sets(docs, kept.select(F.explode(F.array("a", "b")).alias("id")).distinct(), words), "near-sets")
     links = written(verified(kept, sets, max(1, kept.count())), "near-links")
