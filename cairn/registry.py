@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 FLAGSHIP = "a01_job_dedup_summary"
-MODULES = ["archive", "scalars", "social", "jobs", "pages", "streams"]
+MODULES = ["archive", "scalars", "social", "jobs", "pages", "records", "streams"]
 
 
 def _modules():
