@@ -138,3 +138,24 @@ def test_theme_rules(spark):
 def test_reconciled(spark):
     jobs = spark.createDataFrame([(1, "running", False, 0), (2, "stopping", False, 0), (3, "running", True, 0), (4, "running", False, 990)], "job long, status string, alive boolean, updated long")
     assert [r.new_status for r in rollups.reconciled(jobs, F.lit(1000)).orderBy("job").collect()] == ["failed", "stopped", "running", "running"]
+
+
+def test_identities_of_chains(spark):
+    from cairn.operators import graph
+
+    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    edges = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(50, 40), (45, 50)], "a long, b long")
+    got = {r.id: r.root for r in graph.identities(edges, lambda df: df.checkpoint()).collect()}
+    assert got == {**{i: 0 for i in range(21)}, 40: 40, 45: 40, 50: 40}
+
+
+def test_payload_walk(spark):
+    from cairn.operators import social_json
+
+    payload = '{"a": {"type": "x", "b": [{"id": "1", "text": "t"}, {"id": "1", "text": "t", "like_count": 3}]}, "end_cursor": "c"}'
+    assert [p for p, _, _, _ in social_json.walk(payload)] == ["", "a", "a.b.0", "a.b.1"]
+    assert list(social_json.walk(None)) == [] == list(social_json.walk("{broken"))
+    assert [cut for *_, cut in social_json.walk(payload, 2)] == [False, True]
+    found = social_json.nodes(spark.createDataFrame([(7, payload), (8, None)], "id long, raw string"), "raw").cache()
+    assert {(r.post_id, r.text, r.likes) for r in social_json.posts(found).collect()} == {("1", "t", 3)}
+    assert [r.token for r in social_json.continuation_tokens(found).collect()] == ["c"]
