@@ -159,3 +159,12 @@ def test_payload_walk(spark):
     found = social_json.nodes(spark.createDataFrame([(7, payload), (8, None)], "id long, raw string"), "raw").cache()
     assert {(r.post_id, r.text, r.likes) for r in social_json.posts(found).collect()} == {("1", "t", 3)}
     assert [r.token for r in social_json.continuation_tokens(found).collect()] == ["c"]
+
+
+def test_mapping_choices(spark):
+    from cairn.operators import mapping
+
+    assert mapping.deep_merged({"a": {"x": 1, "y": 2}, "b": 1}, {"a": {"y": 3}, "c": 4}) == {"a": {"x": 1, "y": 3}, "b": 1, "c": 4}
+    rules = spark.createDataFrame([("http://h", False, "/a"), ("http://h", True, "/a/b"), ("http://h", False, "/c"), ("http://h", True, "/c")], "origin string, allow boolean, prefix string")
+    pages = spark.createDataFrame([("http://h/a/x",), ("http://h/a/b/x",), ("http://h/c",), ("http://other/a",), ("http://h/",)], "url string")
+    assert {r.url: r.allowed for r in mapping.robots_allowed(pages, rules).collect()} == {"http://h/a/x": False, "http://h/a/b/x": True, "http://h/c": True, "http://other/a": True, "http://h/": True}
