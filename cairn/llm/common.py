@@ -59,6 +59,14 @@ def remainder(doc_id: Column, m: int) -> Column:
     return F.crc32(doc_id.cast("string")) % F.lit(m)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have yet, in any case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 # ---- Arrow text ------------------------------------------------------------
 
 

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import SPACE, dealt_join, sized_join, written
+from cairn.llm.common import SPACE, dealt_join, fresh, sized_join, written
 
 #: Stands for a null doc_id while rows are compared.
 _LAST = (1 << 63) - 1
@@ -84,8 +84,9 @@ def kept_documents(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns; rows that repeat doc_id and text stay or go together."""
     dropped = dedup(docs).where("NOT kept").select("doc_id", "text_sha256").dropDuplicates()
     dropped = written(dropped, "exact-dropped")
-    marked = docs.withColumn("_digest", F.sha2(normalised(F.col("text")), 256))
-    gone = dropped.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
+    digest, doc_id, sha = (fresh(docs, c) for c in ("_digest", "_id", "_sha"))
+    marked = docs.withColumn(digest, F.sha2(normalised(F.col("text")), 256))
+    gone = dropped.select(F.col("doc_id").alias(doc_id), F.col("text_sha256").alias(sha))
     if dropped.count() * 96 <= 64 << 20:
         gone = F.broadcast(gone)
-    return marked.join(gone, (F.coalesce(marked["doc_id"], F.lit(_LAST)) == F.coalesce("_id", F.lit(_LAST))) & (marked["_digest"] == F.col("_sha")), "left_anti").drop("_digest")
+    return marked.join(gone, (F.coalesce(marked["doc_id"], F.lit(_LAST)) == F.coalesce(doc_id, F.lit(_LAST))) & (marked[digest] == F.col(sha)), "left_anti").drop(digest)

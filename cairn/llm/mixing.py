@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cairn.llm.common import SPACE, fits, written
+from cairn.llm.common import SPACE, fits, fresh, written
 
 LEVELS = ("domain", "lang", "source")
 SEED, MAX_EPOCHS = 17, 2
@@ -154,13 +154,13 @@ def mixed_documents(docs: DataFrame, total: int | None = None, weights: Mapping[
     key = {"domain": domain_of(F.col("source")), "lang": F.coalesce("lang", F.lit("")), "source": F.coalesce("source", F.lit(""))}
     sized = written(docs.select("doc_id", *[c.alias(k) for k, c in key.items()], n_tokens(F.col("text")).alias("n_tokens")), "mix-sized")
     cut = written(cuts(sized, total, weights, max_epochs, seed), "mix-cuts")
-    cut = cut.select(*[F.col(k).alias(f"_{k}") for k in LEVELS], "whole", F.col("last_key").alias("_last"))
-    marked = docs.withColumns({f"_{k}": c for k, c in key.items()})
-    joined = marked.join(F.broadcast(cut) if fits(cut) else cut, [f"_{k}" for k in LEVELS])
-    more = F.coalesce(order_key(F.col("doc_id"), F.col("whole"), seed) <= F.col("_last"), F.lit(False)).cast("long")
-    copies = F.col("whole") + more
-    return joined.where(copies > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), copies))).select(*docs.columns)
-
+    own = {k: fresh(docs, f"_{k}") for k in (*LEVELS, "whole", "last_key", "copy")}
+    cut = cut.select(*[F.col(k).alias(own[k]) for k in (*LEVELS, "whole", "last_key")])
+    marked = docs.withColumns({own[k]: c for k, c in key.items()})
+    joined = marked.join(F.broadcast(cut) if fits(cut) else cut, [own[k] for k in LEVELS])
+    more = F.coalesce(order_key(F.col("doc_id"), F.col(own["whole"]), seed) <= F.col(own["last_key"]), F.lit(False)).cast("long")
+    copies = F.col(own["whole"]) + more
+    return joined.where(copies > 0).withColumn(own["copy"], F.explode(F.sequence(F.lit(1).cast("long"), copies))).select(*docs.columns)
 
 
 def _share_sql(level: int) -> str:

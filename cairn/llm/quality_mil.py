@@ -168,9 +168,9 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "qualit
     return train(np.concatenate(bags).astype(np.float32), edges, np.array([r.y for r in found], float))
 
 
-def scored(docs: DataFrame, model: Model | None, drop_text: bool = False) -> DataFrame:
-    """docs with the column score."""
+def scored(docs: DataFrame, model: Model | None, drop_text: bool = False, name: str = "score") -> DataFrame:
+    """docs with the column name, which they mustn't have yet."""
     if model is None:
-        out = docs.withColumn("score", F.lit(0.5))
+        out = docs.withColumn(name, F.lit(0.5))
         return out.drop("text") if drop_text else out
-    return map_text(docs, "text", [("score", T.DoubleType())], lambda buf, offs: [model.score(buf, offs)], drop_text)
+    return map_text(docs, "text", [(name, T.DoubleType())], lambda buf, offs: [model.score(buf, offs)], drop_text)

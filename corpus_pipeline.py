@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm import exact_lsm, minhash_bayes, mixing, quality_mil, sentencepiece_trie
-from cairn.llm.common import remainder, table, written
+from cairn.llm.common import fresh, remainder, table, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't reject."""
     model = quality_mil.fit(docs, table(spark, sf_dir, "labels"), remainder(F.col("doc_id"), 5) != 0)
-    return quality_mil.scored(docs, model).where(F.col("score") >= quality_mil.THRESHOLD).drop("score")
+    score = fresh(docs, "score")
+    return quality_mil.scored(docs, model, name=score).where(F.col(score) >= quality_mil.THRESHOLD).drop(score)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -462,3 +462,19 @@ def test_pipeline_stages(spark, tmp_path):
     empty = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, str(tmp_path)).count() == 0
+
+
+def test_stages_keep_clashing_columns(spark, docs, tmp_path):
+    import corpus_pipeline
+
+    _, labels = labelled(spark)
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    names = ["score", "_score", "_id", "_sha", "_digest", "whole", "_whole", "_copy", "_domain", "_lang", "domain", "digest", "sig", "n_tokens"]
+    out = docs.drop("score").withColumns({n: F.lit("x") for n in names})
+    columns = out.columns
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, out, str(tmp_path))
+        assert out.columns == columns and all(r[n] == "x" for r in out.select(*names).collect() for n in names)
+    tokens = corpus_pipeline.STAGES[-1][1](spark, out, str(tmp_path)).collect()
+    marked = {r.doc_id for r in out.collect() if "▁" in (r.text or "")}  # decoded to a space, as documented
+    assert len(tokens) == out.count() and {r.doc_id for r in tokens if not r.round_trip} == marked
