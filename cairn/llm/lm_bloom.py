@@ -6,13 +6,13 @@ Bloom filter q times, as (n-gram, 1) to (n-gram, q). To look up a count, levels
 are probed one after another until one is missing; the filter never gives less
 than the true level. Probabilities of bigrams and unigrams are interpolated.
 
-The filter is made of segments of SEGMENT_BITS, each built by the task that
-holds its n-grams, and grows with the number of n-grams. What is broadcast at a
-time is bounded by FILTER_BITS: a larger bigram filter is cut into shards, and
-the texts are scored in one pass for each shard. A token's bigram lies in one
-shard, so the passes' sums add up to the same score. Bigrams seen less than
-MIN_BIGRAM times aren't kept. The unigram filter is part of every pass; past
-FILTER_BITS it stays at that size and its false hits rise.
+Every counted n-gram is kept. The filter is made of segments, each built by the
+task that adds up the counts of its n-grams and as large as they need. What is
+broadcast at a time is bounded by FILTER_BITS for either filter: larger ones are
+cut into shards of whole segments. The texts are scored in one pass for each
+bigram shard; a token's bigram lies in one shard, so the passes' sums add up to
+the same score. If there is more than one unigram shard, passes before that
+write the unigram levels of all tokens (a byte each) beside the texts.
 
 The add-one base score needs exact counts: those of the HEAD most frequent
 tokens are broadcast (16 bytes each), the others are joined by a shuffle in
@@ -27,6 +27,7 @@ probability one and score as the smoothed unigram. Other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -37,9 +38,10 @@ from pyspark.sql import functions as F
 from cairn.llm.common import chunks, mix, word_hashes, word_spans, written
 
 BASE, LEVELS = 1.5, 64
-MIN_BIGRAM = 2
 BITS_PER_ITEM, PROBES = 12, 5
 SEGMENT_BITS, BLOCK_BITS, FILTER_BITS = 1 << 22, 512, 1 << 31
+#: Bytes of text for each segment of a filter.
+SEGMENT_TEXT = 1 << 20
 HEAD = 500_000
 #: Weight of the bigram estimate.
 BIGRAM_WEIGHT = 0.2
@@ -63,7 +65,7 @@ def tokens(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 
 def counts(docs: DataFrame) -> DataFrame:
-    """(bigram, h, n): exact counts of tokens and bigrams in docs (text); counted in batches before the shuffle."""
+    """(bigram, h, n): counts of tokens and bigrams in docs (text), still to be added up."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = [[], []]
@@ -89,7 +91,7 @@ def counts(docs: DataFrame) -> DataFrame:
                     size = 0
         yield from flush()
 
-    return docs.select("text").mapInArrow(run, "bigram boolean, h long, n long").groupBy("bigram", "h").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(run, "bigram boolean, h long, n long")
 
 
 def level(n: Column, least: int) -> Column:
@@ -107,9 +109,9 @@ def values(least: int) -> np.ndarray:
     return np.array(out)
 
 
-def _blocks(h: np.ndarray) -> np.ndarray:
-    """The first bit of each n-gram's block in its segment: all its levels lie in one block, one line of a processor's cache."""
-    return (h & np.uint64(SEGMENT_BITS // BLOCK_BITS - 1)) * np.uint64(BLOCK_BITS)
+def _blocks(h: np.ndarray, n: np.ndarray | int) -> np.ndarray:
+    """Each n-gram's block among the n of its segment: all its levels lie in one block, one line of a processor's cache."""
+    return ((h & np.uint64(0xFFFFFFFF)) * np.asarray(n).astype(np.uint64)) >> np.uint64(32)
 
 
 def _bits(h: np.ndarray, q: int) -> np.ndarray:
@@ -126,33 +128,51 @@ def segment_of(h: np.ndarray, n: int) -> np.ndarray:
 
 
 def built(rows: DataFrame, least: int, n_segments: int) -> DataFrame:
-    """(seg, bits): the segments of a filter of rows (h, n)."""
-
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        h, q = pdf["h"].to_numpy().view(np.uint64), pdf["q"].to_numpy()
-        on = np.zeros(SEGMENT_BITS, bool)
+    """(bigram, seg, blocks, bits, h, n): the segments of the filters of rows (bigram, h, n), and for unigrams also their counts, with null bits.
+
+    rows may hold several counts of an n-gram; they are added up.
+    """
+
+    def build(part: pa.Table) -> pa.Table:
+        bigram, seg = part["bigram"][0].as_py(), part["seg"][0].as_py()
+        h, back = np.unique(part["h"].to_numpy(), return_inverse=True)
+        n = np.zeros(len(h), np.int64)
+        np.add.at(n, back, part["n"].to_numpy())
+        q = np.minimum(np.floor(np.log(n / float(least)) / np.log(BASE) + 1e-9).astype(np.int64) + 1, LEVELS)
+        u, blocks = h.view(np.uint64), max(1, -(-int(q.sum()) * BITS_PER_ITEM // BLOCK_BITS))
+        at = (_blocks(u, blocks) * np.uint64(BLOCK_BITS)).astype(np.int64)
+        on = np.zeros(blocks * BLOCK_BITS, bool)
         for k in range(1, int(q.max()) + 1):
-            own = h[q >= k]
-            block, g = _blocks(own), _bits(own, k)
+            own = q >= k
+            g, own_at = _bits(u[own], k), at[own]
             for probe in range(PROBES):
-                on[(block + _place(g, probe)).astype(np.int64)] = True
-        return pd.DataFrame({"seg": [int(pdf["seg"].iloc[0])], "bits": [np.packbits(on, bitorder="little").tobytes()]})
+                on[own_at + _place(g, probe).astype(np.int64)] = True
+        more = 0 if bigram else len(h)
+        nulls = lambda kind: pa.nulls(more, kind)
+        cat = lambda x, y: pa.concat_arrays([x, y])
+        return pa.Table.from_arrays([
+            pa.array(np.full(more + 1, bigram)), pa.array(np.full(more + 1, seg, np.int32)), cat(pa.array([blocks], pa.int32()), nulls(pa.int32())),
+            cat(pa.array([np.packbits(on, bitorder="little").tobytes()], pa.binary()), nulls(pa.binary())), cat(pa.nulls(1, pa.int64()), pa.array(h[:more])), cat(pa.nulls(1, pa.int64()), pa.array(n[:more])),
+        ], names=["bigram", "seg", "blocks", "bits", "h", "n"])
 
     seg = F.expr(f"cast(shiftrightunsigned(shiftrightunsigned(h, 32) * {n_segments}L, 32) as int)")
-    return rows.select(seg.alias("seg"), "h", level(F.col("n"), least).alias("q")).groupBy("seg").applyInPandas(build, "seg int, bits binary")
+    return rows.select("bigram", seg.alias("seg"), "h", "n").groupBy("bigram", "seg").applyInArrow(build, "bigram boolean, seg int, blocks int, bits binary, h long, n long")
 
 
 class Filter:
-    def __init__(self, bits: np.ndarray, n_segments: int):
-        self.bits, self.n = bits, n_segments
+    """bits of the segments that blocks gives a size, in their order; n-grams of other segments have level 0."""
+
+    def __init__(self, bits: np.ndarray, blocks: np.ndarray):
+        self.bits, self.blocks = bits, blocks
+        self.starts = np.cumsum(blocks) - blocks
 
     def levels(self, h: np.ndarray) -> np.ndarray:
         """The level of each n-gram: probes level after level until one is missing."""
         out = np.zeros(len(h), np.int8)
-        if not self.n:
-            return out
-        base = segment_of(h, self.n) * np.uint64(SEGMENT_BITS) + _blocks(h)
-        alive = np.arange(len(h))
+        seg = segment_of(h, len(self.blocks)).astype(np.int64)
+        alive = np.flatnonzero(self.blocks[seg])
+        h, seg = h[alive], seg[alive]
+        base = (self.starts[seg].astype(np.uint64) + _blocks(h, self.blocks[seg])) * np.uint64(BLOCK_BITS)
         for q in range(1, LEVELS + 1):
             g = _bits(h, q)
             for probe in range(PROBES):
@@ -165,62 +185,107 @@ class Filter:
         return out
 
 
-def gathered(rows: DataFrame, least: int, bits: int) -> tuple[np.ndarray, int]:
-    """The filter of rows in one array, of at most bits."""
-    n = rows.count()
-    if not n:
-        return np.zeros(0, np.uint8), 0
-    items = rows.agg(F.sum(level(F.col("n"), least))).first()[0]
-    n_segments = max(1, min(-(-items * BITS_PER_ITEM // SEGMENT_BITS), bits // SEGMENT_BITS))
-    out = np.zeros((n_segments, SEGMENT_BITS // 8), np.uint8)
-    for r in built(rows, least, n_segments).toLocalIterator():
-        out[r.seg] = np.frombuffer(bytes(r.bits), np.uint8)
-    return out.reshape(-1), n_segments
+def sizes(segments: DataFrame, n_segments: int) -> np.ndarray:
+    """The blocks of each segment (seg, blocks)."""
+    out = np.zeros(n_segments, np.int64)
+    for r in segments.select("seg", "blocks").toLocalIterator():
+        out[r.seg] = r.blocks
+    return out
+
+
+def cuts(blocks: np.ndarray, bits: int) -> list[tuple[int, int]]:
+    """Runs of segments, of at most bits each unless a segment alone is larger."""
+    out, lo, held = [], 0, 0
+    for i, b in enumerate(blocks.tolist()):
+        if held and (held + b) * BLOCK_BITS > bits:
+            out.append((lo, i))
+            lo, held = i, 0
+        held += b
+    return [*out, (lo, len(blocks))]
+
+
+def loaded(segments: DataFrame, blocks: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+    """The filter of the segments from lo to hi in one array."""
+    own = np.zeros_like(blocks)
+    own[lo:hi] = blocks[lo:hi]
+    ends = np.cumsum(own) * (BLOCK_BITS // 8)
+    out = np.zeros(ends[-1], np.uint8)
+    for r in segments.where(F.col("seg").between(lo, hi - 1)).select("seg", "bits").toLocalIterator():
+        out[ends[r.seg] - len(r.bits) : ends[r.seg]] = np.frombuffer(r.bits, np.uint8)
+    return out, own
+
+
+def gathered(rows: DataFrame, least: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The filter of rows (h, n) in one array; an error if it is larger than bits."""
+    segments = written(built(rows.select(F.lit(True).alias("bigram"), "h", "n"), least, 1), "lm-filter")
+    blocks = sizes(segments, 1)
+    if blocks.sum() * BLOCK_BITS > bits:
+        raise ValueError(f"a filter of {blocks.sum() * BLOCK_BITS} bits, {bits} at most")
+    return loaded(segments, blocks, 0, 1)
 
 
 def scored(docs: DataFrame, learned: Column, head_size: int = HEAD, filter_bits: int = FILTER_BITS) -> DataFrame:
     """docs (doc_id, text) with n_tokens, n_known, train_tokens, base_score and score; learned says which rows are learned from."""
     docs = docs.select("doc_id", "text")
     spark = docs.sparkSession
-    exact = written(counts(docs.where(learned)).where(~F.col("bigram") | (F.col("n") >= MIN_BIGRAM)), "lm-counts")
-    one, two = exact.where(~F.col("bigram")).select("h", "n"), exact.where("bigram").select("h", "n")
+    own = docs.where(learned)
+    n_docs_trained, n_bytes = own.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    # Of the parts of a filter of all tokens (of four bytes) at least four go into a shard.
+    n_segments = 1 + max(n_bytes // SEGMENT_TEXT, n_bytes * BITS_PER_ITEM // filter_bits)
+    exact = written(built(counts(own), 1, n_segments), "lm-counts")
+    one = exact.where("h is not null").select("h", "n")
+    segments1, segments2 = (exact.where(F.col("blocks").isNotNull() & (F.col("bigram") == k)).select("seg", "blocks", "bits") for k in (False, True))
     total = one.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n_train, n_types = total["n"], total["v"]
     top = one.orderBy(F.desc("n"), "h").limit(head_size).toArrow()
     order = np.argsort(top["h"].to_numpy(), kind="stable")
     head = spark.sparkContext.broadcast((top["h"].to_numpy()[order], top["n"].to_numpy()[order]))
     whole, denominator = n_types <= head_size, float(n_train + n_types + 1)
-    unigrams = gathered(one, 1, filter_bits)
-    items = two.agg(F.coalesce(F.sum(level(F.col("n"), MIN_BIGRAM)), F.lit(0))).first()[0]
-    n_shards = max(1, -(-items * BITS_PER_ITEM // filter_bits))
-    shard = lambda h: (mix(h) % np.uint64(n_shards)).astype(np.int64)
-    keyed = written(docs.withColumn("row", F.monotonically_increasing_id()), "lm-rows") if n_shards > 1 or not whole else docs.withColumn("row", F.lit(0).cast("long"))
+    blocks1, blocks2 = sizes(segments1, n_segments), sizes(segments2, n_segments)
+    shards1, shards2 = cuts(blocks1, filter_bits), cuts(blocks2, filter_bits)
+    n_shards, stored = len(shards2), len(shards1) > 1
+    keyed = docs.withColumn("row", F.lit(0).cast("long"))
+    if n_shards > 1 or stored or not whole:
+        keyed = written(docs.withColumn("row", F.monotonically_increasing_id()), "lm-rows")
+    keyed = keyed.select("row", F.col("doc_id").cast("long").alias("doc_id"), "text")
+    unigrams = None
+    if stored:
+        keyed = keyed.withColumn("levels", F.lit(None).cast("binary"))
+        for lo, hi in shards1:
+            shared = spark.sparkContext.broadcast(loaded(segments1, blocks1, lo, hi))
+            keyed = written(keyed.mapInArrow(_unigram_levels(shared), keyed.schema), "lm-levels")
+    else:
+        unigrams = loaded(segments1, blocks1, 0, n_segments)
 
     def add_pass(k: int) -> DataFrame:
-        own = two if n_shards == 1 else two.mapInArrow(_of_shard(k, n_shards), "h long, n long")
-        shared = spark.sparkContext.broadcast((unigrams, gathered(own, MIN_BIGRAM, filter_bits)))
+        from_, to = shards2[k]
+        shared = spark.sparkContext.broadcast((unigrams, loaded(segments2, blocks2, from_, to)))
         first = k == 0
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            f1, f2 = (Filter(*x) for x in shared.value)
+            f1, f2 = (Filter(*x) if x else None for x in shared.value)
             heads, head_n = head.value
-            v1, v2 = values(1), values(MIN_BIGRAM)
+            v = values(1)
             for batch in batches:
                 parts: list[list] = [[] for _ in range(6)]
+                held, at_token = _held(batch.column(3)) if stored else None, 0
                 for _, _, buf, offs in chunks(batch.column(2)):
                     h1, h2, edges = tokens(buf, offs)
                     lo, n_docs = edges[:-1], len(edges) - 1
                     u, back = np.unique(h1, return_inverse=True)
-                    p1 = ((v1[f1.levels(u)] + 1) / denominator)[back]
-                    c1 = np.maximum(v1[f1.levels(u)], 1)[back]
+                    n1 = v[held[at_token : at_token + len(h1)]] if stored else v[f1.levels(u)][back]
+                    at_token += len(h1)
+                    p1 = (n1 + 1) / denominator
+                    c1 = np.maximum(n1, 1)
                     before = np.empty_like(c1)
                     before[1:] = c1[:-1]
                     before[lo] = max(n_docs_trained, 1)
-                    c2 = v2[f2.levels(h2)]
+                    c2 = v[f2.levels(h2)]
                     p2 = np.minimum(c2 / np.maximum(before, c2), 1)
                     logs = np.log10(BIGRAM_WEIGHT * p2 + (1 - BIGRAM_WEIGHT) * p1)
                     if n_shards > 1:
-                        logs = np.where(shard(h2) == k, logs, 0.0)
+                        seg = segment_of(h2, n_segments)
+                        logs = np.where((seg >= from_) & (seg < to), logs, 0.0)
                     parts[0].append(np.add.reduceat(logs, lo))
                     if first:
                         signed = u.view(np.int64)
@@ -245,13 +310,12 @@ def scored(docs: DataFrame, learned: Column, head_size: int = HEAD, filter_bits:
 
         names = ["row", "doc_id", "score"] + (["n_tokens", "head_known", "head_score", "tail"] if first else [])
         schema = "row long, doc_id long, score double" + (", n_tokens long, head_known long, head_score double, tail array<long>" if first else "")
-        return keyed.select("row", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+        return keyed.mapInArrow(run, schema)
 
-    n_docs_trained = docs.where(learned).count()
     out = add_pass(0)
-    for k in range(1, n_shards):
-        more = written(add_pass(k).select("row", F.col("score").alias("_more")), "lm-pass")
-        out = out.join(more, "row").withColumn("score", F.col("score") + F.col("_more")).drop("_more")
+    if n_shards > 1:
+        more = [written(add_pass(k).select("row", F.col("score").alias("_more")), "lm-pass") for k in range(1, n_shards)]
+        out = out.join(reduce(DataFrame.unionAll, more).groupBy("row").agg(F.sum("_more").alias("_more")), "row").withColumn("score", F.col("score") + F.col("_more")).drop("_more")
     if whole:
         return out.select("doc_id", "n_tokens", F.col("head_known").alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"), F.col("head_score").alias("base_score"), "score")
     out = written(out, "lm-scored")
@@ -263,10 +327,27 @@ def scored(docs: DataFrame, learned: Column, head_size: int = HEAD, filter_bits:
     return out.select("doc_id", "n_tokens", (F.col("head_known") + zero("more_known")).alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"), (F.col("head_score") + zero("more_score")).alias("base_score"), "score")
 
 
-def _of_shard(k: int, n_shards: int):
+def _held(column: pa.Array) -> np.ndarray:
+    """The bytes of all rows one after another."""
+    return np.concatenate([np.zeros(0, np.uint8), *(buf for _, _, buf, _ in chunks(column))])
+
+
+def _unigram_levels(shared):
+    """Fills in levels, a byte for each token, from one shard of the unigram filter."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = Filter(*shared.value)
         for batch in batches:
-            h = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            yield batch.filter(pa.array((mix(h) % np.uint64(n_shards)).astype(np.int64) == k))
+            found, sizes_ = [np.zeros(0, np.uint8)], [np.zeros(1, np.int64)]
+            for _, _, buf, offs in chunks(batch.column(2)):
+                h, _, edges = tokens(buf, offs)
+                u, back = np.unique(h, return_inverse=True)
+                found.append(f.levels(u)[back].view(np.uint8))
+                sizes_.append(np.diff(edges))
+            new, old = np.concatenate(found), _held(batch.column(3))
+            new = np.maximum(new, old) if len(old) else new
+            ends = np.cumsum(np.concatenate(sizes_)).astype(np.int32)
+            levels = pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(new)])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], levels], names=["row", "doc_id", "text", "levels"])
 
     return run

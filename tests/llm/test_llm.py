@@ -436,6 +436,26 @@ def test_filter_never_understates(spark):
     assert (f.levels(rng.integers(0, 1 << 62, 5000).astype(np.uint64)) > 0).mean() < 0.05
 
 
+@pytest.mark.parametrize("limits", [{}, {"filter_bits": 1024}])
+def test_language_model_keeps_rare_bigrams(spark, limits, monkeypatch):
+    """A bigram counted once scores above an unseen one, and the score is that of exact counts, in any number of shards."""
+    if limits:
+        monkeypatch.setattr(lm_bloom, "BITS_PER_ITEM", 200)
+    train = "ab cd ef gh ij kl mn op qr st"
+    rows = [(0, train), (1, "ab cd ef gh"), (2, "ab ef cd gh"), (3, None)]
+    got = held(lm_bloom.scored(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") == 0, **limits).collect())
+    own = [*train.split(), "\n"]
+    one, two = Counter(own), Counter(zip(["^", *own], own, strict=False))
+    for i, text in rows:
+        toks = [*(text or "").split(), "\n"]
+        want = 0.0
+        for a, b in zip(["^", *toks], toks, strict=False):
+            before = 1 if a == "^" else max(one[a], 1)
+            want += math.log10(0.2 * min(two[a, b] / before, 1) + 0.8 * (one[b] + 1) / (len(own) + len(one) + 1))
+        assert abs(got[i]["score"] - want) < 0.05, (i, got[i]["score"], want)
+    assert got[1]["score"] > got[2]["score"] + 0.5
+
+
 # ---- pipeline -------------------------------------------------------------------------------
 
 
