@@ -129,6 +129,25 @@ def test_toxicity_finds_unseen_misspellings(spark, docs, empty):
     assert toxicity.scored(empty.drop("score"), model).count() == 0 and toxicity.fit(empty, labels, F.lit(True)) is None
 
 
+def test_toxicity_learns_whole_documents(spark, monkeypatch):
+    """Toxic words past the first 8192 bytes are learned, long clean texts stay clean, and the sample holds whole documents."""
+    rng = random.Random(12)
+    rows = [(i, filler(rng, 1800) + (" grumblefax " if i % 2 else " ") + filler(rng, 5), i % 2) for i in range(160)]
+    assert all(len(t.encode()[:-100]) > 8192 for _, t, _ in rows)
+    train = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    model = toxicity.fit(train, labels, F.lit(True))
+    new = [(0, filler(rng, 9000)), (1, filler(rng, 3000) + " grumblefax " + filler(rng, 10)), (2, filler(rng, 2000))]
+    got = held(toxicity.scored(spark.createDataFrame(new, "doc_id long, text string"), model).collect())
+    assert [got[i]["score"] >= toxicity.THRESHOLD for i in range(3)] == [False, True, False], got
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, y: seen.extend(zip(texts, y, strict=True)))
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 100_000)
+    toxicity.fit(train, labels, F.lit(True))
+    whole = {t.encode() for _, t, _ in rows}
+    assert all(t in whole for t, _ in seen) and all(0 < sum(len(t) for t, y in seen if y == k) <= 100_000 for k in (0, 1))
+
+
 # ---- 2: near-dedup ----------------------------------------------------------------
 
 
