@@ -10,10 +10,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def events(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
-    """A folder or one file of events as a stream; ts is its time."""
+def events(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
+    """A folder or one file of events as a stream; ts is its time.
+
+    Without files_per_batch all files that are there make one batch, so that
+    neither a watermark nor the order of rows depends on how they are dealt.
+    """
     whole = spark.read.parquet(path)
-    source = spark.readStream.schema(whole.schema).option("maxFilesPerTrigger", files_per_batch)
+    source = spark.readStream.schema(whole.schema)
+    if files_per_batch:
+        source = source.option("maxFilesPerTrigger", files_per_batch)
     top, _, name = path.rstrip("/").rpartition("/")
     single = any(f.endswith(f"/{name}") for f in whole.inputFiles())
     stream = source.option("pathGlobFilter", name).parquet(top) if single else source.parquet(path)
