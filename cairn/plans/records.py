@@ -72,6 +72,13 @@ def j14(spark, sf):
     return G.identities(e.select(F.col("user_id").alias("a"), (100000 + F.get_json_object("props", "$.k").cast("long")).alias("b")).distinct(), _written)
 
 
+@query("j14_alias_identity_all")
+def j14_all(spark, sf):
+    """j14 over every event; the recursive SQL of the query above holds for its rows only."""
+    e = table(spark, sf, "events")
+    return G.identities(e.select(F.col("user_id").alias("a"), (100000 + F.get_json_object("props", "$.k").cast("long")).alias("b")).distinct(), _written)
+
+
 @query("f80_h34_payload_posts", "SELECT CAST(event_id AS VARCHAR) AS post_id, event_type AS text, CAST(json_extract(props, '$.k') AS BIGINT) AS likes FROM events")
 def f80(spark, sf):
     e = table(spark, sf, "events")
