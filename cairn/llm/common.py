@@ -17,12 +17,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Java and RE2 class of the white space that separates words.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that the kernels take at a time; a longer text is taken alone.
 CHUNK_BYTES = 1 << 20
+#: Bytes of an Arrow batch on its way to a worker; a longer row is sent alone.
+BATCH_BYTES = 8 << 20
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -59,9 +62,9 @@ def remainder(doc_id: Column, m: int) -> Column:
     return F.crc32(doc_id.cast("string")) % F.lit(m)
 
 
-def fresh(df: DataFrame, name: str) -> str:
-    """A column name that df doesn't have yet, in any case of its letters."""
-    taken = {c.lower() for c in df.columns}
+def fresh(df: DataFrame | list[str], name: str) -> str:
+    """A column name that df (or a list of names) doesn't have yet, in any case of its letters."""
+    taken = {c.lower() for c in (df if isinstance(df, list) else df.columns)}
     while name.lower() in taken:
         name = "_" + name
     return name
@@ -93,24 +96,39 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, in
         lo = hi
 
 
-def map_text(df: DataFrame, text: str, fields: list[tuple[str, T.DataType]], fn: Callable[[np.ndarray, np.ndarray], list], drop_text: bool = True) -> DataFrame:
-    """df with new columns that fn computes from whole texts: fn(bytes, offsets) -> an array for each of fields."""
+def bounded_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by bytes, where the session leaves Spark's own bound, so that rows of long texts don't pile up in a worker."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key).rstrip("b") == str(64 << 20):
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def map_text(df: DataFrame, text: str, fields: list[tuple[str, T.DataType]], fn: Callable[[np.ndarray, np.ndarray], list], drop_text: bool = True, done: Callable[[], None] | None = None) -> DataFrame:
+    """df with new columns that fn computes from whole texts: fn(bytes, offsets) -> an array for each of fields.
+
+    A field whose name df has already gets underscores in front of it. What fn
+    makes of a chunk of texts leaves the worker before the next chunk is read.
+    done is called at the end of a task.
+    """
     kept = [f for f in df.schema.fields if not (drop_text and f.name == text)]
-    schema = T.StructType(kept + [T.StructField(n, t) for n, t in fields])
-    names, kept_names = [n for n, _ in fields], [f.name for f in kept]
-    width = len(names)
+    kept_names = [f.name for f in kept]
+    names = [fresh(kept_names, n) for n, _ in fields]
+    schema = T.StructType(kept + [T.StructField(n, t) for n, (_, t) in zip(names, fields, strict=True)])
+    bounded_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            parts: list[list] = [[] for _ in range(width)]
-            for _, _, buf, offs in chunks(batch.column(batch.schema.get_field_index(text))):
-                for part, x in zip(parts, fn(buf, offs), strict=True):
-                    part.append(x if isinstance(x, pa.Array) else pa.array(x))
-            made = [pa.concat_arrays(p) for p in parts]
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(n)) for n in kept_names] + made, names=kept_names + names)
-
+        try:
+            for batch in batches:
+                at = [batch.schema.get_field_index(n) for n in kept_names]
+                for lo, hi, buf, offs in chunks(batch.column(batch.schema.get_field_index(text))):
+                    made = [x if isinstance(x, pa.Array) else pa.array(x, kind) for x, kind in zip(fn(buf, offs), kinds, strict=True)]
+                    yield pa.RecordBatch.from_arrays([batch.column(i).slice(lo, hi - lo) for i in at] + made, names=kept_names + names)
+        finally:
+            if done:
+                done()
+            pa.default_memory_pool().release_unused()
+
+    kinds = [to_arrow_type(t) for _, t in fields]
     return df.mapInArrow(run, schema)
 
 

@@ -34,7 +34,7 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_sentencepiece_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentencepiece_trie.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), ids=False)
+    return sentencepiece_trie.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

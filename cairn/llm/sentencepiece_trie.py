@@ -16,13 +16,15 @@ become byte pieces, or the unknown piece if the model has none.
 Only models without normalisation (identity) and with a mark before the text
 are supported. Defined results: a null text counts as empty and has no ids; a
 mark character in a text can't be told from a space and is decoded as one; all
-other texts are decoded to themselves. Repeated rows are encoded like others.
+other texts are decoded to themselves. Bytes that aren't UTF-8 are read as
+U+FFFD, so round_trip is false. Repeated rows are encoded like others.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -31,13 +33,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from cairn.llm.common import map_text
+from cairn.llm.common import bounded_batches, fresh, map_text
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: Words whose ids a worker remembers, and pairs; both are emptied when full.
-CACHE_WORDS, CACHE_PAIRS = 400_000, 1_000_000
+#: Bytes, by estimate, of what a worker remembers: words with their ids until the end of a task, and pairs,
+#: which are emptied when full.
+WORD_BYTES, PAIR_BYTES = 48 << 20, 24 << 20
+#: Bytes of a word in the table besides its letters (at most 4 each) and ids (4 each), and of a pair.
+WORD_COST, PAIR_COST = 240, 96
 UNIGRAM, BPE = 1, 2
+TAIL = 3
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -93,15 +99,22 @@ class Model:
         self.unknown = kinds.index(self.UNKNOWN)
         byte_ids = [i for i, k in enumerate(kinds) if k == self.BYTE]
         self.bytes = byte_ids if len(byte_ids) == 256 else None
-        self.longest = max(map(len, self.ids), default=1)
         self.texts = [bytes([byte_ids.index(i)]) if k == self.BYTE else p.replace(MARK, " ").encode() if k == self.NORMAL else b"" for i, (p, k) in enumerate(zip(self.pieces, kinds, strict=True))]
         self.texts[self.unknown] = " ⁇ ".encode()
         # Characters that no longer piece holds stand alone: words can be cut there.
         inside = set("".join(p for p in self.ids if len(p) > 1))
         self.cuts = "".join(c for c in "\n\t" if c not in inside)
         self.words = re.compile(f" *[^ {self.cuts}]+|[{self.cuts}]| +") if self.cuts else re.compile(" *[^ ]+| +")
-        self.known: dict[str, bytes] = {}
-        self.stands: dict[tuple[str, str], bool] = {}
+        # Lengths of the pieces that end in TAIL given characters, the longest first: only these are looked up.
+        tails: dict[str, set[int]] = {}
+        for p in self.ids:
+            if len(p) >= TAIL:
+                tails.setdefault(p[-TAIL:], set()).add(len(p))
+        short = list(range(TAIL - 1, 0, -1))
+        self.tails = {t: (*sorted(sizes, reverse=True), *short) for t, sizes in tails.items()}
+        self.short = tuple(short)
+        self.forget()
+        self.stands: dict[int, bool] = {}
 
     def merged(self, text: str) -> list[str]:
         """BPE of a short text: the best-scored neighbours are merged, the leftmost first."""
@@ -117,12 +130,15 @@ class Model:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def pair_stands(self, a: str, b: str) -> bool:
-        found = self.stands.get((a, b))
+    def pair_stands(self, a: int, b: int) -> bool:
+        """Whether merging leaves the pieces a and b (ids) as they are beside each other."""
+        key = a << 32 | b
+        found = self.stands.get(key)
         if found is None:
-            if len(self.stands) >= CACHE_PAIRS:
+            if len(self.stands) * PAIR_COST >= PAIR_BYTES:
                 self.stands.clear()
-            found = self.stands[a, b] = self.merged(a + b) == [a, b]
+            x, y = self.pieces[a], self.pieces[b]
+            found = self.stands[key] = self.merged(x + y) == [x, y]
         return found
 
     def loose(self, char: str) -> list[int]:
@@ -131,54 +147,71 @@ class Model:
 
     def segmented(self, words: Iterable[str]) -> Iterator[tuple[str, list[int]]]:
         """(word, ids) of sorted distinct words (marks as MARK), prefix states shared along the sorted order."""
-        ids, scores, bpe, longest = self.ids, self.scores, self.kind == BPE, self.longest
+        ids, scores, bpe, tails, short, stands = self.ids, self.scores, self.kind == BPE, self.tails, self.short, self.stands
         low = min(scores, default=0.0) - 10
-        start, score = [0], [0.0]  # by prefix length: where its last piece starts, and the best score
+        # By prefix length: where its last piece starts, that piece (or -1 for a character without one), and the best score.
+        start, last, score = [0], [-1], [0.0]
         before = ""
         for word in words:
             same, most = 0, min(len(before), len(word))
             while same < most and before[same] == word[same]:
                 same += 1
-            del start[same + 1 :], score[same + 1 :]
+            del start[same + 1 :], last[same + 1 :], score[same + 1 :]
             for end in range(same + 1, len(word) + 1):
-                best, at = None, -1
-                for j in range(max(0, end - longest), end):
-                    piece = word[j:end]
-                    k = ids.get(piece)
+                best, at, piece = None, end - 1, -1
+                for size in tails.get(word[end - TAIL : end], short) if end >= TAIL else short:
+                    j = end - size
+                    if j < 0:
+                        continue
+                    k = ids.get(word[j:end])
                     if k is None:
-                        if j < end - 1:
-                            continue
-                        value = score[j] + low  # a character without a piece
-                    elif bpe:
-                        if j and not self.pair_stands(word[start[j] : j], piece):
-                            continue
-                        value = 0.0
-                    else:
-                        value = score[j] + scores[k]
+                        continue
+                    if bpe:
+                        left = last[j] if j else -1
+                        if left >= 0:
+                            ok = stands.get(left << 32 | k)
+                            if not (self.pair_stands(left, k) if ok is None else ok):
+                                continue
+                        best, at, piece = 0.0, j, k
+                        break
+                    value = score[j] + scores[k]
                     if best is None or value > best:
-                        best, at = value, j
-                        if bpe and k is not None:
-                            break
+                        best, at, piece = value, j, k
+                if best is None or not bpe and word[end - 1] not in ids and score[end - 1] + low > best:
+                    best, at, piece = score[end - 1] + low, end - 1, -1  # a character without a piece
                 start.append(at)
+                last.append(piece)
                 score.append(best)
             out: list[int] = []
             end = len(word)
             while end:
-                j = start[end]
-                k = ids.get(word[j:end])
-                out.extend([k] if k is not None else self.loose(word[j:end])[::-1])
-                end = j
+                k = last[end]
+                if k >= 0:
+                    out.append(k)
+                else:
+                    out.extend(self.loose(word[end - 1 : end])[::-1])
+                end = start[end]
             yield word, out[::-1]
             before = word
 
     def learn(self, words: set[str]) -> None:
-        """Puts the ids of words (marks as spaces) among the known ones."""
+        """Puts the ids of words (marks as spaces) among the known ones.
+
+        Of two generations the older is dropped when the younger is full, so words
+        that keep coming stay.
+        """
+        if self.known_bytes > WORD_BYTES // 2:
+            self.older, self.known, self.known_bytes = self.known, {}, 0
         new = words.difference(self.known)
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known.clear()
-            new = words
-        for word, ids in self.segmented(sorted(w.replace(" ", MARK) for w in new)):
-            self.known[word.replace(MARK, " ")] = np.array(ids, "<i4").tobytes()
+        for w in new.intersection(self.older):
+            ids = self.known[w] = self.older[w]
+            self.known_bytes += WORD_COST + 4 * len(w) + len(ids)
+        for word, found in self.segmented(sorted(w.replace(" ", MARK) for w in new.difference(self.older))):
+            ids = self.known[word.replace(MARK, " ")] = array("i", found).tobytes()
+            self.known_bytes += WORD_COST + 4 * len(word) + len(ids)
+
+    def forget(self) -> None:
+        self.known, self.older, self.known_bytes = {}, {}, 0
 
     def marked(self, text: str) -> list[str]:
         return self.words.findall(" " + text.replace(MARK, " ")) if text else []
@@ -205,10 +238,12 @@ def read_model(path: str = MODEL_PATH) -> bytes:
 
 
 def encoded(docs: DataFrame, path: str = MODEL_PATH, ids: bool = True, drop_text: bool = True) -> DataFrame:
-    """docs with n_tokens, ids (unless not wanted), ids_sha256, and whether decoding them gave the text back.
+    """docs with n_tokens, ids_sha256, round_trip (whether decoding gave the text back), and ids unless they aren't wanted.
 
-    ids_sha256 is of the ids as little-endian 32-bit integers. The model file is
-    read by the driver and sent to the workers; it is a few hundred KB.
+    ids_sha256 is of the ids as little-endian 32-bit integers. Columns that docs
+    has already keep their names; the new ones then get underscores in front.
+    The model file is read by the driver and sent to the workers; it is a few
+    hundred KB.
     """
     shared = docs.sparkSession.sparkContext.broadcast(read_model(path))
     fields = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("round_trip", T.BooleanType())] + ([("ids", T.ArrayType(T.IntegerType()))] if ids else [])
@@ -217,7 +252,7 @@ def encoded(docs: DataFrame, path: str = MODEL_PATH, ids: bool = True, drop_text
         model = model_of(shared.value)
         whole = buf.tobytes()
         raw = [whole[a:b] for a, b in zip(offs[:-1], offs[1:], strict=True)]
-        found = model.encode_all([r.decode() for r in raw])
+        found = model.encode_all([r.decode("utf-8", "replace") for r in raw])
         lists = [np.frombuffer(x, "<i4") for x in found]
         back = [model.decode(x.tolist()) == r for x, r in zip(lists, raw, strict=True)]
         out: list = [[len(x) for x in lists], [hashlib.sha256(x).hexdigest() for x in found], back]
@@ -226,14 +261,15 @@ def encoded(docs: DataFrame, path: str = MODEL_PATH, ids: bool = True, drop_text
             out.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int32))))
         return out
 
-    return map_text(docs, "text", fields, run, drop_text)
+    return map_text(docs, "text", fields, run, drop_text, done=lambda: model_of(shared.value).forget())
 
 
 def decoded(rows: DataFrame, path: str = MODEL_PATH) -> DataFrame:
-    """rows with ids (array of int) replaced by text; null ids count as none."""
+    """rows with ids (array of int) replaced by text; null ids count as none. A column text that rows has already stays, and the new one is _text."""
     shared = rows.sparkSession.sparkContext.broadcast(read_model(path))
     kept = [f for f in rows.schema.fields if f.name != "ids"]
-    schema = T.StructType(kept + [T.StructField("text", T.StringType())])
+    schema = T.StructType(kept + [T.StructField(fresh([f.name for f in kept], "text"), T.StringType())])
+    bounded_batches(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of(shared.value)
