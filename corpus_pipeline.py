@@ -32,8 +32,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as token ids, checked by decoding."""
-    return sentencepiece_trie.encoded(docs.select("doc_id", "lang", "source", "text"))
+    """Documents with token ids in place of text, checked by decoding; other columns stay."""
+    return sentencepiece_trie.encoded(docs)
 
 
 STAGES = [("quality classifier", quality), ("exact dedup", exact), ("MinHash near-dedup", near), ("mixing", mix), ("SentencePiece", tokens)]
