@@ -33,10 +33,12 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, from spark.checkpoint.dir.
 
-    Only where the session names none (tests, one machine) a folder is made.
+    Only where the session names none and runs on one machine (tests) a folder is made.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="cairn-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -70,6 +72,31 @@ def fresh(df: DataFrame | list[str], name: str) -> str:
     return name
 
 
+# ---- labelled samples ------------------------------------------------------
+
+
+def sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, rows: int, size: int, by_class: bool) -> DataFrame:
+    """(doc_id, y, text): whole labelled documents, at most rows and at most size bytes of text in all, or of each class.
+
+    Documents come in the order of the hashes of their ids; one that is larger
+    than size alone is left out. Labels that are null or contradict each other
+    for a document don't count.
+    """
+    known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & usable)
+    one = known.groupBy("doc_id").agg(F.min(label).cast("int").alias("y"), F.max(label).alias("y2")).where("y = y2").select("doc_id", "y")
+    least = lambda df: df.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    picked = least(one.where("y = 0")).unionAll(least(one.where("y = 1"))) if by_class else least(one)
+    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id").select("doc_id", "y", "text")
+    sizes = own.groupBy("doc_id", "y").agg(F.sum(F.octet_length("text")).alias("size")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    ids, used = [], {}
+    for r in sizes:
+        k = r.y if by_class else 0
+        if used.get(k, 0) + r.size <= size:
+            used[k] = used.get(k, 0) + r.size
+            ids.append((r.doc_id,))
+    return own.join(F.broadcast(docs.sparkSession.createDataFrame(ids, T.StructType([own.schema["doc_id"]]))), "doc_id")
+
+
 # ---- Arrow text ------------------------------------------------------------
 
 

@@ -23,11 +23,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cairn.llm.common import map_text, word_hashes, word_spans
+from cairn.llm.common import fresh, map_text, sample, word_hashes, word_spans
 
 PASSAGE = 128
-#: Bound of the training sample: documents, and passages of one of them.
-SAMPLE_DOCS, SAMPLE_PASSAGES = 4000, 24
+#: Bound of the training sample: documents, and bytes of all of them; documents are taken whole, with all their passages.
+SAMPLE_DOCS, SAMPLE_BYTES = 4000, 24 << 20
 ENCODED, GATE, EPOCHS, BATCH, RATE, SEED = 32, 16, 30, 64, 0.004, 11
 THRESHOLD = 0.3
 
@@ -140,25 +140,13 @@ def train(x: np.ndarray, edges: np.ndarray, y: np.ndarray, epochs: int = EPOCHS,
     return model
 
 
-def sample(labels: DataFrame, label: str, usable: Column, bound: int) -> DataFrame:
-    """(doc_id, y): at most bound labelled rows, those of the least hashes of doc_id."""
-    rows = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & usable)
-    one = rows.groupBy("doc_id").agg(F.min(label).alias("y"), F.max(label).alias("y2")).where("y = y2")
-    return one.select("doc_id", F.col("y").cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
-
-
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "quality") -> Model | None:
     """A model of label from rows of labels for which usable holds, or None without any."""
-    picked = F.broadcast(sample(labels, label, usable, SAMPLE_DOCS))
-    rows = docs.select("doc_id", "text").join(picked, "doc_id")
+    rows = sample(docs, labels, label, usable, SAMPLE_DOCS, SAMPLE_BYTES, by_class=False)
 
     def features(buf: np.ndarray, offs: np.ndarray) -> list:
         x, edges = passages(buf, offs)
-        out = []
-        for i, j in zip(edges[:-1], edges[1:], strict=True):
-            keep = np.unique(np.linspace(i, j - 1, min(j - i, SAMPLE_PASSAGES)).astype(int))
-            out.append(x[keep].astype(np.float16).tobytes())
-        return [out]
+        return [[x[i:j].astype(np.float16).tobytes() for i, j in zip(edges[:-1], edges[1:], strict=True)]]
 
     found = sorted(map_text(rows, "text", [("x", T.BinaryType())], features).collect(), key=lambda r: (r.doc_id, bytes(r.x)))
     if not found:
@@ -169,7 +157,8 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "qualit
 
 
 def scored(docs: DataFrame, model: Model | None, drop_text: bool = False, name: str = "score") -> DataFrame:
-    """docs with the column name, which they mustn't have yet."""
+    """docs with the column name, which gets underscores in front if docs has one of that name."""
+    name = fresh(docs, name)
     if model is None:
         out = docs.withColumn(name, F.lit(0.5))
         return out.drop("text") if drop_text else out

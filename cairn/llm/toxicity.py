@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cairn.llm.common import IS_SPACE, LOWER, chunks, map_text, word_hashes, word_spans
+from cairn.llm.common import IS_SPACE, LOWER, chunks, fresh, map_text, sample, word_hashes, word_spans
 
 WINDOW, ORDERS, BUCKETS, WIDTH = 4, (4, 5, 6), 1 << 18, 8
 #: Bound of the training sample: documents of either label, and bytes of all of them; documents are taken whole.
@@ -135,39 +135,20 @@ def train(texts: list[bytes], y: np.ndarray, seed: int = SEED) -> Model:
     return Model((table @ (soft[:, 1] - soft[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
-def fitting(rows: list) -> list:
-    """The first of rows (size) whose sizes add up to SAMPLE_BYTES at most; what is larger alone is left out."""
-    out, total = [], 0
-    for r in rows:
-        if r.size > SAMPLE_BYTES:
-            continue
-        total += r.size
-        if total > SAMPLE_BYTES:
-            break
-        out.append(r)
-    return out
-
-
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic") -> Model | None:
     """A model of label from rows of labels for which usable holds, or None without any."""
-    rows = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & usable)
-    one = rows.groupBy("doc_id").agg(F.min(label).alias("y"), F.max(label).alias("y2")).where("y = y2").select("doc_id", F.col("y").cast("int").alias("y"))
-    least = lambda k: one.where(F.col("y") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_EACH)
-    picked = F.broadcast(least(0).unionAll(least(1)))
-    own = docs.select("doc_id", "text").join(picked, "doc_id").select("doc_id", "y", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("x"))
-    sizes = own.groupBy("doc_id", "y").agg(F.sum(F.octet_length("x")).alias("size")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
-    ids = [r.doc_id for k in (0, 1) for r in fitting([r for r in sizes if r.y == k])]
-    chosen = F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in ids], T.StructType([own.schema["doc_id"]])))
-    found = sorted(own.join(chosen, "doc_id").collect(), key=lambda r: (r.doc_id, bytes(r.x)))
+    rows = sample(docs, labels, label, usable, SAMPLE_EACH, SAMPLE_BYTES, by_class=True)
+    found = sorted(rows.select("doc_id", "y", F.col("text").cast("binary").alias("x")).collect(), key=lambda r: (r.doc_id, bytes(r.x)))
     if not found:
         return None
     return train([bytes(r.x) for r in found], np.array([r.y for r in found]))
 
 
-def scored(docs: DataFrame, model: Model | None, drop_text: bool = False) -> DataFrame:
-    """docs with the column score."""
+def scored(docs: DataFrame, model: Model | None, drop_text: bool = False, name: str = "score") -> DataFrame:
+    """docs with the column name, which gets underscores in front if docs has one of that name."""
+    name = fresh(docs, name)
     if model is None:
-        out = docs.withColumn("score", F.lit(0.0))
+        out = docs.withColumn(name, F.lit(0.0))
         return out.drop("text") if drop_text else out
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((model.table, model.bias))  # BUCKETS floats: 1 MB at any size of input
@@ -175,4 +156,4 @@ def scored(docs: DataFrame, model: Model | None, drop_text: bool = False) -> Dat
     def run(buf: np.ndarray, offs: np.ndarray) -> list:
         return [Model(*shared.value).score(buf, offs)]
 
-    return map_text(docs, "text", [("score", T.DoubleType())], run, drop_text)
+    return map_text(docs, "text", [(name, T.DoubleType())], run, drop_text)
