@@ -28,7 +28,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -146,8 +146,13 @@ def updated(counts: DataFrame, inserted: DataFrame | None = None, deleted: DataF
     return parts.groupBy("key").agg(F.sum("n").alias("n")).where("n <> 0")
 
 
-def _shard(n: int):
-    return F.pmod(F.xxhash64("key"), F.lit(n)).cast("int")
+def _shard(n: int) -> Column:
+    """The shard of a key: four of its bytes, which neither the bucket nor the fingerprint is taken from; the same as shard_of."""
+    return F.pmod(F.conv(F.hex(F.substring("key", 9, 4)), 16, 10).cast("long"), F.lit(n)).cast("int")
+
+
+def shard_of(keys: np.ndarray, n: int) -> np.ndarray:
+    return keys[:, 1].astype(np.uint32).byteswap() % np.uint32(n)
 
 
 def shards_for(common: DataFrame) -> int:
@@ -188,11 +193,31 @@ def maintained(old: DataFrame, before: DataFrame, after: DataFrame, n_shards: in
     return old.groupBy("shard").cogroup(moved.withColumn("shard", _shard(n_shards)).groupBy("shard")).applyInPandas(change, FILTER_SCHEMA)
 
 
-def _screen(tables: list[bytes], digests: list[bytes]) -> np.ndarray:
-    """Whether some shard's filter may hold each digest."""
-    keys, hit = as_keys(digests), np.zeros(len(digests), bool)
-    for t in tables:
-        hit |= CuckooFilter(table=np.frombuffer(t, np.uint16).reshape(-1, 4)).contains(keys)
+def screened(tables: list[bytes], keys: np.ndarray) -> np.ndarray:
+    """Whether the filter of each key's shard may hold it; a shard without keys has an empty filter."""
+    hit, shard = np.zeros(len(keys), bool), shard_of(keys, len(tables))
+    order = np.argsort(shard, kind="stable")
+    ends = np.searchsorted(shard[order], np.arange(len(tables) + 1))
+    for i, t in enumerate(tables):
+        own = order[ends[i] : ends[i + 1]]
+        if len(own) and t:
+            hit[own] = CuckooFilter(table=np.frombuffer(t, np.uint16).reshape(-1, 4)).contains(keys[own])
+    return hit
+
+
+def sorted_keys(keys: np.ndarray) -> np.ndarray:
+    return keys[np.lexsort((keys[:, 1], keys[:, 0]))]
+
+
+def among(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether each key is in the sorted table: found by the first half, compared by the second."""
+    lo, hi = (np.searchsorted(table[:, 0], keys[:, 0], side) for side in ("left", "right"))
+    hit = np.zeros(len(keys), bool)
+    at = np.flatnonzero(hi > lo)
+    while len(at):  # once, but for keys that share their first half
+        hit[at] |= table[lo[at], 1] == keys[at, 1]
+        lo[at] += 1
+        at = at[hi[at] > lo[at]]
     return hit
 
 
@@ -217,7 +242,10 @@ def deduped(docs: DataFrame, counts: DataFrame | None = None, min_chars: int = M
     shards = written(filters(common, n_shards), "lines-filters")
     sizes = shards.agg(F.coalesce(F.sum(F.length("filter")), F.lit(0)).alias("f"), F.coalesce(F.sum(F.length("keys")), F.lit(0)).alias("k")).first()
     spark = docs.sparkSession
-    tables = [bytes(r["filter"]) for r in shards.orderBy("shard").select("filter").collect()] if sizes.f <= filter_bytes else None
+    tables = None
+    if sizes.f <= filter_bytes:
+        made = {r["shard"]: bytes(r["filter"]) for r in shards.select("shard", "filter").collect()}
+        tables = [made.get(i, b"") for i in range(n_shards)]
     shared = spark.sparkContext.broadcast(tables)
     fields = FIELDS if digest else [("kept_text", T.BinaryType())]
 
@@ -231,13 +259,15 @@ def deduped(docs: DataFrame, counts: DataFrame | None = None, min_chars: int = M
         return [list(x) for x in zip(*out, strict=True)]
 
     if tables is not None and sizes.k <= exact_bytes:
-        exact = spark.sparkContext.broadcast([bytes(r["keys"]) for r in shards.orderBy("shard").select("keys").collect()])
+        held = b"".join(bytes(r["keys"]) for r in shards.select("keys").collect())
+        exact = spark.sparkContext.broadcast(sorted_keys(as_keys(held)))
 
         def run(buf: np.ndarray, offs: np.ndarray) -> list:
             seen = list({k for text in texts(buf, offs) for line in text.split(b"\n") if (k := key_of(line, min_chars)) is not None})
-            maybe = {k for k, hit in zip(seen, _screen(shared.value, seen), strict=True) if hit} if seen else set()
-            held = {k for part in exact.value for i in range(0, len(part), 16) if (k := part[i : i + 16]) in maybe} if maybe else set()
-            return results(buf, offs, lambda i: held.__contains__)
+            keys = as_keys(seen)
+            maybe = np.flatnonzero(screened(shared.value, keys))
+            common = {seen[i] for i in maybe[among(exact.value, keys[maybe])]}
+            return results(buf, offs, lambda i: common.__contains__)
 
         return map_text(docs, "text", fields, run)
 
@@ -253,7 +283,7 @@ def deduped(docs: DataFrame, counts: DataFrame | None = None, min_chars: int = M
                     own = {k for line in text.split(b"\n") if (k := key_of(line, min_chars)) is not None}
                     keys.extend(own)
                     at.extend([lo + i] * len(own))
-            hit = np.flatnonzero(_screen(shared.value, keys)) if shared.value is not None and keys else np.arange(len(keys))
+            hit = np.flatnonzero(screened(shared.value, as_keys(keys))) if shared.value is not None and keys else np.arange(len(keys))
             rows = pa.array(np.array(at, np.int64)[hit] if len(hit) else [], pa.int64())
             yield pa.RecordBatch.from_arrays([ids.take(rows), shas.take(rows), pa.array([keys[i] for i in hit], pa.binary())], names=["_id", "_t", "key"])
 
@@ -274,11 +304,13 @@ def deduped(docs: DataFrame, counts: DataFrame | None = None, min_chars: int = M
     return joined.mapInArrow(finish, schema)
 
 
+#: Rows are documents, whatever their ids.
 ORACLE = r"""
-WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT r, doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM d),
 k AS (SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
-c AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+c AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT r) >= 10)
 SELECT doc_id, count(*) AS n_lines, count(c.key) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE c.key IS NULL), '')) AS kept_sha256
-FROM k LEFT JOIN c ON k.key = c.key GROUP BY doc_id
+FROM k LEFT JOIN c ON k.key = c.key GROUP BY r, doc_id
 """
