@@ -25,7 +25,7 @@ are not 0. An empty table gives an empty result. Other columns are kept.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -44,7 +44,7 @@ _BIG = "decimal(38,0)"
 
 
 def domain_of(source: Column) -> Column:
-    """The domain of a source: one of four, by the first digit of its md5."""
+    """The domain of a source where none is given: one of four, by the first digit of its md5."""
     digit = F.substring(F.md5(F.coalesce(source, F.lit(""))), 1, 1)
     return F.when(digit < "4", "0").when(digit < "8", "1").when(digit < "c", "2").otherwise("3")
 
@@ -110,10 +110,10 @@ def budgets(leaves: DataFrame, total: int | None, weights: Mapping[str, Mapping[
     return leaves.join(given, list(LEVELS)).select(*LEVELS, "tokens", F.col("budget").cast("long").alias("budget"))
 
 
-def selection(docs: DataFrame, total: int | None = None, weights: Mapping[str, Mapping[str, int]] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
-    """(doc_id, domain, lang, source, n_tokens, copies) for each row of docs; copies: the times it is taken."""
+def selection(docs: DataFrame, total: int | None = None, weights: Mapping[str, Mapping[str, int]] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED, domain: Callable[[Column], Column] = domain_of) -> DataFrame:
+    """(doc_id, domain, lang, source, n_tokens, copies) for each row of docs; copies: the times it is taken. domain: of a source."""
     lang, source = F.coalesce("lang", F.lit("")), F.coalesce("source", F.lit(""))
-    sized = written(docs.select("doc_id", domain_of(F.col("source")).alias("domain"), lang.alias("lang"), source.alias("source"), n_tokens(F.col("text")).alias("n_tokens")), "mix-sized")
+    sized = written(docs.select("doc_id", domain(F.col("source")).alias("domain"), lang.alias("lang"), source.alias("source"), n_tokens(F.col("text")).alias("n_tokens")), "mix-sized")
     cut = written(cuts(sized, total, weights, max_epochs, seed), "mix-cuts")
     return taken(sized, cut, seed).select("doc_id", *LEVELS, "n_tokens", "copies")
 
@@ -149,9 +149,9 @@ def taken(rows: DataFrame, cut: DataFrame, seed: int = SEED) -> DataFrame:
     return joined.withColumn("copies", F.coalesce(F.col("whole") + F.coalesce(more, F.lit(False)).cast("long"), F.lit(0).cast("long"))).drop("whole", "last_key")
 
 
-def mixed_documents(docs: DataFrame, total: int | None = None, weights: Mapping[str, Mapping[str, int]] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
+def mixed_documents(docs: DataFrame, total: int | None = None, weights: Mapping[str, Mapping[str, int]] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED, domain: Callable[[Column], Column] = domain_of) -> DataFrame:
     """The rows of docs that are taken, each as often as it is, with all their columns."""
-    key = {"domain": domain_of(F.col("source")), "lang": F.coalesce("lang", F.lit("")), "source": F.coalesce("source", F.lit(""))}
+    key = {"domain": domain(F.col("source")), "lang": F.coalesce("lang", F.lit("")), "source": F.coalesce("source", F.lit(""))}
     sized = written(docs.select("doc_id", *[c.alias(k) for k, c in key.items()], n_tokens(F.col("text")).alias("n_tokens")), "mix-sized")
     cut = written(cuts(sized, total, weights, max_epochs, seed), "mix-cuts")
     own = {k: fresh(docs, f"_{k}") for k in (*LEVELS, "whole", "last_key", "copy")}
