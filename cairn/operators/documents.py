@@ -89,22 +89,46 @@ def postcodes(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(r"\b([A-Z]{1,2}[0-9][0-9A-Z]? [0-9][A-Z]{2})\b"), 1))
 
 
+#: Characters kept of a URL and of a document's content, as an indexer would; whole texts are used for everything else. Fixed values.
+URL_CHARS, CONTENT_CHARS = 2048, 512 * 1024
+
+
 def word_profiles(docs: DataFrame, label: str, most: int = 60) -> DataFrame:
-    """(label, word): the most frequent words of each label; at most that many for each."""
+    """(label, word): the most frequent words of each label; at most that many for each.
+
+    Each of 64 parts of a label's vocabulary gives its own most frequent words
+    first, so no task sorts a whole vocabulary.
+    """
     words = docs.select(label, F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).where("word <> ''")
-    counts = words.groupBy(label, "word").agg(F.count("*").alias("n"))
-    return counts.withColumn("_i", F.row_number().over(W.partitionBy(label).orderBy(F.desc("n"), "word"))).where(F.col("_i") <= most).select(label, "word")
+    counts = words.groupBy(label, "word").agg(F.count("*").alias("n")).withColumn("_part", F.pmod(F.hash("word"), F.lit(64)))
+    for keys in ([label, "_part"], [label]):
+        counts = counts.withColumn("_i", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("n"), "word"))).where(F.col("_i") <= most)
+    return counts.select(label, "word")
 
 
-def language(docs: DataFrame, profiles: DataFrame, label: str = "lang") -> DataFrame:
-    """(doc_id, guess): the label whose profile has most of a text's words; ties by name.
+def language(docs: DataFrame, profiles: DataFrame, label: str = "lang", most: int = 20_000) -> DataFrame:
+    """(doc_id, guess): the label whose profile has most of a text's words, ties by name; null for a text without any.
 
-    profiles has a few words for each label and is broadcast; words are counted
-    before they leave their task.
+    profiles has a few words for each label. Up to most rows of it become sets
+    that are asked where the text is; a larger table is joined with the words.
     """
-    words = docs.select("doc_id", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word"))
-    hits = words.join(F.broadcast(profiles.select(F.col(label).alias("guess"), "word")), "word").groupBy("doc_id", "guess").agg(F.count("*").alias("n"))
-    return hits.groupBy("doc_id").agg(F.max_by("guess", F.struct("n", F.expr("-ascii(guess)"), "guess")).alias("guess"))
+    known = profiles.select(F.col(label).alias("guess"), "word").where("guess IS NOT NULL")
+    rows = known.limit(most + 1).collect()
+    words = F.split(F.lower("text"), r"[^\p{L}]+")
+    best = lambda n, guess: F.struct(n.alias("n"), (-F.ascii(guess)).alias("a"), guess.alias("guess"))
+    if len(rows) > most:
+        hits = docs.select("doc_id", F.explode(words).alias("word")).join(known, "word").groupBy("doc_id", "guess").agg(F.count("*").alias("n"))
+        found = hits.groupBy("doc_id").agg(F.max(best(F.col("n"), F.col("guess")))["guess"].alias("guess"))
+        return docs.select("doc_id").join(found, "doc_id", "left")
+    sets: dict[str, list[str]] = {}
+    for r in rows:
+        sets.setdefault(r.guess, []).append(r.word)
+    if not sets:
+        return docs.select("doc_id", F.lit(None).cast("string").alias("guess"))
+    some = docs.select("doc_id", F.filter(words, lambda w: w.isin(*sorted({r.word for r in rows}))).alias("words"))
+    among = lambda own: F.size(F.filter("words", lambda w: w.isin(*own)))
+    scores = F.array(*[best(among(own), F.lit(guess)) for guess, own in sorted(sets.items())])
+    return some.select("doc_id", F.when(F.size("words") > 0, F.array_max(scores)["guess"]).alias("guess"))
 
 
 def nearest_colour(colours: DataFrame, named: DataFrame) -> DataFrame:

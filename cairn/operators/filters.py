@@ -65,8 +65,8 @@ def near_hashes(rows: DataFrame, bits: Column, key: str, bands: int, width: int)
     return banded.join(lead, ["band", "value"]).where(F.col(key) > F.col("a")).select("a", F.col(key).alias("b")).distinct()
 
 
-def sentiment(text: Column, good: tuple[str, ...], bad: tuple[str, ...], most: int = 10_000) -> Column:
-    """Good words less bad words in a text's beginning."""
-    words = F.split(F.lower(F.substring(text, 1, most)), r"[^\p{L}]+")
+def sentiment(text: Column, good: tuple[str, ...], bad: tuple[str, ...]) -> Column:
+    """Good words less bad words of a text."""
+    words = F.split(F.lower(text), r"[^\p{L}]+")
     count = lambda which: F.size(F.filter(words, lambda w: w.isin(*which)))
     return count(good) - count(bad)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cairn.operators.timeline import first_rows
+
 
 def status_rollup(jobs: DataFrame, collection: str = "collection") -> DataFrame:
     """(collection, jobs, by_status, last_activity): jobs of each collection by status."""
@@ -55,6 +57,14 @@ def preview(items: Column, most: int = 5) -> Column:
     return F.when(more > 0, F.concat(head, F.lit(" and "), more.cast("string"), F.lit(" more"))).otherwise(head)
 
 
+def previewed(rows: DataFrame, key: str, order: str, value: str, most: int = 5) -> DataFrame:
+    """(key, shown): the first values of each key and how many more there are; only the first rows of a key are gathered."""
+    head = first_rows(rows.select(key, order, value), key, [order], most).groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda x: x[value]).alias("_l"))
+    total = rows.groupBy(key).agg(F.count("*").alias("_n"))
+    more, shown = F.col("_n") - most, F.array_join("_l", ", ")
+    return head.join(total, key).select(key, F.when(more > 0, F.concat(shown, F.lit(" and "), more.cast("string"), F.lit(" more"))).otherwise(shown).alias("shown"))
+
+
 def reconciled(jobs: DataFrame, now: Column, idle: int = 60) -> DataFrame:
     """jobs (status, alive, updated) with the status that a dead worker's job gets, and why."""
     stale = F.col("status").isin("running", "stopping", "paused") & ~F.col("alive") & (now - F.col("updated") >= idle)

@@ -54,8 +54,29 @@ def term_regex(term: str) -> str:
     return r"(?<![\p{L}\p{N}_])" + r"\s+".join(one(w) for w in term.lower().split()) + r"(?![\p{L}\p{N}_])"
 
 
-def hits(text: Column, term: str) -> Column:
-    return F.regexp_count(text, F.lit(term_regex(term)))
+def forms(term: str) -> tuple[str, ...]:
+    """The words that a term of one word matches; empty if it isn't one word."""
+    word = term.lower()
+    if not re.fullmatch(r"\w+", word):
+        return ()
+    return (word, word[:-1] + "ies") if len(word) > 3 and word.endswith("y") else tuple(word + end for end in ("", "s", "es", "ed", "ing"))
+
+
+def read(theme: Theme, text: Column) -> Column:
+    """struct(text, words): a normalised text, and those of its words that a term of the theme matches, found in one pass.
+
+    Make it a column of its own, so that it is computed once for all terms.
+    """
+    wanted = sorted({f for t in (*theme.terms, *theme.exclude_terms) for f in forms(t)})
+    words = F.filter(F.split(text, r"[^\p{L}\p{N}_]+"), lambda w: w.isin(*wanted)) if wanted else F.array().cast("array<string>")
+    return F.struct(text.alias("text"), words.alias("words"))
+
+
+def hits(said: Column, term: str) -> Column:
+    """How often a read text has the term."""
+    if own := forms(term):
+        return F.size(F.filter(said["words"], lambda w: w.isin(*own)))
+    return F.regexp_count(said["text"], F.lit(term_regex(term)))
 
 
 def first_pattern(url: Column, patterns: tuple[str, ...]) -> Column:
@@ -67,7 +88,7 @@ def first_pattern(url: Column, patterns: tuple[str, ...]) -> Column:
 
 
 def hard_reason(theme: Theme, url: Column, published: Column, head: Column, body: Column) -> Column:
-    """Why a page is refused whatever its score, by the first rule that does: URL, dates, excluded terms."""
+    """Why a page is refused whatever its score, by the first rule that does: URL, dates, excluded terms. head, body: read texts."""
     steps = [F.when(first_pattern(url, theme.url_exclude).isNotNull(), F.lit("url"))]
     if theme.date_from:
         steps.append(F.when(published < F.lit(theme.date_from), F.lit("before")))
@@ -80,7 +101,7 @@ def hard_reason(theme: Theme, url: Column, published: Column, head: Column, body
 
 
 def scores(theme: Theme, url: Column, head: Column, meta: Column, body: Column) -> Column:
-    """struct(head, meta, body, score): terms in their order, each counted at the first place with room for it."""
+    """struct(head, meta, body, score): terms in their order, each counted at the first place with room for it. head, meta, body: read texts."""
     counts = F.array(*[F.struct((hits(head, t) > 0).alias("h"), (hits(meta, t) > 0).alias("m"), F.least(hits(body, t), F.lit(3)).alias("b")) for t in theme.terms]) if theme.terms else F.array().cast("array<struct<h:boolean,m:boolean,b:int>>")
     start = F.struct(F.lit(0).alias("head"), F.lit(0).alias("meta"), F.lit(0).alias("body"))
 
@@ -125,7 +146,7 @@ def hub_verdict(theme: Theme, decision: Column, hub: Column) -> Column:
 
 def link_verdict(theme: Theme, url: Column, text: Column) -> Column:
     """skip, hub, fetch or unsure for a link by its URL and text."""
-    said = normalised(text)
+    said = read(theme, normalised(text))
     barred = first_pattern(url, theme.url_exclude).isNotNull()
     for term in theme.exclude_terms:
         barred = barred | (hits(said, term) > 0)

@@ -105,11 +105,24 @@ def not_collected(counts: Column, stated: Column, cap: int) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(cap), stated) - counts)
 
 
+def first_rows(rows: DataFrame, key: str, order: list[str], most: int, parts: int = 64) -> DataFrame:
+    """The first rows of each key: first of each of its parts, so that no task sorts all rows of a key."""
+    cut = rows.withColumn("_part", F.pmod(F.xxhash64(*order), F.lit(parts)))
+    for keys in ([key, "_part"], [key]):
+        cut = cut.withColumn("_i", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("_i") <= most)
+    return cut.drop("_part", "_i")
+
+
 def merged_by_alias(posts: DataFrame, key: str, order: str, fields: list[str], any_of: list[str], all_of: list[str], lists: list[str], limit: int = 50) -> DataFrame:
-    """One row for each key: first value that isn't null, or and and of flags, union of lists up to limit."""
-    inorder = lambda c: F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct(order, c))))[0][c]
-    joined = lambda c: F.slice(F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(order, c))), lambda x: x[c]))), 1, limit)
-    return posts.groupBy(key).agg(*[inorder(c).alias(c) for c in fields], *[F.bool_or(c).alias(c) for c in any_of], *[F.bool_and(c).alias(c) for c in all_of], *[joined(c).alias(c) for c in lists])
+    """One row for each key: first value that isn't null, or and and of flags, union of lists in order up to limit."""
+    first = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct(order, c)))[c].alias(c)
+    out = posts.groupBy(key).agg(*[first(c) for c in fields], *[F.bool_or(c).alias(c) for c in any_of], *[F.bool_and(c).alias(c) for c in all_of])
+    for c in lists:
+        items = posts.select(key, order, F.posexplode(c).alias("_at", "_item")).groupBy(key, "_item").agg(F.min(F.struct(order, "_at")).alias("_first"))
+        items = first_rows(items.select(key, "_item", "_first.*"), key, [order, "_at"], limit)
+        found = items.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, "_at", "_item"))), lambda x: x["_item"]).alias(c))
+        out = out.join(found, key, "left").withColumn(c, F.coalesce(c, F.array().cast(posts.schema[c].dataType)))
+    return out
 
 
 def fullest(records: DataFrame, key: str, score: list[str], order: str, flag: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cairn.operators import captures as C
 from cairn.plans.catalog import Catalog
-from cairn.plans.inputs import CAPTURES, captures
+from cairn.plans.inputs import CAPTURES, captures, written
 
 query = Catalog()
 QUERIES, ORACLE = query.queries, query.sql
@@ -20,6 +20,11 @@ def resolved(spark, sf):
     return C.resolved(captures(spark, sf))
 
 
+def stored(spark, sf):
+    """resolved captures, written: what reads them more than once digests the payloads once."""
+    return written(resolved(spark, sf), "captures")
+
+
 def removed(spark):
     return spark.createDataFrame([(j,) for j in REMOVED], "crawl_id long")
 
@@ -43,22 +48,26 @@ def a01_jobs(spark, sf):
     return C.refers_to_jobs(resolved(spark, sf))
 
 
-@query("f89_merged_job_maps", f"""{_W}, n AS (SELECT refers_to, count(*) AS n FROM captures WHERE refers_to <> crawl_id GROUP BY 1) SELECT refers_to, 2 * n AS n FROM n""")
+@query("f89_merged_job_maps", f"{_W} SELECT crawl_id, refers_to, count(*) AS n FROM captures WHERE refers_to <> crawl_id GROUP BY 1, 2")
 def f89(spark, sf):
-    maps = C.refers_to_map(resolved(spark, sf)).select(F.explode(C.merged_maps(F.col("refers_to_jobs"), F.col("refers_to_jobs"))).alias("refers_to", "n"))
-    return maps.groupBy("refers_to").agg(F.sum("n").alias("n"))
+    """The maps of captures with even and odd ids, added up, are the maps of all."""
+    r = resolved(spark, sf)
+    half = lambda k: C.refers_to_map(r.where(F.col("id") % 2 == k)).withColumnRenamed("refers_to_jobs", f"m{k}")
+    none = F.create_map().cast("map<bigint,bigint>")
+    maps = half(0).join(half(1), "crawl_id", "full").select("crawl_id", C.merged_maps(F.coalesce("m0", none), F.coalesce("m1", none)).alias("m"))
+    return maps.select("crawl_id", F.explode("m").alias("refers_to", "n"))
 
 
 @query("a03_collection_counts", f"""{_FLAGGED} SELECT count(*) AS records, count(*) FILTER (record_type = 'response') AS originals, count(*) FILTER (record_type = 'revisit') AS revisits,
   count(*) FILTER (orphaned) AS orphaned, CAST(sum(length) FILTER (record_type = 'revisit') AS BIGINT) AS bytes_saved FROM flagged""")
 def a03(spark, sf):
-    return C.collection_counts(C.flagged(resolved(spark, sf), removed(spark)))
+    return C.collection_counts(C.flagged(stored(spark, sf), removed(spark)))
 
 
 @query("a04_referring_into_job", f"""{_FLAGGED} SELECT refers_to AS job, crawl_id, count(*) AS n FROM flagged WHERE record_type = 'revisit' AND NOT orphaned AND refers_to <> crawl_id
   GROUP BY GROUPING SETS ((refers_to, crawl_id), (refers_to))""")
 def a04(spark, sf):
-    return C.referring_into(C.flagged(resolved(spark, sf), removed(spark)))
+    return C.referring_into(C.flagged(stored(spark, sf), removed(spark)))
 
 
 @query("j02_digest_lookup", f"{_W} SELECT digest, id, crawl_id, url_key FROM captures WHERE record_type = 'response'")
@@ -75,7 +84,7 @@ def j03(spark, sf):
 
 @query("j04_revisit_into_removed_job", f"{_FLAGGED} SELECT id, url_key, refers_to, orphaned FROM flagged WHERE record_type = 'revisit'")
 def j04(spark, sf):
-    return C.flagged(resolved(spark, sf), removed(spark)).where("record_type = 'revisit'").select("id", "url_key", "refers_to", "orphaned")
+    return C.flagged(stored(spark, sf), removed(spark)).where("record_type = 'revisit'").select("id", "url_key", "refers_to", "orphaned")
 
 
 @query("j13_referenced_jobs", f"{_W} SELECT DISTINCT crawl_id, refers_to FROM captures WHERE refers_to <> crawl_id")
@@ -107,18 +116,18 @@ def u03(spark, sf):
 @query("u01_u04_restored", f"""{_FLAGGED}, back AS (SELECT DISTINCT url_key FROM captures WHERE record_type = 'response' AND crawl_id = 5)
 SELECT id, orphaned AND url_key NOT IN (SELECT url_key FROM back) AS orphaned FROM flagged""")
 def u04(spark, sf):
-    r = resolved(spark, sf)
+    r = stored(spark, sf)
     return C.restored(C.flagged(r, removed(spark)), r.where("record_type = 'response' AND crawl_id = 5")).select("id", "orphaned")
 
 
 @query("u05_orphans", f"{_FLAGGED} SELECT crawl_id, url_key, seen_at, id FROM flagged WHERE orphaned ORDER BY crawl_id, url_key, seen_at")
 def u05(spark, sf):
-    return C.flagged(resolved(spark, sf), removed(spark)).where("orphaned").select("crawl_id", "url_key", "seen_at", "id").orderBy("crawl_id", "url_key", "seen_at")
+    return C.flagged(stored(spark, sf), removed(spark)).where("orphaned").select("crawl_id", "url_key", "seen_at", "id").orderBy("crawl_id", "url_key", "seen_at")
 
 
 @query("a31_distinct_orphan_pages", f"{_FLAGGED} SELECT url_key, crawl_id, seen_at FROM flagged WHERE orphaned QUALIFY row_number() OVER (PARTITION BY url_key ORDER BY crawl_id, seen_at) = 1")
 def a31(spark, sf):
-    return C.orphan_pages(C.flagged(resolved(spark, sf), removed(spark)))
+    return C.orphan_pages(C.flagged(stored(spark, sf), removed(spark)))
 
 
 @query("u06_rebuild_index", f"""{_W} SELECT id, crawl_id, CASE WHEN record_type = 'revisit' THEN refers_to END AS refers_to, false AS orphaned FROM captures""")

@@ -144,8 +144,7 @@ def a28(spark, sf):
 
 @query("x06_preview", "WITH p AS (SELECT p_brand, list(p_name ORDER BY p_partkey) AS l FROM part GROUP BY 1) SELECT p_brand, CASE WHEN len(l) > 5 THEN array_to_string(l[1:5], ', ') || ' and ' || (len(l) - 5) || ' more' ELSE array_to_string(l, ', ') END AS shown FROM p")
 def x06(spark, sf):
-    lists = table(spark, sf, "part").groupBy("p_brand").agg(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name"))), lambda x: x["p_name"]).alias("l"))
-    return lists.select("p_brand", R.preview(F.col("l")).alias("shown"))
+    return R.previewed(table(spark, sf, "part"), "p_brand", "p_partkey", "p_name")
 
 
 @query("a33_page_health", "SELECT user_id, " + ", ".join(f"count(*) FILTER (event_type = '{k}') AS {k}" for k in ("click", "error", "view")) + " FROM events GROUP BY 1")

@@ -20,7 +20,7 @@ THEME = T.Theme(name="harsh words", terms=("trash", "the", "loser", "der", "los"
 
 def _docs(spark, sf):
     d = table(spark, sf, "documents")
-    return d.select("doc_id", F.concat(F.lit("http://"), "lang", F.lit("/"), "source", F.lit("/")).alias("url"), T.normalised(F.split_part("text", F.lit("\n"), F.lit(1))).alias("head"), F.col("lang").alias("meta"), T.normalised(F.col("text")).alias("body"))
+    return d.select("doc_id", F.concat(F.lit("http://"), "lang", F.lit("/"), "source", F.lit("/")).alias("url"), T.read(THEME, T.normalised(F.split_part("text", F.lit("\n"), F.lit(1)))).alias("head"), T.read(THEME, F.col("lang")).alias("meta"), T.read(THEME, T.normalised(F.col("text"))).alias("body"))
 
 
 _WORDCH = "[\\p{L}\\p{N}_]"
@@ -71,13 +71,13 @@ def h06(spark, sf):
 
 @query("h05_h07_link_verdicts", f"WITH d AS (SELECT doc_id, 'http://' || lang || '/' || source || '/' AS url, trim(regexp_replace(lower(split_part(text, chr(10), 1)), '\\s+', ' ', 'g'), ' ') AS head FROM documents) SELECT doc_id, CASE WHEN contains(url, '/src7/') OR {_hits('head', 'scum')} > 0 OR {_hits('head', 'moron')} > 0 THEN 'skip' WHEN contains(url, '/src5/') THEN 'hub' WHEN regexp_matches(url, '/src1[0-9]/') OR " + " OR ".join(f"{_hits('head', t)} > 0" for t in THEME.terms) + " THEN 'fetch' ELSE 'unsure' END AS link FROM d")
 def h05(spark, sf):
-    return _docs(spark, sf).select("doc_id", T.link_verdict(THEME, F.col("url"), F.col("head")).alias("link"))
+    return _docs(spark, sf).select("doc_id", T.link_verdict(THEME, F.col("url"), F.col("head.text")).alias("link"))
 
 
-@query("h09_quotes_found", "SELECT doc_id, 1 AS found FROM documents")
+@query("h09_quotes_found", r"WITH d AS (SELECT doc_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g'), ' ') AS t FROM documents) SELECT doc_id, 1 + CAST(contains(t, 'licensed under') AS INTEGER) + CAST(contains(t, 'the the') AS INTEGER) AS found FROM d")
 def h09(spark, sf):
     d = table(spark, sf, "documents")
-    quotes = F.array(F.substring("text", 1, 30), F.lit("a quote that no text has"))
+    quotes = F.array(F.substring("text", 1, 30), F.lit("Licensed  under"), F.lit("the the"), F.lit("a quote that no text has"))
     return d.select("doc_id", F.size(T.quotes_found(quotes, F.col("text"))).alias("found"))
 
 
@@ -133,7 +133,7 @@ p AS (SELECT lang AS guess, word FROM (SELECT lang, word, count(*) AS n FROM w W
 h AS (SELECT doc_id, guess, count(*) AS n FROM w JOIN p USING (word) GROUP BY 1, 2)"""
 
 
-@query("h26_language", _PROFILE + " SELECT doc_id, arg_max(guess, (n, -ascii(guess), guess)) AS guess FROM h GROUP BY 1")
+@query("h26_language", _PROFILE + ", b AS (SELECT doc_id, arg_max(guess, (n, -ascii(guess), guess)) AS guess FROM h GROUP BY 1) SELECT doc_id, guess FROM documents LEFT JOIN b USING (doc_id)")
 def h26(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "lang", "text")
     return O.language(d, O.word_profiles(d, "lang"))
@@ -177,18 +177,20 @@ def q06(spark, sf):
     return d.select("doc_id", O.block_reason(F.col("source") == "src0", F.col("text"), F.when(F.col("n_chars") < 100, 403).otherwise(200), ("licensed under",)).alias("reason"))
 
 
-@query("q08_q20_page_predicates", "SELECT page_id, true AS page, true AS html FROM pages")
+@query("q08_q20_page_predicates", "SELECT page_id, page_id % 3 = 0 AS page, page_id % 4 <> 1 AS html FROM pages")
 def q08(spark, sf):
-    p = table(spark, sf, "pages")
-    mime = F.lower(F.trim(F.split_part(F.lit("Text/HTML; charset=utf-8"), F.lit(";"), F.lit(1))))
-    return p.select("page_id", mime.isin("text/html", "application/xhtml+xml").alias("page"), (O.magic_type(F.col("html")) == "text/html").alias("html"))
+    p, k = table(spark, sf, "pages"), F.col("page_id")
+    served = F.when(k % 3 == 0, "Text/HTML; charset=utf-8").when(k % 3 == 1, "text/css")
+    body = F.when(k % 4 == 1, F.concat(F.lit("%PDF-1.7 "), "html")).otherwise(F.col("html"))
+    mime = F.lower(F.trim(F.split_part(served, F.lit(";"), F.lit(1))))
+    return p.select("page_id", F.coalesce(mime.isin("text/html", "application/xhtml+xml"), F.lit(False)).alias("page"), (O.magic_type(body) == "text/html").alias("html"))
 
 
-@query("p01_p02_search_documents", r"""SELECT doc_id, 'http://' || lang || '.example.com/' || doc_id AS url_norm, lang || '.example.com' AS host, 'example.com' AS domain, n_chars AS content_length, substr(text, 1, 2048) AS content, 'sha1:' || sha1(text) AS hash FROM documents""")
+@query("p01_p02_search_documents", r"""SELECT doc_id, 'http://' || lang || '.example.com/' || doc_id AS url_norm, lang || '.example.com' AS host, 'example.com' AS domain, n_chars AS content_length, substr(text, 1, 524288) AS content, 'sha1:' || sha1(text) AS hash FROM documents""")
 def p01(spark, sf):
     url = F.concat(F.lit("http://www."), "lang", F.lit(".example.com/"), F.col("doc_id").cast("string"), F.lit("/"))
-    n = U.normalised(url)
-    return table(spark, sf, "documents").select("doc_id", n.alias("url_norm"), U.host(n).alias("host"), U.last_two_labels(U.host(n)).alias("domain"), F.col("n_chars").alias("content_length"), F.substring("text", 1, 2048).alias("content"), X.sha1_digest(F.col("text")).alias("hash"))
+    n = F.left(U.normalised(url), F.lit(O.URL_CHARS))
+    return table(spark, sf, "documents").select("doc_id", n.alias("url_norm"), U.host(n).alias("host"), U.last_two_labels(U.host(n)).alias("domain"), F.col("n_chars").alias("content_length"), F.substring("text", 1, O.CONTENT_CHARS).alias("content"), X.sha1_digest(F.col("text")).alias("hash"))
 
 
 @query("k19_p18_document_shape", "SELECT doc_id AS _id, coalesce(nullif(CASE WHEN lang = 'en' THEN '' ELSE lang END, ''), 'other') AS content_type_norm, lang || chr(9) || coalesce(NULL, '') || chr(9) || source AS formats FROM documents")
@@ -197,19 +199,47 @@ def k19(spark, sf):
     return table(spark, sf, "documents").select(F.col("doc_id").alias("_id"), F.coalesce(F.nullif(norm, F.lit("")), F.lit("other")).alias("content_type_norm"), F.concat_ws("\t", "lang", F.lit(""), "source").alias("formats"))
 
 
-# ---- HTML (Arrow functions; no SQL) ------------------------------------------------------
+# ---- HTML (Arrow functions; the SQL takes the given pages apart by patterns) -----------
 
 
-@query("h01_page_fingerprint")
+def _unescaped(x: str) -> str:
+    for name, char in (("copy", "©"), ("middot", "·"), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("amp", "&")):
+        x = f"regexp_replace({x}, '&{name};?', '{char}', 'g')"
+    return x
+
+
+def _lines(x: str) -> str:
+    """Text of markup x: line elements begin and end lines, other tags vanish."""
+    plain = _unescaped(f"regexp_replace(regexp_replace({x}, '</?({'|'.join(H.LINES)})( [^>]*)?>', chr(10), 'g'), '<[^>]*>', '', 'g')")
+    return f"trim(regexp_replace(regexp_replace({plain}, '[ \\t\\x{{00A0}}]+', ' ', 'g'), '\\s*\\n\\s*', chr(10), 'g'), ' ' || chr(10))"
+
+
+_NOISE = "<!--.*?-->|<script.*?</script>|<style.*?</style>"
+_HREFS = """list_distinct(regexp_extract_all(html, '<(?:a href|img src)="([^"]+)"', 1))"""
+
+
+@query("h01_page_fingerprint", rf"""WITH w AS (SELECT page_id, html, regexp_replace(regexp_replace(html, '{_NOISE}', ' ', 'gs'), '<[^>]*>', ' ', 'gs') AS words FROM pages)
+SELECT page_id, 'sha1:' || sha1(trim(regexp_replace({_unescaped('words')}, '\s+', ' ', 'g')) || chr(10) || '--links--' || chr(10) || array_to_string(list_sort({_HREFS}), chr(10))) AS fingerprint FROM w""")
 def h01(spark, sf):
     return H.fingerprints(table(spark, sf, "pages"), "html").select("page_id", "fingerprint")
 
 
-@query("h03_page_text")
+@query("h03_s14_page_text", rf"""WITH b AS (SELECT page_id, html, regexp_replace(html, '{_NOISE}|<head>.*?</head>', '', 'gs') AS h FROM pages),
+c AS (SELECT page_id, html, regexp_extract(h, '<article>(.*?)</article>', 1, 's') AS m, regexp_replace(h, '<nav>.*?(</nav>|$)|<footer>.*?(</footer>|$)', '', 'gs') AS b FROM b),
+t AS (SELECT page_id, html, {_lines('m')} AS m, {_lines('b')} AS b FROM c), f AS (SELECT *, length(m) >= 200 OR m <> '' AND 10 * length(m) >= 3 * length(b) AS main_found FROM t)
+SELECT page_id, trim({_unescaped("regexp_extract(html, '<title>(.*?)</title>', 1, 's')")}) AS title, trim({_unescaped("regexp_replace(regexp_extract(html, '<h1>(.*?)</h1>', 1, 's'), '<[^>]*>', '', 'g')")}) AS headline,
+  'about ' || page_id AS description, CASE WHEN page_id % 3 = 0 THEN 'news' ELSE '' END AS section, CASE WHEN page_id % 3 = 0 THEN '2024-05-0' || (1 + page_id % 9) || 'T00:00:00Z' END AS published,
+  regexp_extract(html, '<html lang="([a-z]+)', 1) AS lang, main_found, substr(CASE WHEN main_found THEN m ELSE b END, 1, {H.LONGEST}) AS text FROM f""")
 def h03(spark, sf):
-    return H.page_texts(table(spark, sf, "pages"), "html").select("page_id", "page.*")
+    """Every page gets a description, and every third one linked data with a section and a date."""
+    data = F.concat(F.lit('<script type="application/ld+json">{"@graph": [{"articleSection": "news", "datePublished": "2024-05-0'), (1 + F.col("page_id") % 9).cast("string"), F.lit('"}]}</script>'))
+    more = F.concat(F.lit('<head><meta name="Description" content="about '), F.col("page_id").cast("string"), F.lit('">'), F.when(F.col("page_id") % 3 == 0, data).otherwise(""))
+    pages = table(spark, sf, "pages").select("page_id", F.replace("html", F.lit("<head>"), more).alias("html"))
+    return H.page_texts(pages, "html").select("page_id", *[f"page.{c}" for c in ("title", "headline", "description", "section", "published", "lang", "main_found", "text")])
 
 
-@query("h17_a25_html_features")
+@query("h17_a25_html_features", rf"""WITH t AS (SELECT page_id, html, regexp_extract_all(regexp_replace(html, '<!--.*?-->|(<script>|<style>).*?(</script>|</style>)', '\1\2', 'gs'), '<([a-z][a-z0-9]*)', 1) AS e FROM pages)
+SELECT page_id, array_to_string(list_sort({_HREFS}), ' ') AS links, array_to_string(list_sort(list_distinct(e)), ' ') AS elements FROM t""")
 def h17(spark, sf):
-    return H.features(table(spark, sf, "pages"), "html").select("page_id", "features.*")
+    joined = lambda c: F.array_join(F.array_sort(f"features.{c}"), " ").alias(c)
+    return H.features(table(spark, sf, "pages"), "html").select("page_id", joined("links"), joined("elements"))

@@ -2,30 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from cairn.operators import filters as R
 from cairn.operators import graph as G
 from cairn.operators import social_json as J
 from cairn.plans.catalog import Catalog
-from cairn.plans.inputs import table
+from cairn.plans.inputs import table, written
 
 query = Catalog()
 QUERIES, ORACLE = query.queries, query.sql
 
 
-def _written(df):
-    """df as a table below the shared folder."""
-    spark = df.sparkSession
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cairn-")
-    path = f"{top.rstrip('/')}/step-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 @query("q10_q13_record_filters", """SELECT event_id, event_type IN ('view', 'click') AS typed, event_type = 'view' OR event_type = 'error' AS protocol, user_id BETWEEN 20 AND 29 OR user_id = 2 OR user_id >= 200 AND user_id < 300 AS status,
   NOT regexp_matches(props, '7') AS url, contains(lower(event_type), 'urch') AS found FROM events""")
 def q10(spark, sf):
@@ -60,7 +48,7 @@ def h25(spark, sf):
     return R.near_hashes(table(spark, sf, "embeddings"), bits, "vec_id", 4, 16)
 
 
-@query("h29_sentiment", r"WITH w AS (SELECT doc_id, regexp_split_to_array(lower(substr(text, 1, 10000)), '[^\p{L}]+') AS w FROM documents) SELECT doc_id, CAST(len([x FOR x IN w IF x IN ('the', 'la')]) - len([x FOR x IN w IF x IN ('trash', 'der')]) AS INTEGER) AS score FROM w")
+@query("h29_sentiment", r"WITH w AS (SELECT doc_id, regexp_split_to_array(lower(text), '[^\p{L}]+') AS w FROM documents) SELECT doc_id, CAST(len([x FOR x IN w IF x IN ('the', 'la')]) - len([x FOR x IN w IF x IN ('trash', 'der')]) AS INTEGER) AS score FROM w")
 def h29(spark, sf):
     return table(spark, sf, "documents").select("doc_id", R.sentiment(F.col("text"), ("the", "la"), ("trash", "der")).alias("score"))
 
@@ -69,14 +57,14 @@ def h29(spark, sf):
 v AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS id, a AS root FROM v UNION SELECT v.b, r.root FROM r JOIN v ON v.a = r.id) SELECT id, min(root) AS root FROM r GROUP BY 1""")
 def j14(spark, sf):
     e = table(spark, sf, "events").where("event_type = 'purchase' AND value > 40")
-    return G.identities(e.select(F.col("user_id").alias("a"), (100000 + F.get_json_object("props", "$.k").cast("long")).alias("b")).distinct(), _written)
+    return G.identities(e.select(F.col("user_id").alias("a"), (100000 + F.get_json_object("props", "$.k").cast("long")).alias("b")).distinct(), written)
 
 
 @query("j14_alias_identity_all")
 def j14_all(spark, sf):
     """j14 over every event; the recursive SQL of the query above holds for its rows only."""
     e = table(spark, sf, "events")
-    return G.identities(e.select(F.col("user_id").alias("a"), (100000 + F.get_json_object("props", "$.k").cast("long")).alias("b")).distinct(), _written)
+    return G.identities(e.select(F.col("user_id").alias("a"), (100000 + F.get_json_object("props", "$.k").cast("long")).alias("b")).distinct(), written)
 
 
 @query("f80_h34_payload_posts", "SELECT CAST(event_id AS VARCHAR) AS post_id, event_type AS text, CAST(json_extract(props, '$.k') AS BIGINT) AS likes FROM events")

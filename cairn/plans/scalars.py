@@ -200,9 +200,9 @@ def f65(spark, sf):
     return table(spark, sf, "events").select("event_id", X.bucket_of(F.col("value") - 20).alias("bucket"))
 
 
-@query("p11_field_adjuster", r"SELECT doc_id, nullif(substr(regexp_replace(trim(regexp_replace(regexp_replace(text, '[\x00-\x1f\x7f]', ' ', 'g'), '\s+', ' ', 'g'), ' '), 'the', 'THE', 'g'), 1, 200), '') AS field FROM documents")
+@query("p11_field_adjuster", r"SELECT doc_id, nullif(substr(regexp_replace(trim(regexp_replace(regexp_replace(text, '[\x00-\x1f\x7f]', ' ', 'g'), '\s+', ' ', 'g'), ' '), 'the', 'THE', 'g'), 1, 524288), '') AS field FROM documents")
 def p11(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", X.adjusted(F.col("text"), (("the", "THE"),), 200).alias("field"))
+    return table(spark, sf, "documents").select("doc_id", X.adjusted(F.col("text"), (("the", "THE"),), 512 * 1024).alias("field"))
 
 
 @query("p12_kv_fields", "SELECT event_id, array_to_string(['type=' || event_type, 'value=' || CAST(CAST(value * 100 AS BIGINT) AS VARCHAR)], ';') AS kv FROM events")

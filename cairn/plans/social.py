@@ -153,10 +153,10 @@ def a18(spark, sf):
 
 
 @query("u14_merge_by_alias", f"""{POSTS} SELECT k, arg_min(posted, id) FILTER (posted IS NOT NULL) AS posted, arg_min(kind, id) AS kind, bool_or(pinned) AS pinned, bool_and(weight > 100) AS dear,
-  array_to_string(list_sort(list_distinct(list(target))), ',') AS targets FROM posts GROUP BY 1""")
+  (SELECT string_agg(target, ',' ORDER BY target) FROM (SELECT k AS k2, target FROM posts GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY k ORDER BY min(id)) <= 50) WHERE k2 = posts.k) AS targets FROM posts GROUP BY 1""")
 def u14(spark, sf):
     p = posts(spark, sf).withColumn("dear", F.col("weight") > 100).withColumn("targets", F.array(F.col("target").cast("string")))
-    out = T.merged_by_alias(p, "k", "id", ["posted", "kind"], ["pinned"], ["dear"], ["targets"], 1_000_000)
+    out = T.merged_by_alias(p, "k", "id", ["posted", "kind"], ["pinned"], ["dear"], ["targets"])
     return out.withColumn("targets", F.array_join(F.transform(F.array_sort(F.transform("targets", lambda x: x.cast("long"))), lambda x: x.cast("string")), ","))
 
 

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from cairn.plans.catalog import Catalog
+from cairn.plans.inputs import shared_folder
 from cairn.streaming import states as S
 
 query = Catalog()
@@ -15,9 +13,7 @@ QUERIES, ORACLE = query.queries, query.sql
 
 
 def _folder(spark) -> str:
-    """A new folder below the shared one; only where the session names none a local one is made."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cairn-")
-    return f"{top.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return shared_folder(spark, "stream")
 
 
 def _events(spark, sf):

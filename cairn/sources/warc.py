@@ -1,8 +1,9 @@
-"""WARC files as tables, and tables as WARC files.
+"""WARC and ARC files as tables, and tables as WARC files.
 
 Files are read by Spark's own binary reader, so any file system that Spark
 knows will do; a file is one task, since members of a compressed file can only
-be found in order. A file that breaks off keeps the records before the break
+be found in order. That reader holds a file whole, 2 GB at most; files are
+rotated at 900 MB here. A file that breaks off keeps the records before the break
 and adds one row with an error. Writing goes through a data source whose tasks
 start a new file when one is large enough.
 """
@@ -15,8 +16,10 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
@@ -24,27 +27,55 @@ from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMes
 SCHEMA = (
     "warc_file string, record_offset long, record_type string, record_id string, target_uri string, warc_date string, payload_digest string, "
     "refers_to_id string, refers_to_uri string, refers_to_date string, http_status int, http_headers array<struct<name:string,value:string>>, "
-    "content_type string, content_length long, body binary, error string"
+    "content_type string, content_length long, body binary, error string, hash_matched boolean"
 )
 COLUMNS = [c.split(" ")[0] for c in SCHEMA.replace("array<struct<name:string,value:string>>", "x").split(", ")]
 _ARROW = pa.schema(
     [(c, pa.string()) for c in COLUMNS]
-).set(1, pa.field("record_offset", pa.int64())).set(10, pa.field("http_status", pa.int32())).set(11, pa.field("http_headers", pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())])))).set(13, pa.field("content_length", pa.int64())).set(14, pa.field("body", pa.binary()))
+).set(1, pa.field("record_offset", pa.int64())).set(10, pa.field("http_status", pa.int32())).set(11, pa.field("http_headers", pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())])))).set(13, pa.field("content_length", pa.int64())).set(14, pa.field("body", pa.binary())).set(16, pa.field("hash_matched", pa.bool_()))
 
 
-def members(data: bytes) -> Iterator[tuple[int, bytes]]:
-    """(offset, bytes) of each gzip member, or of the whole if the file isn't compressed."""
-    if data[:2] != b"\x1f\x8b":
-        yield 0, data
+#: Bytes that are inflated at a time.
+STEP = 1 << 16
+
+
+def members(data: bytes | memoryview) -> Iterator[tuple[int, bytes]]:
+    """(offset, bytes) of each gzip member, or of the whole if the file isn't compressed.
+
+    A member is fed to the decompressor in steps, so no member costs a copy of
+    the rest of the file.
+    """
+    view = memoryview(data)
+    if bytes(view[:2]) != b"\x1f\x8b":
+        yield 0, bytes(view)
         return
     at = 0
-    while at < len(data):
-        z = zlib.decompressobj(31)
-        out = z.decompress(data[at:])
-        if not z.eof:
-            raise ValueError(f"the member at {at} breaks off")
-        yield at, out
-        at = len(data) - len(z.unused_data)
+    while at < len(view):
+        z, parts, end = zlib.decompressobj(31), [], at
+        while not z.eof:
+            step = view[end : end + STEP]
+            if not len(step):
+                raise ValueError(f"the member at {at} breaks off")
+            parts.append(z.decompress(step))
+            end += len(step)
+        yield at, b"".join(parts)
+        at = end - len(z.unused_data)
+        while at < len(view) and view[at] == 0:  # padding between members
+            at += 1
+
+
+#: Content encodings that are undone, and zlib's window bits for them; deflate may come without its header. Fixed values.
+ENCODINGS = {"gzip": (31,), "x-gzip": (31,), "deflate": (15, -15)}
+
+
+def unpacked(body: bytes, encoding: str | None) -> bytes:
+    """A body without its content encoding; what can't be undone comes back as it is."""
+    for bits in ENCODINGS.get((encoding or "").strip().lower(), ()):
+        try:
+            return zlib.decompress(body, bits)
+        except zlib.error:
+            continue
+    return body
 
 
 def headers(block: bytes) -> list[tuple[str, str]]:
@@ -61,7 +92,8 @@ def headers(block: bytes) -> list[tuple[str, str]]:
 
 def dechunked(body: bytes) -> bytes:
     """A chunked body put together; what isn't chunked comes back as it is."""
-    out, at = b"", 0
+    parts: list[bytes] = []
+    at = 0
     while True:
         end = body.find(b"\r\n", at)
         try:
@@ -71,48 +103,87 @@ def dechunked(body: bytes) -> bytes:
         if size < 0:
             return body
         if not size:
-            return out
-        out += body[end + 2 : end + 2 + size]
+            return b"".join(parts)
+        parts.append(body[end + 2 : end + 2 + size])
         at = end + 2 + size + 2
 
 
-def records(data: bytes) -> Iterator[dict]:
-    """The records of a file, with the offset of the member they begin in."""
+def arc_record(line: bytes) -> tuple[int, dict] | None:
+    """(length, row) of an ARC record's first line: URL, address, 14-digit time, type, ..., length."""
+    parts = line.decode("utf-8", "replace").split(" ")
+    if len(parts) < 5 or not parts[-1].isdigit() or len(parts[2]) != 14 or not parts[2].isdigit():
+        return None
+    t = parts[2]
+    date = f"{t[:4]}-{t[4:6]}-{t[6:8]}T{t[8:10]}:{t[10:12]}:{t[12:]}Z"
+    return int(parts[-1]), {"record_type": "warcinfo" if parts[0].startswith("filedesc:") else "arc", "target_uri": parts[0], "warc_date": date, "content_type": parts[3]}
+
+
+def http_parts(block: bytes) -> dict:
+    """Status, headers, type and body of an HTTP response; the body without transfer and content encodings."""
+    top, _, body = block.partition(b"\r\n\r\n")
+    status = top.split(b"\r\n", 1)[0].split(b" ")
+    pairs = headers(top)
+    own = {k.lower(): v for k, v in pairs}
+    if own.get("transfer-encoding", "").lower() == "chunked":
+        body = dechunked(body)
+    return {"http_status": int(status[1]) if len(status) > 1 and status[1].isdigit() else None, "http_headers": [{"name": k, "value": v} for k, v in pairs], "content_type": own.get("content-type"), "body": body, "content_encoding": own.get("content-encoding")}
+
+
+def records(data: bytes | memoryview, inflate: bool = True) -> Iterator[dict]:
+    """The records of a WARC or ARC file, with the offset of the member they begin in.
+
+    Digests of payloads are of bodies without transfer encoding; hash_matched
+    says whether a record's own digest is that. inflate: undo content encodings.
+    """
+    packed = bytes(data[:2]) == b"\x1f\x8b"
     for offset, raw in members(data):
         at = 0
         while at < len(raw):
-            head_end = raw.find(b"\r\n\r\n", at)
-            if not raw.startswith(b"WARC/", at) or head_end < 0:
-                if raw[at:].strip():
+            if raw.startswith(b"WARC/", at):
+                head_end = raw.find(b"\r\n\r\n", at)
+                if head_end < 0:
                     raise ValueError(f"no record at {offset + at}")
-                return
-            head = {k.lower(): v for k, v in headers(raw[at:head_end])}
-            size = int(head.get("content-length", 0))
-            block = raw[head_end + 4 : head_end + 4 + size]
+                head = {k.lower(): v for k, v in headers(raw[at:head_end])}
+                size, start = int(head.get("content-length", 0)), head_end + 4
+                row = {
+                    "record_type": head.get("warc-type"), "record_id": head.get("warc-record-id"), "target_uri": head.get("warc-target-uri", "").strip("<>") or None, "warc_date": head.get("warc-date"), "payload_digest": head.get("warc-payload-digest"),
+                    "refers_to_id": head.get("warc-refers-to"), "refers_to_uri": head.get("warc-refers-to-target-uri"), "refers_to_date": head.get("warc-refers-to-date"), "content_type": head.get("content-type"),
+                }
+            else:
+                line_end = raw.find(b"\n", at)
+                found = arc_record(raw[at:line_end]) if line_end > 0 else None
+                if found is None:
+                    if raw[at:].strip():
+                        raise ValueError(f"no record at {offset + at}")
+                    break
+                (size, row), start = found, line_end + 1
+            block = raw[start : start + size]
             if len(block) < size:
                 raise ValueError(f"the record at {offset + at} breaks off")
-            row = {
-                "record_offset": offset if data[:2] == b"\x1f\x8b" else at, "record_type": head.get("warc-type"), "record_id": head.get("warc-record-id"), "target_uri": head.get("warc-target-uri", "").strip("<>") or None,
-                "warc_date": head.get("warc-date"), "payload_digest": head.get("warc-payload-digest"), "refers_to_id": head.get("warc-refers-to"), "refers_to_uri": head.get("warc-refers-to-target-uri"),
-                "refers_to_date": head.get("warc-refers-to-date"), "http_status": None, "http_headers": None, "content_type": head.get("content-type"), "content_length": size, "body": block,
-            }
-            if head.get("warc-type") in ("response", "revisit") and block.startswith(b"HTTP/"):
-                top, _, body = block.partition(b"\r\n\r\n")
-                status = top.split(b"\r\n", 1)[0].split(b" ")
-                pairs = headers(top)
-                own = {k.lower(): v for k, v in pairs}
-                if own.get("transfer-encoding", "").lower() == "chunked":
-                    body = dechunked(body)
-                row |= {"http_status": int(status[1]) if len(status) > 1 and status[1].isdigit() else None, "http_headers": [{"name": k, "value": v} for k, v in pairs], "content_type": own.get("content-type"), "body": body}
-            elif head.get("warc-type") == "resource":
+            row = dict.fromkeys(COLUMNS) | row | {"record_offset": offset if packed else at, "content_length": size, "body": block}
+            if row["record_type"] in ("response", "revisit", "arc") and block.startswith(b"HTTP/"):
+                row |= http_parts(block)
+                encoding = row.pop("content_encoding")
+                row["hash_matched"] = row["payload_digest"] in digests(row["body"]) if row["payload_digest"] else None
+                row["body"] = unpacked(row["body"], encoding) if inflate else row["body"]
+            elif row["record_type"] == "resource":
                 row["http_status"] = 200
+                row["hash_matched"] = row["payload_digest"] in digests(block) if row["payload_digest"] else None
             yield row
-            at = head_end + 4 + size + 4
+            at = start + size
+            while raw[at : at + 1] in (b"\r", b"\n"):
+                at += 1
+
+
+def digests(body: bytes) -> set[str]:
+    """The usual ways to write a payload's digest."""
+    sha1 = hashlib.sha1(body)
+    return {"sha1:" + sha1.hexdigest(), "sha1:" + base64.b32encode(sha1.digest()).decode(), "sha256:" + hashlib.sha256(body).hexdigest(), "md5:" + hashlib.md5(body).hexdigest()}
 
 
-def read(spark: SparkSession, path: str, bodies: bool = True, types: tuple[str, ...] = ()) -> DataFrame:
-    """All records of the WARC files under path; without bodies these are left out before they leave the task."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").option("recursiveFileLookup", "true").load(path).select("path", "content")
+def read(spark: SparkSession, path: str, bodies: bool = True, types: tuple[str, ...] = (), inflate: bool = True) -> DataFrame:
+    """All records of the WARC and ARC files under path; without bodies these are left out before they leave the task."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{warc,arc}*").option("recursiveFileLookup", "true").load(path).select("path", "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,12 +191,12 @@ def read(spark: SparkSession, path: str, bodies: bool = True, types: tuple[str,
                 rows: list[dict] = []
                 size = 0
                 try:
-                    for row in records(content.as_buffer().to_pybytes()):
+                    for row in records(memoryview(content.as_buffer()), inflate):
                         if types and row["record_type"] not in types:
                             continue
                         if not bodies:
                             row["body"] = None
-                        rows.append({"warc_file": name.rsplit("/", 1)[-1], "error": None} | row)
+                        rows.append(row | {"warc_file": name.rsplit("/", 1)[-1]})
                         size += len(row["body"] or b"")
                         if size > 16 << 20 or len(rows) > 5000:
                             yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
@@ -142,11 +213,10 @@ def captures(rows: DataFrame) -> DataFrame:
     own = rows.where(F.col("record_type").isin("response", "revisit") & F.col("error").isNull())
     mime = F.lower(F.trim(F.split_part(F.coalesce("content_type", F.lit("")), F.lit(";"), F.lit(1))))
     held = own.where("record_type = 'response'").select(F.col("record_id").alias("refers_to_id"), F.lit(True).alias("_held")).distinct()
-    digest = F.concat(F.lit("sha1:"), F.sha1("body"))
     out = own.join(held, "refers_to_id", "left")
     return out.select(
         "warc_file", "record_offset", "record_type", "record_id", "target_uri", "warc_date", F.col("http_status").alias("status"), F.nullif(mime, F.lit("")).alias("mime"), "payload_digest",
-        (F.col("payload_digest") == digest).alias("hash_matched"), F.length("body").cast("long").alias("length"), "refers_to_id", ((F.col("record_type") == "revisit") & F.col("_held").isNull()).alias("orphaned"),
+        "hash_matched", F.length("body").cast("long").alias("length"), "refers_to_id", ((F.col("record_type") == "revisit") & F.col("_held").isNull()).alias("orphaned"),
     )
 
 
@@ -170,7 +240,7 @@ def record_bytes(row: dict) -> bytes:
 
 
 class WarcSink(DataSource):
-    """df.write.format("warc_out").option("max_bytes", n).mode("append").save(folder); the folder must be one all tasks can write to."""
+    """df.write.format("warc_out").option("max_bytes", n).mode("append").save(folder), a folder on any file system that pyarrow knows and all tasks can write to."""
 
     @classmethod
     def name(cls) -> str:
@@ -183,23 +253,51 @@ class WarcSink(DataSource):
         return _Writer(dict(self.options))
 
 
+@dataclass
+class _Files(WriterCommitMessage):
+    names: list[str]
+
+
 class _Writer(DataSourceWriter):
+    """A task writes hidden files and starts a new one when one is large enough; they get their names when the whole job is committed."""
+
     def __init__(self, options: dict) -> None:
-        self.path, self.most = options["path"].removeprefix("file:"), int(options.get("max_bytes", 900_000_000))
+        self.path, self.most = options["path"], int(options.get("max_bytes", 900_000_000))
+
+    def _store(self) -> tuple[fs.FileSystem, str]:
+        path = self.path if "://" in self.path else "file://" + self.path.removeprefix("file:")
+        return fs.FileSystem.from_uri(path)
 
     def write(self, rows) -> WriterCommitMessage:
+        store, top = self._store()
+        store.create_dir(top, recursive=True)
+        names: list[str] = []
         out, size = None, 0
         for row in rows:
             data = record_bytes({k: (v if k != "http_headers" else [h.asDict() for h in v or []]) for k, v in row.asDict().items()})
             if out is None or size + len(data) > self.most:
                 if out is not None:
                     out.close()
-                out, size = open(f"{self.path}/part-{uuid.uuid4().hex}.warc.gz", "wb"), 0  # noqa: SIM115
+                names.append(f"part-{uuid.uuid4().hex}.warc.gz")
+                # Compressed already: no second compression by the name's ending.
+                out, size = store.open_output_stream(f"{top}/_{names[-1]}", compression=None), 0
             out.write(data)
             size += len(data)
         if out is not None:
             out.close()
-        return WriterCommitMessage()
+        return _Files(names)
+
+    def commit(self, messages) -> None:
+        store, top = self._store()
+        for m in messages:
+            for name in m.names if m else ():
+                store.move(f"{top}/_{name}", f"{top}/{name}")
+
+    def abort(self, messages) -> None:
+        store, top = self._store()
+        for m in messages:
+            for name in m.names if m else ():
+                store.delete_file(f"{top}/_{name}")
 
 
 def base32_digest(hex_digest: str) -> str:

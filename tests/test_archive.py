@@ -65,7 +65,22 @@ def test_pages():
     assert page["title"] == "News & more" and page["headline"] == "Big news" and page["lang"] == "en" and page["description"] == "short"
     assert "foot" not in page["text"] and "happened" in page["text"]
     assert html.feature_lists(PAGE)["links"] == ["/home", "/more"] and html.feature_lists(PAGE)["images"] == ["i.png"]
-    assert html.page_text("") == {"title": "", "headline": "", "lang": "", "description": "", "text": ""}
+    assert html.page_text("") == {"title": "", "headline": "", "description": "", "section": "", "tags": [], "keywords": "", "published": None, "lang": "", "main_found": False, "text": ""}
+    # Build numbers in style and script addresses, labels of links, and links themselves
+    styled = PAGE.replace("</head>", '<link rel="stylesheet" href="/s.css?v=1"><script src="/a.1.js"></script></head>')
+    assert html.fingerprint(styled) == html.fingerprint(styled.replace("v=1", "v=2").replace("a.1", "a.2")) == base
+    assert base != html.fingerprint(PAGE.replace(">more<", ">much more<")) and base == html.fingerprint(PAGE.replace("<p>", "<p  >\n  "))
+    assert html.decoded("é".encode("latin-1"), "iso-8859-1") == "é" and html.decoded("é".encode(), "none") == "é"
+
+
+def test_page_regions():
+    text = lambda body: html.page_text(f"<html><body>{body}</body></html>")["text"]
+    assert text("<p>own</p><iframe>frame</iframe><div role='banner'>top</div>") == "own"
+    assert text("<nav>menu<p>lost, as the menu isn't closed") == "" and text("<nav>menu</nav><p>kept") == "kept"
+    assert text("<article>in<nav>inner menu</nav></article>out") == "ininner menu"  # a main part of a third of the text is enough
+    page = html.page_text("<head><meta property='article:tag' content=' a '><meta name='keywords' content='k'><script type='application/ld+json'>[{'x'}]</script><script type='application/ld+json'>{\"@graph\": [{\"headline\": \"h\", \"keywords\": [\"p\", 2], \"about\": [{\"name\": \"n\"}, \"m\"], \"inLanguage\": \"DE-at\"}]}</script></head><time datetime='x'></time><time datetime='2024-02-03 04:05'></time>")
+    assert page["headline"] == "h" and page["tags"] == ["a"] and page["keywords"] == "k, p, 2, n, m" and page["lang"] == "de" and page["published"] == "2024-02-03T04:05:00Z"
+    assert html.page_text("<p>" + "x" * 100, 10)["text"] == "x" * 10
 
 
 def one(spark, **cols):
@@ -129,7 +144,7 @@ def test_frontier(spark):
 
 def test_theme_rules(spark):
     t = theme.Theme(terms=("library", "book"), min_score=4, url_exclude=("/x/",))
-    cols = dict(u=F.lit("http://h/"), h=F.lit("the libraries of the town"), m=F.lit(""), b=F.lit("a book, two books and bookings. book book"))
+    cols = dict(u=F.lit("http://h/"), h=theme.read(t, F.lit("the libraries of the town")), m=theme.read(t, F.lit("")), b=theme.read(t, F.lit("a book, two books and bookings. book book")))
     r = one(spark, s=theme.scores(t, cols["u"], cols["h"], cols["m"], cols["b"]), x=theme.hard_reason(t, F.lit("http://h/x/"), F.lit(None).cast("string"), cols["h"], cols["b"]))
     assert tuple(r.s) == (3, 0, 3, 6) and r.x == "url"
     assert len(t.fingerprint()) == 16 and t.fingerprint() != theme.Theme().fingerprint()
