@@ -10,11 +10,12 @@ links give each document its group.
 
 Pairs are proposed in two rounds. First each document is paired with the
 smallest member of its buckets, and with the largest of their smallest members,
-which joins most of a group with two pairs a member. Then only members of one bucket that are still in different
-components are paired; all of those, so no link that a bucket holds is lost,
-while a large group of near copies, being one component by then, makes no pairs
-at all. Buckets of more than FEW members are compared and verified in pairs of
-blocks, and only links that join components leave such a task.
+which joins most of a group with two pairs a member. Then only members of one
+bucket that are still in different components are paired; all of those, so no
+link that a bucket holds is lost, while a large group of near copies, being one
+component by then, makes no pairs at all. Buckets of more than FEW members are
+compared in pairs of blocks, by signatures first; sets are sent for members that
+have a partner left, and only links that join components leave such a task.
 
 Defined results: a null text counts as empty; a text without words has an empty
 set and is linked with nothing; with fewer words than a shingle has, the whole
@@ -236,46 +237,55 @@ def joined_links(ids_a: np.ndarray, comp_a: np.ndarray, ids_b: np.ndarray, comp_
     return out
 
 
-def _blocks(members: DataFrame) -> DataFrame:
-    """Verified links (a, b) that join components in large buckets; members: (band, key, c, id, comp, sig, set).
+def _unrefuted(members: DataFrame) -> DataFrame:
+    """(band, key, i, j, id, comp): members of large buckets that have a partner in a pair of blocks; members: (band, key, c, id, comp, sig).
 
     A bucket's members are dealt into blocks, and each pair of blocks is one
-    group of 2 * BLOCK members at most. A pair is looked at in the first band
-    that it shares only. Signatures prune, full sets verify, and what leaves a
-    group is a forest: fewer links than members.
+    group of 2 * BLOCK members at most, which holds signatures only. A partner is
+    of another component and not given up; a pair is looked at in the first band
+    that it shares only.
     """
     least = least_matches()
     parts = F.ceil(F.col("c") / BLOCK).cast("int")
     mine = members.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("id"), "parts").cast("int"))
     dealt = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "comp", "sig", "set")
+    dealt = dealt.select("band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "comp", "sig")
+    names = ["band", "key", "i", "j", "id", "comp"]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         band, i, j = (int(pdf[c].iloc[0]) for c in ("band", "i", "j"))
         left, right = pdf[pdf["own"] == i], pdf[pdf["own"] == j]
-        out: list[tuple[int, int]] = []
-        if len(left) and len(right):
-            sig = lambda p: np.frombuffer(b"".join(map(bytes, p["sig"])), np.uint32).reshape(-1, HASHES)
-            s, t = sig(left), sig(right)
-            ids_a, ids_b, comp_a, comp_b = (p[c].to_numpy() for c in ("id", "comp") for p in (left, right))
-            alive = np.zeros((len(s), len(t)), bool)
-            for k in range(len(s)):
-                pick = np.flatnonzero((comp_b != comp_a[k]) & ((ids_b > ids_a[k]) if i == j else True))
-                if band and len(pick):
-                    before = (t[pick, : band * ROWS] == s[k, : band * ROWS]).reshape(len(pick), band, ROWS)
-                    pick = pick[~before.all(2).any(1)]
-                if len(pick):
-                    alive[k, pick[survive(np.broadcast_to(s[k], (len(pick), HASHES)), t[pick], least)]] = True
-            a, b = np.flatnonzero(alive.any(1)), np.flatnonzero(alive.any(0))
-            if len(a):
-                sets = lambda p, at: [np.frombuffer(bytes(x), np.uint64) for x in p["set"].iloc[at]]
-                sets_a, sets_b = sets(left, a), sets(right, b)
-                both = common_counts(sets_a, sets_b)
-                whole = np.array([len(x) for x in sets_a])[:, None] + np.array([len(x) for x in sets_b]) - both
-                out = joined_links(ids_a[a], comp_a[a], ids_b[b], comp_b[b], alive[np.ix_(a, b)] & (100 * both >= PERCENT * whole))
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-    return dealt.groupBy("band", "key", "i", "j").applyInPandas(run, "a long, b long")
+        if not len(left) or not len(right):
+            return pdf.iloc[:0][names]
+        s, t = (np.frombuffer(b"".join(map(bytes, p["sig"])), np.uint32).reshape(-1, HASHES) for p in (left, right))
+        ids_a, ids_b, comp_a, comp_b = (p[c].to_numpy() for c in ("id", "comp") for p in (left, right))
+        hit_a, hit_b = np.zeros(len(s), bool), np.zeros(len(t), bool)
+        for k in range(len(s)):
+            pick = np.flatnonzero((comp_b != comp_a[k]) & ((ids_b > ids_a[k]) if i == j else True))
+            if band and len(pick):
+                before = (t[pick, : band * ROWS] == s[k, : band * ROWS]).reshape(len(pick), band, ROWS)
+                pick = pick[~before.all(2).any(1)]
+            if len(pick):
+                pick = pick[survive(np.broadcast_to(s[k], (len(pick), HASHES)), t[pick], least)]
+                hit_a[k] |= len(pick) > 0
+                hit_b[pick] = True
+        return pd.concat([left[hit_a], right[hit_b]])[names].drop_duplicates("id")
+
+    return dealt.groupBy("band", "key", "i", "j").applyInPandas(run, "band int, key long, i int, j int, id long, comp long")
+
+
+def _block_links(members: DataFrame) -> DataFrame:
+    """Links (a, b) between components, verified on full sets, in each pair of blocks; members: (band, key, i, j, id, comp, set). What leaves a group is a forest: fewer links than members."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, comp = pdf["id"].to_numpy(), pdf["comp"].to_numpy()
+        sets = [np.frombuffer(bytes(x), np.uint64) for x in pdf["set"]]
+        sizes = np.array([len(x) for x in sets])
+        both = common_counts(sets, sets)
+        alike = (100 * both >= PERCENT * (sizes[:, None] + sizes - both)) & (comp[:, None] != comp) & (ids[:, None] < ids)
+        return pd.DataFrame(joined_links(ids, comp, ids, comp, alike), columns=["a", "b"], dtype="int64")
+
+    return members.groupBy("band", "key", "i", "j").applyInPandas(run, "a long, b long")
 
 
 def grouped(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -309,10 +319,11 @@ def grouped(docs: DataFrame, words: int = WORDS) -> DataFrame:
     alike = (100 * F.least("n", "n_b") >= PERCENT * F.greatest("n", "n_b")) & (F.col("comp") != F.col("comp_b")) & (F.col("a") < F.col("b"))
     pairs = pairs.where(alike).select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
     rest = written(pruned(written(pairs, "near-pairs2"), reps), "near-survivors2")
-    wanted = rest.select(F.explode(F.array("a", "b")).alias("id")).union(many.select("id")).distinct()
+    blocked = written(_unrefuted(many.join(reps.select("id", "sig"), "id")), "near-blocked")
+    wanted = rest.select(F.explode(F.array("a", "b")).alias("id")).union(blocked.select("id")).distinct()
     if not wanted.isEmpty():
         sets2 = written(full_sets(docs, wanted, words), "near-sets2")
-        more = verified(rest, sets2, max(1, rest.count())).unionByName(_blocks(many.join(reps.select("id", "sig"), "id").join(sets2, "id")))
+        more = verified(rest, sets2, max(1, rest.count())).unionByName(_block_links(blocked.join(sets2, "id")))
         more = written(more, "near-links2")
         if not more.isEmpty():
             comps = components(links.unionByName(more))
