@@ -148,6 +148,96 @@ def test_toxicity_learns_whole_documents(spark, monkeypatch):
     assert all(t in whole for t, _ in seen) and all(0 < sum(len(t) for t, y in seen if y == k) <= 100_000 for k in (0, 1))
 
 
+def test_training_takes_whole_bags(spark, monkeypatch):
+    """A bad passage after the 24th is learned, and the sample's bound leaves out whole documents only."""
+    rng = random.Random(14)
+    rows = [(i, filler(rng, 40 * quality_mil.PASSAGE) + (" " + "#*$ " * 200 if i % 2 else ""), 1 - i % 2) for i in range(60)]
+    train = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, quality int")
+    seen = []
+    real = quality_mil.train
+    monkeypatch.setattr(quality_mil, "train", lambda x, edges, y: seen.extend(np.diff(edges).tolist()) or real(x, edges, y))
+    model = quality_mil.fit(train, labels, F.lit(True))
+    assert sorted(seen) == sorted(-(-len(r[1].split()) // quality_mil.PASSAGE) for r in rows)
+    got = held(quality_mil.scored(train, model).collect())
+    assert all((got[i]["score"] >= quality_mil.THRESHOLD) == (y == 1) for i, _, y in rows)
+    seen.clear()
+    monkeypatch.setattr(quality_mil, "SAMPLE_BYTES", 200_000)
+    quality_mil.fit(train, labels, F.lit(True))
+    assert 0 < len(seen) < 10 and min(seen) >= 40
+
+
+def test_bag_scores_by_hand():
+    texts = ["ab ab Cd 12, x!", "", filler(random.Random(1), 300)]
+    (_, _, buf, offs), *_ = chunks(pa.array(texts))
+    x, edges = quality_mil.passages(buf, offs, 50)
+    for d, text in enumerate(texts):
+        spans = [m.span() for m in WORD.finditer(text)]
+        parts = [spans[i : i + 50] for i in range(0, len(spans), 50)] or [[]]
+        assert edges[d + 1] - edges[d] == len(parts)
+        for p, own in enumerate(parts):
+            lo, hi = (own[0][0] if own else 0), (parts[p + 1][0][0] if p + 1 < len(parts) else len(text))
+            codes = Counter(int(quality_mil._CLASS[a]) * 16 + int(quality_mil._CLASS[b]) for a, b in zip(text[lo:hi].encode(), text[lo:hi].encode()[1:], strict=False)) if own else Counter()
+            want = np.zeros(256)
+            for k, n in codes.items():
+                want[k] = math.sqrt(n / sum(codes.values()))
+            assert np.allclose(x[edges[d] + p, :256], want, atol=1e-5)
+    model = quality_mil.train(x, edges, np.array([1.0, 0, 1]), epochs=2)
+    w = {k: v.astype(float) for k, v in model.w.items()}
+    for d in range(3):
+        h = [np.tanh(row @ w["We"] + w["be"]) for row in x[edges[d] : edges[d + 1]]]
+        e = [math.exp(sum(w["v"][k] * math.tanh(v @ w["Wt"][:, k]) / (1 + math.exp(-(v @ w["Wg"][:, k]))) for k in range(quality_mil.GATE))) for v in h]
+        z = sum(a / sum(e) * v for a, v in zip(e, h, strict=True))
+        assert abs(model.bags(x, edges)["p"][d] - 1 / (1 + math.exp(-(z @ w["u"] + w["c"])))) < 1e-4
+
+
+def test_toxicity_scores_by_hand():
+    texts = ["Ab cdefg hi, jklmnop QRS é", "", " one  two\nthree four five six seven eight nine "]
+    (_, _, buf, offs), *_ = chunks(pa.array(texts))
+    table = np.random.default_rng(4).normal(0, 2, toxicity.BUCKETS).astype(np.float32)
+    got = toxicity.Model(table, -1.5).score(buf, offs)
+
+    def bucket(gram: bytes) -> int:
+        h = 0
+        for b in gram:
+            h = (h * 0x01000193 & 0xFFFFFFFF) ^ b
+        x = h * 0x9E3779B1 & 0xFFFFFFFF
+        return (x ^ x >> 15) & (toxicity.BUCKETS - 1)
+
+    for text, score in zip(texts, got, strict=True):
+        words, clean = WORD.findall(text.translate(LOWER)), 1.0
+        for i in range(0, len(words), toxicity.WINDOW):
+            bag = []
+            for w in words[i : i + toxicity.WINDOW]:
+                b = w.encode()
+                start, end = np.array([0]), np.array([len(b)])
+                bag.append(int(word_hashes(np.frombuffer(b, np.uint8), start, end)[0]) & (toxicity.BUCKETS - 1))
+                b = b" " + b + b" "
+                bag += [bucket(b[k : k + n]) for n in toxicity.ORDERS for k in range(len(b) - n + 1)]
+            clean *= 1 - 1 / (1 + math.exp(-(float(np.mean(table[bag])) - 1.5)))
+        assert abs(score - (1 - clean)) < 1e-4
+
+
+def test_broken_utf8_and_clashing_names(spark):
+    """Bytes that aren't UTF-8 go through every operator on texts; columns of the same names stay."""
+    rows = spark.createDataFrame([(1, "FF41 20FE".replace(" ", "")), (2, "C3"), (3, "6120620A63")], "doc_id long, x string")
+    docs = rows.select("doc_id", F.unhex("x").cast("string").alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"))
+    train, labels = labelled(spark)
+    learned = F.col("doc_id") > 0
+    ids = lambda df: sorted(r.doc_id for r in df.select("doc_id").collect())
+    assert ids(quality_mil.scored(docs, quality_mil.fit(train, labels, learned))) == [1, 2, 3]
+    assert ids(toxicity.scored(docs, toxicity.fit(train, labels, learned))) == [1, 2, 3]
+    for out in (minhash_bayes.grouped(docs), line_cuckoo.deduped(docs), quality_rules.judged(docs), exact_lsm.dedup(docs), mixing.selection(docs), lm_bloom.scored(docs, learned)):
+        assert ids(out) == [1, 2, 3]
+    coded = {r.doc_id: r.round_trip for r in sentencepiece_trie.encoded(docs).collect()}
+    assert coded == {1: False, 2: False, 3: True}
+    clash = docs.withColumns({n: F.lit("mine") for n in ("score", "n_tokens", "IDS", "round_trip")})
+    for out in (toxicity.scored(clash, None), quality_mil.scored(clash, None), toxicity.scored(clash, toxicity.fit(train, labels, learned)), sentencepiece_trie.encoded(clash)):
+        assert len({c.lower() for c in out.columns}) == len(out.columns) and {r.score for r in out.select("score").collect()} == {"mine"}
+    back = sentencepiece_trie.decoded(sentencepiece_trie.encoded(docs, drop_text=False))
+    assert {r.doc_id: r._text for r in back.select("doc_id", "_text").collect()}[3] == "a b\nc"
+
+
 # ---- 2: near-dedup ----------------------------------------------------------------
 
 
@@ -255,6 +345,21 @@ def test_cuckoo_filter():
     assert f.contains(keys[2000:4000]).all() and f.contains(keys[:2000]).mean() < 0.01
 
 
+def test_a_key_asks_one_shard(spark):
+    rng = np.random.default_rng(2)
+    keys = rng.integers(0, 1 << 63, (900, 2)).astype(np.uint64)
+    keys[1, 0] = keys[0, 0]  # the same first half
+    df = spark.createDataFrame([(bytearray(k.tobytes()),) for k in keys], "key binary")
+    assert {bytes(r.key): r.s for r in df.withColumn("s", line_cuckoo._shard(7)).collect()} == {k.tobytes(): int(s) for k, s in zip(keys, line_cuckoo.shard_of(keys, 7), strict=True)}
+    own = line_cuckoo.shard_of(keys, 7)
+    tables = [line_cuckoo.CuckooFilter.of(keys[own == i]).table.tobytes() if i != 3 else b"" for i in range(7)]
+    assert (line_cuckoo.screened(tables, keys) == (own != 3)).all()
+    wrong = [tables[(i + 1) % 7] for i in range(7)]
+    assert line_cuckoo.screened(wrong, keys).mean() < 0.01  # other shards' filters aren't asked
+    half = line_cuckoo.sorted_keys(keys[1::2])
+    assert (line_cuckoo.among(half, keys) == (np.arange(900) % 2 == 1)).all()
+
+
 # ---- 4: rules -------------------------------------------------------------------
 
 
@@ -273,6 +378,29 @@ def test_rule_counts(docs, empty):
     assert quality_rules.judged(empty).count() == 0
 
 
+def test_verdicts_follow_from_votes(spark, docs):
+    """kept by the votes of the counts, the estimates of all votes and the posterior, computed row by row."""
+    rng = random.Random(21)
+    texts = [filler(rng, rng.randint(5, 200)) + (" # $ * " * rng.randint(1, 40) if i % 4 == 0 else "") + ("\nsame line here" * 9 if i % 5 == 0 else "") for i in range(120)]
+    rows = quality_rules.judged(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+
+    def vote(r) -> tuple[int, ...]:
+        w, c = r.n_words, r.word_chars
+        pairs = [
+            (w < 20, 50 <= w <= 200000), (c < 2 * w or c > 15 * w, 3 * w <= c <= 11 * w), (10 * r.n_symbols > w, 100 * r.n_symbols <= w),
+            (100 * r.n_letters < 88 * c and w >= 60, 100 * r.n_letters >= 93 * c), (2 * r.n_dup_lines > r.n_lines, r.n_dup_lines == 0 and r.n_lines >= 2),
+            (4 * r.n_repeat_words > w, 20 * r.n_repeat_words <= w and w >= 50), (5 * r.n_upper > c, 20 * r.n_upper <= c), (4 * r.n_unique < w < 2000, 2 * r.n_unique > w >= 20),
+        ]
+        return tuple(-1 if a else 1 if b else 0 for a, b in pairs)
+
+    cast = {r.doc_id: vote(r) for r in rows}
+    good, acc = quality_rules.estimate(sorted(Counter(cast.values()).items()), len(quality_rules.rules()))
+    for r in rows:
+        p = quality_rules.posterior(cast[r.doc_id], good, acc)
+        assert abs(p - r.posterior) < 1e-9 and r.kept == (not r.base_failed and p >= quality_rules.KEEP)
+    assert 0 < sum(r.kept for r in rows) < len(rows)
+
+
 def test_estimated_accuracies():
     rng = random.Random(2)
     true = [(0.98, 0.7), (0.99, 0.5), (0.97, 0.6), (0.995, 0.4)]
@@ -334,37 +462,64 @@ def test_unigram_viterbi():
 # ---- 7: exact dedup -------------------------------------------------------------------
 
 
-def test_exact(docs, empty, spark):
-    norm = lambda t: re.sub(r"[\x20\x09-\x0d]+", " ", t or "")
+def exact_groups(rows, norm):
+    """What each row of (doc_id, text) should get, as doc_id, keep_id, group_size, sha; and the number of kept rows by text."""
     groups = defaultdict(list)
-    for r in docs.collect():
-        groups[norm(r.text)].append(r.doc_id)
+    for i, t in rows:
+        groups[norm(t)].append(i)
     want = []
     for t, ids in groups.items():
-        real = [i for i in ids if i is not None]
-        keep = min(real) if real else None
-        want += [(i, keep, len(ids), i == keep, hashlib.sha256(t.encode()).hexdigest()) for i in ids]
-    got = [tuple(r) for r in exact_lsm.dedup(docs).collect()]
-    assert sorted(got, key=str) == sorted(want, key=str)
-    assert exact_lsm.dedup(empty).count() == 0
-    stay = exact_lsm.kept_documents(docs)
-    assert stay.columns == docs.columns and sorted(str(r.doc_id) for r in stay.collect()) == sorted(str(x[0]) for x in want if x[3])
+        keep = min((i for i in ids if i is not None), default=None)
+        want += [(i, keep, len(ids), hashlib.sha256(t.encode()).hexdigest()) for i in ids]
+    return want
+
+
+def squeezed(t):
+    return re.sub(r"[\x20\x09-\x0d]+", " ", t or "")
+
+
+@pytest.mark.parametrize("limit", [32 << 20, 0])
+def test_exact(docs, empty, spark, monkeypatch, limit):
+    monkeypatch.setattr(exact_lsm, "BROADCAST_BYTES", limit)  # at 0 no filter is asked
+    got = exact_lsm.dedup(docs).collect()
+    want = exact_groups([(r.doc_id, r.text) for r in docs.collect()], squeezed)
+    assert sorted([(r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got], key=str) == sorted(want, key=str)
+    stay = [r for r in got if r.kept]
+    assert all(r.doc_id == r.keep_id for r in stay) and Counter(r.text_sha256 for r in stay) == Counter({w[3]: 1 for w in want})
+    assert exact_lsm.dedup(empty).count() == 0 and exact_lsm.kept_documents(empty).count() == 0
+    rows = exact_lsm.kept_documents(docs)
+    assert rows.columns == docs.columns and sorted(str(r.doc_id) for r in rows.collect()) == sorted(str(r.doc_id) for r in stay)
+
+
+def test_exact_keeps_one_of_repeated_rows(spark):
+    rows = [(1, "a b", "x"), (1, "a  b", "w"), (1, "a b", "y"), (1, "other", "z"), (2, "a b", "v"), (None, "only null", "q"), (None, "only null", "r"), (None, "a b", "s"), (3, None, "t"), (3, "", "u")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = exact_lsm.dedup(docs).collect()
+    assert len(got) == len(rows) and Counter(r.text_sha256 for r in got if r.kept) == Counter({r.text_sha256: 1 for r in got})
+    stay = sorted((r.doc_id or 0, squeezed(r.text)) for r in exact_lsm.kept_documents(docs).collect())
+    assert stay == [(0, "only null"), (1, "a b"), (1, "other"), (3, "")]
 
 
 def test_compaction_is_incremental(docs):
-    half = F.xxhash64("text") % 2 == 0
+    half = F.coalesce(F.xxhash64("text") % 2 == 0, F.lit(False))
     whole = exact_lsm.compact(exact_lsm.flush(docs))
     first = exact_lsm.compact(exact_lsm.flush(docs.where(half)))
-    both = exact_lsm.compact(first, exact_lsm.flush(docs.where(~F.coalesce(half, F.lit(False)))))
+    both = exact_lsm.compact(first, exact_lsm.flush(docs.where(~half)))
     as_set = lambda df: {(bytes(r.digest), r.keep, r.n) for r in df.collect()}
     assert as_set(whole) == as_set(both)
-
-
-def test_unlike_texts_are_found(spark):
-    docs = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a")], "doc_id long, text string")
-    digest = hashlib.sha256(b"b").digest()
-    hits = spark.createDataFrame([(2, digest, 1, 2)], "id long, digest binary, keep long, n long")
-    assert exact_lsm.unlike(docs, hits).count() == 0  # nothing to compare with: id 1 has another digest
+    level, batch = exact_lsm.stored(first), exact_lsm.flush(docs)
+    bits, blocks = exact_lsm.filter_of(level)
+    assert blocks == 1 and sum(bin(b).count("1") for b in bytes(bits.first().bits)) > 10
+    found = {(bytes(r.digest), r.keep, r.n) for r in exact_lsm.lookup(batch, level, batch.count()).collect()}
+    assert found == as_set(first) and len(found) < len(as_set(whole))
+
+
+def test_unlike_texts_with_one_digest_are_told_apart(spark, docs, monkeypatch):
+    monkeypatch.setattr(exact_lsm, "digest_of", lambda norm: F.unhex(F.substring(F.sha2(norm, 256), 1, 1)))
+    got = exact_lsm.dedup(docs).collect()
+    want = exact_groups([(r.doc_id, r.text) for r in docs.collect()], squeezed)
+    assert sorted([(r.doc_id, r.keep_id, r.group_size) for r in got], key=str) == sorted([w[:3] for w in want], key=str)
+    assert len(exact_lsm.kept_documents(docs).collect()) == len({w[3] for w in want})
 
 
 # ---- 8: chat ----------------------------------------------------------------------------
