@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,7 +13,7 @@ from pyspark.sql import types as T
 #: Nodes that are walked at most in one payload; more are reported as cut.
 BUDGET = 200_000
 
-NODES = "path string, kind string, node string, cut boolean"
+NODES = "path string, kind string, node string, cut boolean, at int"
 
 
 def walk(payload: str | None, budget: int = BUDGET) -> Iterator[tuple[str, str, dict, bool]]:
@@ -35,15 +36,17 @@ def walk(payload: str | None, budget: int = BUDGET) -> Iterator[tuple[str, str,
 
 
 def nodes(rows: DataFrame, column: str, budget: int = BUDGET) -> DataFrame:
-    """rows with one row for each object in a payload: path, kind, node (its JSON), cut."""
+    """rows with one row for each object in a payload: path, kind, node (its JSON), cut, and at, its place in the walk."""
     kept = [f for f in rows.schema.fields if f.name != column]
 
-    def run(batches):  # noqa: ANN001, ANN202
-        for pdf in batches:
-            out = [(*(row[f.name] for f in kept), path, kind, json.dumps(node, sort_keys=True), cut) for _, row in pdf.iterrows() for path, kind, node, cut in walk(row[column], budget)]
-            import pandas as pd
+    names = [f.name for f in kept]
 
-            yield pd.DataFrame(out, columns=[*(f.name for f in kept), "path", "kind", "node", "cut"])
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for own, payload in zip(pdf[names].itertuples(index=False, name=None), pdf[column], strict=True):
+                out.extend((*own, path, kind, json.dumps(node, sort_keys=True), cut, at) for at, (path, kind, node, cut) in enumerate(walk(payload, budget)))
+            yield pd.DataFrame(out, columns=[*names, "path", "kind", "node", "cut", "at"])
 
     extra = T.StructType.fromDDL(NODES)
     return rows.mapInPandas(run, T.StructType(kept + extra.fields))

@@ -5,7 +5,9 @@ from __future__ import annotations
 import json
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -98,3 +100,32 @@ def folder_bytes(spark: SparkSession, path: str) -> DataFrame:
     """(files, bytes) below path; contents aren't read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.agg(F.count("*").alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
+
+
+def replayed(log: DataFrame, key: str, at: str) -> DataFrame:
+    """(key, post, files): files (kind 3) of each post (kind 2) in order; a file belongs to the last post before it in its log."""
+    upto = W.partitionBy(key).orderBy(at).rowsBetween(W.unboundedPreceding, 0)
+    placed = log.withColumn("post", F.last("post", True).over(upto)).where("post IS NOT NULL")
+    own = F.collect_list(F.when(F.col("kind") == 3, F.struct(at, "file")))
+    return placed.groupBy(key, "post").agg(F.transform(F.array_sort(own), lambda x: x["file"]).alias("files"))
+
+
+def first_object(text: str | None) -> str | None:
+    """The first JSON object in prose, with or without a fence around it."""
+    decoder, text = json.JSONDecoder(), text or ""
+    at = text.find("{")
+    while at >= 0:
+        try:
+            return json.dumps(decoder.raw_decode(text, at)[0])
+        except ValueError:
+            at = text.find("{", at + 1)
+    return None
+
+
+def first_objects(rows: DataFrame, column: str) -> DataFrame:
+    """rows with object in place of column: the first JSON object in its text, or null."""
+
+    def find(texts: pd.Series) -> pd.Series:
+        return texts.map(first_object)
+
+    return rows.withColumn("object", F.pandas_udf(find, T.StringType())(column)).drop(column)

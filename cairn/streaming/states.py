@@ -86,6 +86,25 @@ def boundary(stream: DataFrame, key: str, order: str, older: str, neutral: str,
     return stream.select(key, order, older, neutral).groupBy(key).applyInPandasWithState(step, f"{key} long, {order} long, run long, stop boolean", "run long, stopped boolean", "append", GroupStateTimeout.NoTimeout)
 
 
+def enriched(stream: DataFrame, key: str, order: str, value: str, part: str) -> DataFrame:
+    """(key, value, first_, kinds): the first value that is there, the first fragment, and how many kinds of them came; few kinds are expected."""
+    first = F.min(F.when(F.col(value).isNotNull(), F.struct(order, value)))[value]
+    return stream.groupBy(key).agg(first.alias(value), F.min(order).alias("first_"), F.size(F.collect_set(part)).cast("long").alias("kinds"))
+
+
+def upserted_stream(spark: SparkSession, stream: DataFrame, key: str, folder: str) -> DataFrame:
+    """The latest row of each key that a stream of updates gives for what is there now."""
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/out/part={number}")
+
+    query = stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").outputMode("update").trigger(availableNow=True).start()
+    query.awaitTermination()
+    rows = spark.read.parquet(f"{folder}/out")
+    rest = [c for c in stream.columns if c != key]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*rest), "_batch").alias("r")).select(key, "r.*")
+
+
 def drained(spark: SparkSession, stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
     """All that a stream gives for what is there now, written to folder and read back."""
     query = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").outputMode(mode).trigger(availableNow=True).start()
