@@ -7,9 +7,9 @@ are probed one after another until one is missing; the filter never gives less
 than the true level. Probabilities of bigrams and unigrams are interpolated.
 
 Every counted n-gram is kept. The filter is made of segments, each built by the
-task that adds up the counts of its n-grams and as large as they need. What is
-broadcast at a time is bounded by FILTER_BITS for either filter: larger ones are
-cut into shards of whole segments. The texts are scored in one pass for each
+task that adds up the counts of its n-grams and as large as they need. Each
+executor gets a filter as one file that its workers map, of FILTER_BITS at most:
+larger filters are cut into shards of whole segments. The texts are scored in one pass for each
 bigram shard; a token's bigram lies in one shard, so the passes' sums add up to
 the same score. If there is more than one unigram shard, passes before that
 write the unigram levels of all tokens (a byte each) beside the texts.
@@ -26,16 +26,19 @@ probability one and score as the smoothed unigram. Other columns are ignored.
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyarrow import fs
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import chunks, mix, word_hashes, word_spans, written
+from cairn.llm.common import bounded_batches, chunks, mix, shared_dir, word_hashes, word_spans, written
 
 BASE, LEVELS = 1.5, 64
 BITS_PER_ITEM, PROBES = 12, 5
@@ -162,8 +165,8 @@ def built(rows: DataFrame, least: int, n_segments: int) -> DataFrame:
 class Filter:
     """bits of the segments that blocks gives a size, in their order; n-grams of other segments have level 0."""
 
-    def __init__(self, bits: np.ndarray, blocks: np.ndarray):
-        self.bits, self.blocks = bits, blocks
+    def __init__(self, bits: np.ndarray | str, blocks: np.ndarray):
+        self.bits, self.blocks = mapped(bits) if isinstance(bits, str) else bits, blocks
         self.starts = np.cumsum(blocks) - blocks
 
     def levels(self, h: np.ndarray) -> np.ndarray:
@@ -204,15 +207,31 @@ def cuts(blocks: np.ndarray, bits: int) -> list[tuple[int, int]]:
     return [*out, (lo, len(blocks))]
 
 
-def loaded(segments: DataFrame, blocks: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
-    """The filter of the segments from lo to hi in one array."""
+def placed(segments: DataFrame, blocks: np.ndarray, lo: int, hi: int) -> tuple[str, np.ndarray]:
+    """The filter of the segments from lo to hi as a file that each executor gets once, and the blocks of its segments.
+
+    The file is written segment by segment, so it isn't held by the driver, and
+    mapped by all workers of an executor, so they share its pages.
+    """
+    spark = segments.sparkSession
     own = np.zeros_like(blocks)
     own[lo:hi] = blocks[lo:hi]
-    ends = np.cumsum(own) * (BLOCK_BITS // 8)
-    out = np.zeros(ends[-1], np.uint8)
-    for r in segments.where(F.col("seg").between(lo, hi - 1)).select("seg", "bits").toLocalIterator():
-        out[ends[r.seg] - len(r.bits) : ends[r.seg]] = np.frombuffer(r.bits, np.uint8)
-    return out, own
+    name = f"lm-filter-{uuid.uuid4().hex}"
+    top = shared_dir(spark)
+    uri = f"{top if '://' in top else 'file://' + os.path.abspath(top.removeprefix('file:'))}/{name}"
+    store, path = fs.FileSystem.from_uri(uri)
+    with store.open_output_stream(path, compression=None) as out:
+        for r in segments.where(F.col("seg").between(lo, hi - 1)).orderBy("seg").select("bits").toLocalIterator():
+            out.write(bytes(r.bits))
+    spark.sparkContext.addFile(uri)
+    return name, own
+
+
+@lru_cache(maxsize=4)
+def mapped(name: str) -> np.ndarray:
+    """A placed filter's bits in a worker."""
+    path = SparkFiles.get(name)
+    return np.asarray(np.memmap(path, np.uint8, "r")) if os.path.getsize(path) else np.zeros(0, np.uint8)
 
 
 def gathered(rows: DataFrame, least: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -221,13 +240,15 @@ def gathered(rows: DataFrame, least: int, bits: int) -> tuple[np.ndarray, np.nda
     blocks = sizes(segments, 1)
     if blocks.sum() * BLOCK_BITS > bits:
         raise ValueError(f"a filter of {blocks.sum() * BLOCK_BITS} bits, {bits} at most")
-    return loaded(segments, blocks, 0, 1)
+    name, own = placed(segments, blocks, 0, 1)
+    return mapped(name), own
 
 
 def scored(docs: DataFrame, learned: Column, head_size: int = HEAD, filter_bits: int = FILTER_BITS) -> DataFrame:
     """docs (doc_id, text) with n_tokens, n_known, train_tokens, base_score and score; learned says which rows are learned from."""
     docs = docs.select("doc_id", "text")
     spark = docs.sparkSession
+    bounded_batches(spark)
     own = docs.where(learned)
     n_docs_trained, n_bytes = own.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     # Of the parts of a filter of all tokens (of four bytes) at least four go into a shard.
@@ -252,14 +273,14 @@ def scored(docs: DataFrame, learned: Column, head_size: int = HEAD, filter_bits:
     if stored:
         keyed = keyed.withColumn("levels", F.lit(None).cast("binary"))
         for lo, hi in shards1:
-            shared = spark.sparkContext.broadcast(loaded(segments1, blocks1, lo, hi))
+            shared = spark.sparkContext.broadcast(placed(segments1, blocks1, lo, hi))
             keyed = written(keyed.mapInArrow(_unigram_levels(shared), keyed.schema), "lm-levels")
     else:
-        unigrams = loaded(segments1, blocks1, 0, n_segments)
+        unigrams = placed(segments1, blocks1, 0, n_segments)
 
     def add_pass(k: int) -> DataFrame:
         from_, to = shards2[k]
-        shared = spark.sparkContext.broadcast((unigrams, loaded(segments2, blocks2, from_, to)))
+        shared = spark.sparkContext.broadcast((unigrams, placed(segments2, blocks2, from_, to)))
         first = k == 0
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
