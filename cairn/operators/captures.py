@@ -198,14 +198,16 @@ def not_visited(pages: DataFrame) -> DataFrame:
     """(crawl_id, url_key, last_job, last_seen): for each job the pages that earlier jobs held and it didn't reach.
 
     A page that job p held is open until a job visits it or finds it gone; so
-    a page's visits in order of jobs give intervals of jobs that missed it, and
-    those are joined with the jobs by equality after they are spread out.
+    a page's visits in order of jobs give intervals of jobs that missed it.
+    Jobs are numbered, an interval is spread out as numbers, and these meet the
+    jobs by equality.
     """
-    jobs = pages.agg(F.array_sort(F.collect_set("crawl_id")).alias("jobs"))
-    visits = pages.groupBy("url_key", "crawl_id").agg(F.max(F.struct("seen_at", "id", "status")).alias("m"))
+    jobs = pages.select("crawl_id").distinct().select("crawl_id", F.row_number().over(W.orderBy("crawl_id")).alias("_no"))
+    visits = pages.groupBy("url_key", "crawl_id").agg(F.max(F.struct("seen_at", "id", "status")).alias("m")).join(jobs, "crawl_id")
     order = W.partitionBy("url_key").orderBy("crawl_id")
     # The latest capture so far by date, not by job.
-    upto = visits.withColumn("best", F.max(F.struct("m.seen_at", "m.id", "m.status", "crawl_id")).over(order)).withColumn("next", F.lead("crawl_id").over(order))
-    held = upto.where("best.status = 200").withColumn("_k", F.lit(0)).join(F.broadcast(jobs.withColumn("_k", F.lit(0))), "_k")
-    missed = held.withColumn("job", F.explode(F.filter("jobs", lambda j: (j > F.col("crawl_id")) & F.coalesce(j < F.col("next"), F.lit(True)))))
-    return missed.select(F.col("job").alias("crawl_id"), "url_key", F.col("best.crawl_id").alias("last_job"), F.col("best.seen_at").alias("last_seen"))
+    upto = visits.withColumn("best", F.max(F.struct("m.seen_at", "m.id", "m.status", "crawl_id")).over(order)).withColumn("next", F.lead("_no").over(order))
+    held = upto.select("url_key", F.col("best.status").alias("status"), F.col("best.crawl_id").alias("last_job"), F.col("best.seen_at").alias("last_seen"), "_no", "next").where("status = 200")
+    first, last = F.col("_no") + 1, F.coalesce(F.col("next") - 1, jobs.agg(F.max("_no")).scalar())
+    missed = held.where(first <= last).withColumn("_no", F.explode(F.sequence(first, last))).select("url_key", "last_job", "last_seen", "_no")
+    return missed.join(jobs, "_no").select("crawl_id", "url_key", "last_job", "last_seen")

@@ -73,7 +73,8 @@ def enriched(rows: DataFrame, send: Mapping[str, str], take: Mapping[str, str],
 
     def run(batches):  # noqa: ANN001, ANN202
         for pdf in batches:
-            answers = service([{name: row[c] for c, name in send.items()} for _, row in pdf.iterrows()])
+            asked = [dict(zip(send.values(), row, strict=True)) for row in pdf[[*send]].itertuples(index=False, name=None)]
+            answers = service(asked)
             for c, name in take.items():
                 pdf[c] = [a[name] if a.get(name) is not None else old for a, old in zip(answers, pdf[c], strict=True)]
             yield pd.DataFrame(pdf)

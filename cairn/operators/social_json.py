@@ -35,6 +35,19 @@ def walk(payload: str | None, budget: int = BUDGET) -> Iterator[tuple[str, str,
             return
 
 
+#: Levels of an object that are kept in its node: deeper ones have nodes of their own.
+DEPTH = 3
+
+
+def shallow(node: object, depth: int = DEPTH) -> object:
+    """A node without what lies deeper, so that a payload's nodes together grow with the payload, not with its depth too."""
+    if isinstance(node, dict):
+        return {k: shallow(v, depth - 1) for k, v in node.items()} if depth else {}
+    if isinstance(node, list):
+        return [shallow(v, depth - 1) for v in node] if depth else []
+    return node
+
+
 def nodes(rows: DataFrame, column: str, budget: int = BUDGET) -> DataFrame:
     """rows with one row for each object in a payload: path, kind, node (its JSON), cut, and at, its place in the walk."""
     kept = [f for f in rows.schema.fields if f.name != column]
@@ -45,7 +58,7 @@ def nodes(rows: DataFrame, column: str, budget: int = BUDGET) -> DataFrame:
         for pdf in batches:
             out = []
             for own, payload in zip(pdf[names].itertuples(index=False, name=None), pdf[column], strict=True):
-                out.extend((*own, path, kind, json.dumps(node, sort_keys=True), cut, at) for at, (path, kind, node, cut) in enumerate(walk(payload, budget)))
+                out.extend((*own, path, kind, json.dumps(shallow(node), sort_keys=True), cut, at) for at, (path, kind, node, cut) in enumerate(walk(payload, budget)))
             yield pd.DataFrame(out, columns=[*names, "path", "kind", "node", "cut", "at"])
 
     extra = T.StructType.fromDDL(NODES)

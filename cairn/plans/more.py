@@ -131,7 +131,7 @@ def a35(spark, sf):
 @query("j23_lookup", "SELECT s_suppkey, n_name AS place FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey")
 def j23(spark, sf):
     places = table(spark, sf, "nation").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("place"))
-    return table(spark, sf, "supplier").join(F.broadcast(places), "s_nationkey", "left").select("s_suppkey", "place")
+    return table(spark, sf, "supplier").join(places, "s_nationkey", "left").select("s_suppkey", "place")
 
 
 @query("j27_media_of_posts", "SELECT o_orderkey AS post, l_linenumber AS media, p_name AS file FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey LEFT JOIN part ON p_partkey = l_partkey")
