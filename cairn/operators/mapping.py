@@ -154,6 +154,14 @@ def deep_merged(base: dict, over: dict) -> dict:
     return out
 
 
+def seed_rows(config: dict) -> list[dict]:
+    """A crawl configuration's seeds, each on top of the defaults; an error without any."""
+    seeds = [s if isinstance(s, dict) else {"url": s} for s in config.get("seeds") or []]
+    if not seeds:
+        raise ValueError("a configuration needs seeds")
+    return [deep_merged(config.get("defaults") or {}, s) for s in seeds]
+
+
 def rewritten(value: Column, rules: list[tuple[str, str]]) -> Column:
     """The value by the first rule whose pattern it is as a whole, or null."""
     return F.coalesce(*[F.when(value.rlike(f"^(?:{p})$"), F.regexp_replace(value, p, by)) for p, by in rules])

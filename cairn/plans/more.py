@@ -24,10 +24,10 @@ def p03(spark, sf):
     return M.documents({"post": d, "comment": c, "profile": p}).select("id", "type", "title", "text", "author")
 
 
-@query("p09_header_fields", "SELECT event_id, event_type AS type, CAST(NULL AS VARCHAR) AS server FROM events")
+@query("p09_header_fields", "SELECT event_id, event_type AS type, CASE WHEN event_id % 2 = 1 THEN left(user_id || '-server', 5) END AS server FROM events")
 def p09(spark, sf):
-    h = F.array(F.struct(F.lit("content-TYPE").alias("name"), F.col("event_type").alias("value")), F.struct(F.lit("Content-Type").alias("name"), F.lit("second").alias("value")))
-    return table(spark, sf, "events").select("event_id", M.header(h, "Content-Type", 200).alias("type"), M.header(h, "Server").alias("server"))
+    h = F.array(F.struct(F.lit("content-TYPE").alias("name"), F.col("event_type").alias("value")), F.struct(F.lit("Content-Type").alias("name"), F.lit("second").alias("value")), F.struct(F.when(F.col("event_id") % 2 == 1, "SERVER").otherwise("x-server").alias("name"), F.concat(F.col("user_id").cast("string"), F.lit("-server")).alias("value")))
+    return table(spark, sf, "events").select("event_id", M.header(h, "Content-Type", 200).alias("type"), M.header(h, "Server", 5).alias("server"))
 
 
 @query("p17_ud7_enrichment", "SELECT doc_id, upper(source) AS source, length(lang) || '' AS size FROM documents")

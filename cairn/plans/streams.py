@@ -45,3 +45,11 @@ def st3(spark, sf):
 def st13(spark, sf):
     e = _events(spark, sf)
     return S.drained(spark, S.tumbling(e, "ts", "1 hour", "0 seconds", "event_type"), _folder(spark)).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("st13_session_windows", """WITH o AS (SELECT user_id, ts, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) > INTERVAL 30 MINUTE, true) AS new FROM events),
+g AS (SELECT *, sum(CAST(new AS INT)) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM o)
+SELECT user_id, min(ts) AS start_, count(*) AS n FROM g GROUP BY user_id, g HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) FROM events)""")
+def st13_sessions(spark, sf):
+    out = S.drained(spark, S.sessions(_events(spark, sf), "ts", "30 minutes", "0 seconds", "user_id"), _folder(spark))
+    return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start_"), "n")

@@ -11,6 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cairn.operators import mapping
+
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Lines that are JSON objects of the schema; blank and broken ones are left out."""
@@ -21,6 +23,18 @@ def json_object(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
 
 
+def crawl_config(spark: SparkSession, config: dict | str, schema: str) -> DataFrame:
+    """A table of the seeds of a configuration: a dictionary, or text in JSON, or in YAML where its package is there."""
+    if isinstance(config, str):
+        try:
+            config = json.loads(config)
+        except ValueError:
+            import yaml
+
+            config = yaml.safe_load(config)
+    return spark.createDataFrame(mapping.seed_rows(config), schema)
+
+
 def json_map(rows: DataFrame, column: str, record: str) -> DataFrame:
     """(key, record fields) of a column that holds {id: {...}}."""
     found = rows.select(F.explode(F.from_json(column, f"map<string,{record}>")).alias("key", "r"))

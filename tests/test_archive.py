@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import gzip
 import hashlib
 
@@ -183,3 +184,37 @@ def test_mapping_choices(spark):
     rules = spark.createDataFrame([("http://h", False, "/a"), ("http://h", True, "/a/b"), ("http://h", False, "/c"), ("http://h", True, "/c")], "origin string, allow boolean, prefix string")
     pages = spark.createDataFrame([("http://h/a/x",), ("http://h/a/b/x",), ("http://h/c",), ("http://other/a",), ("http://h/",)], "url string")
     assert {r.url: r.allowed for r in mapping.robots_allowed(pages, rules).collect()} == {"http://h/a/x": False, "http://h/a/b/x": True, "http://h/c": True, "http://other/a": True, "http://h/": True}
+
+
+def test_seeds_of_a_configuration(spark):
+    config = '{"defaults": {"scope": {"kind": "host", "depth": 2}}, "seeds": ["http://a/", {"url": "http://b/", "scope": {"depth": 5}}]}'
+    rows = files.crawl_config(spark, config, "url string, scope struct<kind:string,depth:int>").collect()
+    assert [(r.url, r.scope.kind, r.scope.depth) for r in rows] == [("http://a/", "host", 2), ("http://b/", "host", 5)]
+    with pytest.raises(ValueError):
+        files.crawl_config(spark, {"defaults": {}}, "url string")
+
+
+def test_arc_and_encoded_records():
+    import zlib
+
+    body = b"<html>x</html>"
+    block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nContent-Encoding: %s\r\n\r\n"
+    arc = b"filedesc://a.arc 0.0.0.0 20240102030405 text/plain 3\nabc\n"
+    for name, data in ((b"gzip", gzip.compress(body)), (b"deflate", zlib.compress(body)), (b"deflate", zlib.compressobj(wbits=-15).compress(body)), (b"odd", body)):
+        if name == b"deflate" and data == b"":
+            c = zlib.compressobj(wbits=-15)
+            data = c.compress(body) + c.flush()
+        part = block % name + data
+        arc += b"http://a/ 1.2.3.4 20240102030405 text/html %d\n" % len(part) + part + b"\n"
+    got = list(warc.records(arc))
+    assert [r["record_type"] for r in got] == ["warcinfo", "arc", "arc", "arc", "arc"] and got[1]["warc_date"] == "2024-01-02T03:04:05Z"
+    assert all(r["body"] == body and r["http_status"] == 200 for r in got[1:])
+    assert [r["body"] for r in warc.records(gzip.compress(arc))] == [r["body"] for r in got]
+    assert next(iter(warc.records(arc, inflate=False)))["body"] == b"abc"
+    sha = base64.b32encode(hashlib.sha1(body).digest()).decode()
+    one = warc.record_bytes({"record_type": "response", "target_uri": "http://a/", "warc_date": "x", "http_headers": [], "body": body, "payload_digest": "sha1:" + sha})
+    assert [r["hash_matched"] for r in warc.records(one + b"\0\0" + one)] == [True, True] and warc.unpacked(b"no", "gzip") == b"no"
+    with pytest.raises(ValueError, match="breaks off"):
+        list(warc.records(one + one[:-5]))
+    many = b"".join(warc.record_bytes({"record_type": "resource", "target_uri": "u", "warc_date": "x", "body": bytes([i % 256]) * 3000}) for i in range(2000))
+    assert sum(1 for _ in warc.records(memoryview(many))) == 2000
