@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cairn.operators import search_documents as D
 from cairn.plans.catalog import Catalog
 from cairn.plans.inputs import shared_folder, table
 from cairn.sources import warc
@@ -55,3 +56,48 @@ def s02(spark, sf):
 def k02(spark, sf):
     rows = warc.extracted(warc.read(spark, _written(spark, sf), types=("response",)), 1000)
     return rows.select(F.regexp_extract("record_id", "([0-9]+)", 1).cast("long").alias("doc_id"))
+
+
+# ---- search documents of platform records and of WARC records ---------------------------
+
+
+def _x_posts(spark, sf):
+    d, c = table(spark, sf, "documents"), F.col
+    return d.select(c("doc_id").alias("post_id"), F.when(c("doc_id") % 3 == 0, F.concat(F.lit("https://x.com/a/status/"), c("doc_id").cast("string"))).alias("permalink_url"), "text", c("source").alias("author_handle"), c("lang").alias("author_name"), F.lit("2024-02-03T04:05:06Z").alias("created_time"),
+                    F.array(c("lang"), c("lang"), F.lit("")).alias("hashtags"), c("lang"), F.array(F.lit("http://A.example/x"), F.lit("http://b.example/")).alias("urls"), F.array(F.lit("http://a.example/i.jpg")).alias("media_urls"), F.when(c("doc_id") % 2 == 0, "reply").alias("capture_role"), c("n_chars").alias("like_count"), F.array(F.lit("p"), F.lit("q")).alias("mentions"))
+
+
+_FLAT = r"trim(regexp_replace(text, '\s+', ' ', 'g'), ' ')"
+_CAPTURED = "2024-03-01 00:00:00"
+
+
+@query("p05_x_posts", rf"""SELECT 'x:post:' || doc_id AS id, 'X Post' AS type, 'x/' || CASE WHEN doc_id % 2 = 0 THEN 'reply' ELSE 'post' END AS category, CASE WHEN doc_id % 3 = 0 THEN 'https://x.com/a/status/' ELSE 'https://x.com/i/status/' END || doc_id AS url, nullif({_FLAT}, '') AS content,
+ concat_ws('|', nullif('@' || source, '@'), nullif(lang, '')) AS author, lang AS keywords, '2024-02-03T04:05:06Z' AS publication_date, 'http://A.example/x http://b.example/' AS links, 'a.example b.example' AS hosts, 'platform=x;kind=post;' || CASE WHEN doc_id % 2 = 0 THEN 'capture_role=reply;' ELSE '' END || 'like_count=' || n_chars || ';mentions=p,q' AS meta, 'sha1:' || sha1(nullif({_FLAT}, '')) AS hash FROM documents""")
+def p05(spark, sf):
+    d = D.built(_x_posts(spark, sf), D.BY_NAME["x", "post"], "c", F.lit(_CAPTURED).cast("timestamp"))
+    joined = lambda c, by: F.array_join(c, by)
+    return d.select("id", "type", "category", "url", "content", joined("author", "|").alias("author"), joined("keywords", " ").alias("keywords"), "publication_date", joined("links", " ").alias("links"), joined("links_hosts", " ").alias("hosts"), joined("content_metadata_ss", ";").alias("meta"), "hash")
+
+
+@query("p04_p06_capture_documents", """SELECT 'instagram:comment:' || (conv_id * 1000 + turn) AS id, 'Instagram Comment' AS type, 'https://www.instagram.com/p/s' || conv_id || '/c/' || (conv_id * 1000 + turn) || '/' AS url, role AS author, CAST(20240301000000 AS BIGINT) AS wayback_date FROM conversations
+UNION ALL SELECT 'instagram:profile:' || c_custkey, 'Instagram Profile', 'https://www.instagram.com/' || c_name || '/', c_name, CAST(20240301000000 AS BIGINT) FROM customer
+UNION ALL SELECT 'youtube:channel:' || s_suppkey, 'YouTube Channel', 'https://www.youtube.com/' || s_name, s_name, CAST(20240301000000 AS BIGINT) FROM supplier
+UNION ALL SELECT 'youtube:comment:' || event_id, 'YouTube Comment', CASE WHEN event_id % 2 = 0 THEN 'http://y/post?lc=' ELSE 'http://y/watch?v=1&lc=' END || event_id, event_type, CAST(20240301000000 AS BIGINT) FROM events
+UNION ALL SELECT 'facebook:comment:' || o_orderkey, 'Facebook Comment', CASE WHEN o_orderkey % 2 = 0 THEN 'http://f/p' || o_custkey || '?comment_id=' || o_orderkey END, o_orderstatus, CAST(20240301000000 AS BIGINT) FROM orders""")
+def p04(spark, sf):
+    t, c = lambda n: table(spark, sf, n), F.col
+    tables = {
+        ("instagram", "comment"): t("conversations").select((c("conv_id") * 1000 + c("turn")).alias("comment_id"), F.concat(F.lit("s"), c("conv_id").cast("string")).alias("post_shortcode"), "text", c("role").alias("author_username")),
+        ("instagram", "profile"): t("customer").select(c("c_custkey").alias("user_id"), c("c_name").alias("username")),
+        ("youtube", "channel"): t("supplier").select(c("s_suppkey").alias("channel_id"), c("s_name").alias("handle"), c("s_name").alias("name")),
+        ("youtube", "comment"): t("events").select(c("event_id").alias("comment_id"), F.when(c("event_id") % 2 == 0, "http://y/post").otherwise("http://y/watch?v=1").alias("target_url"), c("event_type").alias("author_name")),
+        ("facebook", "comment"): t("orders").select(c("o_orderkey").alias("comment_id"), F.when(c("o_orderkey") % 2 == 0, F.concat(F.lit("http://f/p"), c("o_custkey").cast("string"))).alias("parent_permalink"), c("o_orderstatus").alias("author_name")),
+    }
+    return D.of_capture(tables, "c", F.lit(_CAPTURED).cast("timestamp")).select("id", "type", "url", F.array_join("author", "|").alias("author"), "wayback_date")
+
+
+@query("p07_record_documents", _DOCS + """ SELECT '20240101000000/' || to_base64(unhex(md5('http://' || lang || '.example.com/' || doc_id))) AS id, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, lang || '.example.com' AS host, CASE WHEN n_chars < 100 THEN '404' ELSE '200' END AS status_code, '2024' AS crawl_year, 'text/plain' AS content_type_served,
+  CASE WHEN NOT again THEN strlen(text) END AS content_length, 'sha1:' || sha1(text) AS hash, 'us' AS institution FROM d""")
+def p07(spark, sf):
+    rows = D.of_records(warc.captures(warc.read(spark, _written(spark, sf))), "us", "c")
+    return rows.select("id", "record_type", "host", "status_code", "crawl_year", "content_type_served", "content_length", "hash", "institution")
