@@ -188,8 +188,7 @@ def components(links: DataFrame) -> DataFrame:
     smallest neighbour, until the links are stars around the smallest ids.
     """
     stars = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "near-stars")
-    state = None
-    while True:
+    while not are_stars(stars):
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         near = written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n")), "near-min")
         large = dealt_join(both.where("v > u"), near, ["u"], "n", max(1, 2 * stars.count())).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -197,10 +196,14 @@ def components(links: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         stars = written(small.where("u <> v").distinct(), "near-stars")
-        now = tuple(stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == state:
-            return stars.select(F.col("u").alias("id"), F.col("v").alias("comp"))
-        state = now
+    return stars.select(F.col("u").alias("id"), F.col("v").alias("comp"))
+
+
+def are_stars(links: DataFrame) -> bool:
+    """Whether each larger end u of links has one smaller end v, which is no larger end itself."""
+    twice = links.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").select("u")
+    between = links.select("u").join(links.select(F.col("v").alias("u")).distinct(), "u", "left_semi")
+    return twice.unionByName(between).isEmpty()
 
 
 def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -326,7 +329,7 @@ def grouped(docs: DataFrame, words: int = WORDS) -> DataFrame:
         more = verified(rest, sets2, max(1, rest.count())).unionByName(_block_links(blocked.join(sets2, "id")))
         more = written(more, "near-links2")
         if not more.isEmpty():
-            comps = components(links.unionByName(more))
+            comps = components(comps.select(F.col("id").alias("a"), F.col("comp").alias("b")).unionByName(more))
 
     placed = classes.join(comps, "id", "left").select("n", "fp", "copies", F.coalesce("comp", "id").alias("component_id"))
     placed = written(placed, "near-placed")
