@@ -146,3 +146,15 @@ def video_files(files: DataFrame) -> DataFrame:
     """(video, file): the first media file of each video, by the order of the list. files: (video, file, role, at)."""
     usable = files.where((F.col("role") == "video") & F.startswith("file", F.lit("media/")) & F.lower("file").rlike(r"\.(mp4|webm|m4a|mp3|opus)$"))
     return usable.groupBy("video").agg(F.min_by("file", "at").alias("file"))
+
+
+def without_viewer_posts(found: DataFrame, viewer: Column, kind: str = "kind") -> DataFrame:
+    """Records without the posts of a photo viewer's responses, which only point at an album's neighbours; photos count in viewers only, comments everywhere."""
+    return found.where(~(viewer & (F.col(kind) == "post")) & (viewer | (F.col(kind) != "photo")))
+
+
+def simulated_pages(seeds: DataFrame, most: int = 12) -> DataFrame:
+    """(url, seed, body): made-up pages of each seed (url, max_pages), each with a body of its own; for fixtures of any size."""
+    n = F.least(F.col("max_pages"), F.lit(most)).cast("int")
+    pages = seeds.where(n > 0).select(F.col("url").alias("seed"), F.explode(F.sequence(F.lit(1), n)).alias("n"))
+    return pages.select(F.concat("seed", F.lit("#page"), F.col("n").cast("string")).alias("url"), "seed", F.concat(F.lit("<html><body>page "), F.col("n").cast("string"), F.lit(" of "), "seed", F.lit("</body></html>")).alias("body"))

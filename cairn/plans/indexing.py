@@ -213,3 +213,28 @@ def st5(spark, sf):
     e = S.events(spark, f"{sf}/events.parquet").withColumn("amount", F.round("value").cast("long"))
     out = S.drained(spark, S.sliding(e, "ts", "60 minutes", "30 minutes", "0 seconds", "amount", "user_id"), shared_folder(spark, "stream"))
     return out.select("user_id", F.col("end").cast("timestamp_ntz").alias("end_"), "used")
+
+
+# ---- small sources and choices ---------------------------------------------------------------
+
+
+@query("s24_simulated_pages", "SELECT 'http://s/' || s_suppkey AS seed, 'http://s/' || s_suppkey || '#page' || n AS url, sha1('<html><body>page ' || n || ' of http://s/' || s_suppkey || '</body></html>') AS body FROM (SELECT s_suppkey, unnest(range(1, least(s_suppkey % 20, 12) + 1)) AS n FROM supplier)")
+def s24(spark, sf):
+    seeds = table(spark, sf, "supplier").select(F.concat(F.lit("http://s/"), F.col("s_suppkey").cast("string")).alias("url"), (F.col("s_suppkey") % 20).alias("max_pages"))
+    return I.simulated_pages(seeds).select("seed", "url", F.sha1("body").alias("body"))
+
+
+@query("h35_viewer_records", "SELECT kind, count(*) AS n FROM (SELECT CASE event_type WHEN 'view' THEN 'photo' WHEN 'click' THEN 'comment' ELSE 'post' END AS kind, value > 15 AS viewer FROM events) WHERE NOT (viewer AND kind = 'post') AND (viewer OR kind <> 'photo') GROUP BY 1")
+def h35(spark, sf):
+    kind = F.when(F.col("event_type") == "view", "photo").when(F.col("event_type") == "click", "comment").otherwise("post")
+    e = table(spark, sf, "events").select(kind.alias("kind"), (F.col("value") > 15).alias("viewer"))
+    return I.without_viewer_posts(e, F.col("viewer")).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("k03_replaced_state", "SELECT user_id, max(event_id) AS last FROM events GROUP BY 1")
+def k03(spark, sf):
+    """A state as JSON, written and then replaced as a whole: Spark commits a folder's new files before the old ones count as gone."""
+    folder, e = shared_folder(spark, "state"), table(spark, sf, "events").groupBy("user_id").agg(F.max("event_id").alias("last"))
+    for state in (e.withColumn("last", F.lit(0).cast("long")), e):
+        state.write.mode("overwrite").json(folder)
+    return spark.read.schema("user_id long, last long").json(folder)
