@@ -12,20 +12,26 @@ from cairn.functions import urls as U
 BUCKETS = (("image", "^image/"), ("audio", "^audio/"), ("video", "^video/"), ("html", "html"), ("pdf", "pdf"), ("word", "msword|wordprocessing|rtf"), ("excel", "excel|spreadsheet|csv"), ("powerpoint", "powerpoint|presentation"), ("text", "^text/"))
 
 
-def nearest(rows: DataFrame, records: DataFrame, key: str, at: str, rank: list[str]) -> DataFrame:
-    """rows with the best record of their key: the smallest rank columns, then the nearest in time, then the earlier one.
+def nearest(rows: DataFrame, records: DataFrame, key: str, at: str, rank: list[str], width: int = 3600) -> DataFrame:
+    """rows with the best record of their key: the smallest rank columns, then the nearest in time, then the earlier one, of equal ones the largest.
 
     Only the last record before and the first one at or after a row can be
-    nearest within a rank, so both are found with windows over one union, and
-    no row meets all records of its key.
+    nearest within a rank. Time (at, in whole units) is cut into spans of width:
+    windows look within a key's span, so a frequent key is many small windows,
+    and what a span lacks comes from its neighbours, one row for each span.
     """
     kinds = records.select(key, *rank).distinct().groupBy(key).agg(F.min(F.struct(*rank)).alias("_r"))
-    best = records.join(kinds, key).where(F.struct(*rank) == F.col("_r")).select(key, F.col(at).alias("_at"), F.struct(*[c for c in records.columns]).alias("_rec"), F.lit(None).cast(rows.schema).alias("_row"))
+    best = records.join(kinds, key).where(F.struct(*rank) == F.col("_r")).select(key, F.col(at).alias("_at"), F.struct(*records.columns).alias("_rec"), F.lit(None).cast(rows.schema).alias("_row"))
     asked = rows.select(key, F.col(at).alias("_at"), F.lit(None).cast(best.schema["_rec"].dataType).alias("_rec"), F.struct(*rows.columns).alias("_row"))
-    both = best.unionByName(asked).withColumn("_is_row", F.col("_row").isNotNull())
-    before = W.partitionBy(key).orderBy("_at", "_is_row").rowsBetween(W.unboundedPreceding, 0)
-    after = W.partitionBy(key).orderBy(F.desc("_at"), F.desc("_is_row")).rowsBetween(W.unboundedPreceding, 0)
+    both = best.unionByName(asked).withColumn("_is_row", F.col("_row").isNotNull()).withColumn("_span", F.floor(F.col("_at") / width))
+    upto = lambda *order: W.partitionBy(key, "_span").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    before, after = upto("_at", "_is_row", "_rec"), upto(F.desc("_at"), F.desc("_is_row"), "_rec")
     seen = both.withColumn("_b", F.last("_rec", True).over(before)).withColumn("_a", F.last("_rec", True).over(after)).where("_is_row")
+    first, last = F.max_by("_rec", F.when(F.col("_rec").isNotNull(), F.struct(-F.col("_at"), "_rec"))), F.max_by("_rec", F.when(F.col("_rec").isNotNull(), F.struct("_at", "_rec")))
+    spans = both.groupBy(key, "_span").agg(first.alias("_first"), last.alias("_last"))
+    order = W.partitionBy(key).orderBy("_span")
+    spans = spans.withColumn("_sb", F.last("_last", True).over(order.rowsBetween(W.unboundedPreceding, -1))).withColumn("_sa", F.first("_first", True).over(order.rowsBetween(1, W.unboundedFollowing)))
+    seen = seen.join(spans.select(key, "_span", "_sb", "_sa"), [key, "_span"]).withColumn("_b", F.coalesce("_b", "_sb")).withColumn("_a", F.coalesce("_a", "_sa"))
     gap = lambda c: F.abs(F.col(f"{c}.{at}") - F.col("_at"))
     hit = F.when(F.col("_b").isNull() | (gap("_a") < gap("_b")), F.col("_a")).otherwise(F.col("_b"))
     return seen.select("_row.*", hit.alias("record"))

@@ -218,3 +218,40 @@ def test_arc_and_encoded_records():
         list(warc.records(one + one[:-5]))
     many = b"".join(warc.record_bytes({"record_type": "resource", "target_uri": "u", "warc_date": "x", "body": bytes([i % 256]) * 3000}) for i in range(2000))
     assert sum(1 for _ in warc.records(memoryview(many))) == 2000
+
+
+@pytest.mark.parametrize("width", [1, 7, 10_000])
+def test_nearest_against_all_pairs(spark, width):
+    import random
+
+    rng = random.Random(width)
+    recs = [(rng.choice("abc"), i, rng.randrange(60), rng.random() < 0.3) for i in range(80)]
+    asked = [(rng.choice("abcd"), i, rng.randrange(60)) for i in range(50)]
+    records = spark.createDataFrame(recs, "k string, rec long, seen long, rank boolean")
+    rows = spark.createDataFrame(asked, "k string, id long, seen long")
+    got = {r.id: r.record and r.record.rec for r in documents.nearest(rows, records, "k", "seen", ["rank"], width).collect()}
+    want = {i: max(((-r[3], -abs(r[2] - at), -r[2], r[1]) for r in recs if r[0] == k), default=(None,))[-1] for k, i, at in asked}
+    assert got == want
+
+
+def test_language_and_first_rows(spark):
+    from cairn.operators import timeline
+
+    docs = spark.createDataFrame([(1, "en", "the cat the"), (2, "de", "der hund"), (3, "en", None), (4, "de", "zzz qqq"), (5, None, "the der der")], "doc_id long, lang string, text string")
+    train = docs.where("doc_id < 3")
+    profiles = documents.word_profiles(train, "lang")
+    for most in (1000, 1):  # sets, and a join
+        assert {r.doc_id: r.guess for r in documents.language(docs, profiles, most=most).collect()} == {1: "en", 2: "de", 3: None, 4: None, 5: "de"}
+    rows = spark.createDataFrame([("k", i) for i in range(500)] + [("l", 3)], "k string, i long")
+    assert sorted((r.k, r.i) for r in timeline.first_rows(rows, "k", ["i"], 3, parts=5).collect()) == [("k", 0), ("k", 1), ("k", 2), ("l", 3)]
+    posts = spark.createDataFrame([("a", 2, None, ["y", "x"]), ("a", 1, "v", ["x"]), ("a", 3, "w", None), ("b", 4, None, None)], "k string, id long, f string, l array<string>")
+    got = {r.k: (r.f, r.l) for r in timeline.merged_by_alias(posts, "k", "id", ["f"], [], [], ["l"], 2).collect()}
+    assert got == {"a": ("v", ["x", "y"]), "b": (None, [])}
+
+
+def test_hidden_fields(spark):
+    from cairn.functions import platforms
+
+    node = F.lit('{"a": {"legacyPostId": null}, "list": [1, {"Post_Id": 7}], "deep": {"b": {"c": {"post_id": "x"}}}}')
+    r = one(spark, found=platforms.find_value(node, ("post_id",)), none=platforms.find_value(F.lit("[1]"), ("x",)), t=platforms.x_target(F.lit("search:  ")), u=platforms.x_target(F.lit("https://x.com/i/status/12")), relay=platforms.relay_id(F.lit("bm90IGEgcmVsYXkgaWQ")))
+    assert r.found == "7" and r.none is None and r.t is None and tuple(r.u) == ("post", "12") and r.relay is None
