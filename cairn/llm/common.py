@@ -10,6 +10,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -44,17 +46,34 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str, bloom: str | None = None) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage, outlives executors."""
+def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """df as a Parquet table in the shared folder: cuts lineage, outlives executors. Inside temporary_tables it is deleted unless keep."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    writer = df.write
-    if bloom:
-        writer = writer.option(f"parquet.bloom.filter.enabled#{bloom}", "true")
-    writer.parquet(path)
+    df.write.parquet(path)
+    here = _written_here.get()
+    if here is not None and not keep:
+        here.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_written_here: ContextVar[list[str] | None] = ContextVar("written_here", default=None)
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Tables that are written inside are deleted at the end; results that read them must be stored by then."""
+    paths: list[str] = []
+    token = _written_here.set(paths)
+    try:
+        yield
+    finally:
+        _written_here.reset(token)
+        for path in paths:
+            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -15,7 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairn.llm import chat, exact_lsm, line_cuckoo, lm_bloom, minhash_bayes, mixing, quality_mil, quality_rules, sentencepiece_trie, toxicity
-from cairn.llm.common import chunks, remainder, word_hashes, word_spans
+from cairn.llm.common import chunks, remainder, shared_dir, word_hashes, word_spans
 
 WORD = re.compile(r"[^\x20\x09-\x0d]+")
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -651,7 +652,9 @@ def test_pipeline_stages(spark, tmp_path):
         if name.startswith("Min"):
             ids = {r.doc_id for r in out.select("doc_id").collect()}
             assert 1000 in ids and not ids & {1001, 1002, 1003}
+    before = set(os.listdir(shared_dir(spark)))
     rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {n.rsplit("-", 1)[0] for n in set(os.listdir(shared_dir(spark))) - before} == {"stage-quality", "stage-exact", "stage-minhash", "stage-mixing"}
     assert rows and all(r.round_trip and r.n_tokens == len(r.ids) for r in rows)
     empty = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
