@@ -1,4 +1,13 @@
-"""A corpus pipeline: quality, exact dedup, near-dedup, mixing, tokens."""
+"""A corpus pipeline: quality, exact dedup, near-dedup, mixing, tokens.
+
+Defined results, in all stages: a null text counts as empty; rows with a null
+doc_id are documents like others, but are never near copies; of equal texts,
+repeated rows among them, one row stays, and near copies leave with their
+group's smallest doc_id staying; columns beside doc_id, text, lang and source
+are kept whatever their names, and new ones get underscores in front of a name
+that is taken. An empty table gives an empty result, and without labels no
+document is rejected.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm import exact_lsm, minhash_bayes, mixing, quality_mil, sentencepiece_trie
-from cairn.llm.common import fresh, remainder, table, written
+from cairn.llm.common import fresh, remainder, table, temporary_tables, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,8 +52,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents, each written before the next reads it."""
+    """The stages over documents, each written before the next reads it; what a stage needed besides is deleted when it is written."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), "stage-" + name.split()[0].lower())
+        with temporary_tables(spark):
+            docs = written(stage(spark, docs, sf_dir), "stage-" + name.split()[0].lower(), keep=True)
     return STAGES[-1][1](spark, docs, sf_dir)
