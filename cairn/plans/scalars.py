@@ -167,7 +167,8 @@ def f57(spark, sf):
     return table(spark, sf, "documents").select("doc_id", X.sha1_digest(F.col("text")).alias("sha1"), F.sha2("text", 256).alias("sha256"), F.md5("text").alias("md5"))
 
 
-@query("f58_base32")
+@query("f58_base32", """WITH h AS (SELECT doc_id, sha1(text) AS x FROM documents), v AS (SELECT doc_id, list_transform(range(0, 8), lambda i: CAST('0x' || substr(x, CAST(i * 5 + 1 AS INTEGER), 5) AS INTEGER)) AS v FROM h)
+SELECT doc_id, array_to_string(flatten(list_transform(v, lambda n: list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((n >> s) & 31) + 1, 1)))), '') AS digest FROM v""")
 def f58(spark, sf):
     return table(spark, sf, "documents").select("doc_id", X.base32(F.sha1("text")).alias("digest"))
 
