@@ -153,17 +153,17 @@ def _fields(spark, sf):
     return d.select("doc_id", "source", "lang", F.array(f("my  Note!", F.col("source")), f(" SUBJECT ", F.col("lang")), f("title", F.concat(F.lit(" a \n b "), F.col("doc_id").cast("string"))), f("Collector", F.lit("  ")), f("subject", F.when(F.col("doc_id") % 2 == 0, F.lit("even"))), f("Collector", F.lit("me"))).alias("fields"))
 
 
-@query("f90_f91_x04_metadata_fields", "SELECT doc_id, 'Title=a b ' || doc_id || '|Subject=' || lang || CASE WHEN doc_id % 2 = 0 THEN '|Subject=even' ELSE '' END || '|Collector=me|my Note!=' || source AS shown, CAST(NULL AS VARCHAR) AS problem FROM documents WHERE lang <> '' AND source <> ''")
+@query("f90_f91_x04_metadata_fields", "SELECT doc_id, 'Title=a b ' || doc_id || '|Subject=' || lang || CASE WHEN doc_id % 2 = 0 THEN '|Subject=even' ELSE '' END || '|Collector=me|my Note!=' || source AS shown, CAST(NULL AS VARCHAR) AS problem FROM documents")
 def f90(spark, sf):
     x = P.metadata_fields(F.col("fields"))
     shown = F.array_join(F.transform(P.standard_order(x["fields"]), lambda f: F.concat(f["name"], F.lit("="), f["value"])), "|")
-    return _fields(spark, sf).where("lang <> '' AND source <> ''").select("doc_id", shown.alias("shown"), x["problem"].alias("problem"))
+    return _fields(spark, sf).select("doc_id", shown.alias("shown"), x["problem"].alias("problem"))
 
 
-@query("f92_p23_warc_fields", "SELECT doc_id, 'dc.title: a b ' || doc_id || chr(13) || chr(10) || 'dc.subject: ' || lang || CASE WHEN doc_id % 2 = 0 THEN chr(13) || chr(10) || 'dc.subject: even' ELSE '' END || chr(13) || chr(10) || 'collector: me' || chr(13) || chr(10) || 'custom.my-note: ' || source || chr(13) || chr(10) AS body FROM documents WHERE lang <> '' AND source <> ''")
+@query("f92_p23_warc_fields", "SELECT doc_id, 'dc.title: a b ' || doc_id || chr(13) || chr(10) || 'dc.subject: ' || lang || CASE WHEN doc_id % 2 = 0 THEN chr(13) || chr(10) || 'dc.subject: even' ELSE '' END || chr(13) || chr(10) || 'collector: me' || chr(13) || chr(10) || 'custom.my-note: ' || source || chr(13) || chr(10) AS body FROM documents")
 def f92(spark, sf):
     ordered = P.standard_order(P.metadata_fields(F.col("fields"))["fields"])
-    return _fields(spark, sf).where("lang <> '' AND source <> ''").select("doc_id", P.warc_fields(ordered).alias("body"))
+    return _fields(spark, sf).select("doc_id", P.warc_fields(ordered).alias("body"))
 
 
 # ---- choices and limits -----------------------------------------------------------------
@@ -219,9 +219,9 @@ def p21(spark, sf):
     return _events(spark, sf).select("event_id", P.fuzzy_text(_pick(two, F.array(b(48, _e())), F.slice(two, 1, 0), F.reverse(two), F.concat(two, two), F.slice(two, 1, 1)), F.lit("f.html")).alias("fuzzy"))
 
 
-@query("x12_limits", "SELECT doc_id, CASE WHEN length(text) > 120 THEN rtrim(substr(text, 1, 119), ' ') || '…' ELSE text END AS title, least(length(text), 524288) AS content, least(length(text) + 9, 2048) AS url FROM documents WHERE n_chars < 3000")
+@query("x12_limits", "SELECT doc_id, CASE WHEN length(text) > 120 THEN rtrim(substr(text, 1, 119), ' ') || '…' ELSE text END AS title, least(length(text), 524288) AS content, least(length(text) + 9, 2048) AS url FROM documents")
 def x12(spark, sf):
-    d = table(spark, sf, "documents").where("n_chars < 3000")
+    d = table(spark, sf, "documents")
     return d.select("doc_id", P.shown_title(F.col("text")).alias("title"), F.length(F.left("text", F.lit(512 * 1024))).cast("long").alias("content"), F.length(F.left(F.concat(F.lit("http://h/"), "text"), F.lit(2048))).cast("long").alias("url"))
 
 

@@ -53,18 +53,28 @@ def h29(spark, sf):
     return table(spark, sf, "documents").select("doc_id", R.sentiment(F.col("text"), ("the", "la"), ("trash", "der")).alias("score"))
 
 
-@query("j14_alias_identity", """WITH RECURSIVE e AS (SELECT DISTINCT user_id AS a, 100000 + CAST(json_extract(props, '$.k') AS BIGINT) AS b FROM events WHERE event_type = 'purchase' AND value > 40),
-v AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS id, a AS root FROM v UNION SELECT v.b, r.root FROM r JOIN v ON v.a = r.id) SELECT id, min(root) AS root FROM r GROUP BY 1""")
+def _identities(alias: str) -> str:
+    """Roots of users and their aliases; the recursion keeps one root for each id and lowers it."""
+    return f"""WITH RECURSIVE e AS (SELECT DISTINCT user_id AS a, {alias} AS b FROM events), v AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r(id, root) USING KEY (id) AS (SELECT a, min(least(a, b)) FROM v GROUP BY 1 UNION SELECT v.b, min(r.root) FROM r JOIN v ON v.a = r.id JOIN recurring.r AS old ON old.id = v.b WHERE r.root < old.root GROUP BY 1) SELECT id, root FROM r"""
+
+
+_K = "CAST(json_extract(props, '$.k') AS BIGINT)"
+
+
+def _edges(spark, sf, alias):
+    return table(spark, sf, "events").select(F.col("user_id").alias("a"), alias(F.get_json_object("props", "$.k").cast("long")).alias("b")).distinct()
+
+
+@query("j14_alias_identity", _identities(f"100000 + {_K} * 10 + user_id % 10"))
 def j14(spark, sf):
-    e = table(spark, sf, "events").where("event_type = 'purchase' AND value > 40")
-    return G.identities(e.select(F.col("user_id").alias("a"), (100000 + F.get_json_object("props", "$.k").cast("long")).alias("b")).distinct(), written)
+    """Users of ten groups that share no alias."""
+    return G.identities(_edges(spark, sf, lambda k: 100000 + k * 10 + F.col("user_id") % 10), written)
 
 
-@query("j14_alias_identity_all")
+@query("j14_alias_identity_all", _identities(f"100000 + {_K}"))
 def j14_all(spark, sf):
-    """j14 over every event; the recursive SQL of the query above holds for its rows only."""
-    e = table(spark, sf, "events")
-    return G.identities(e.select(F.col("user_id").alias("a"), (100000 + F.get_json_object("props", "$.k").cast("long")).alias("b")).distinct(), written)
+    return G.identities(_edges(spark, sf, lambda k: 100000 + k), written)
 
 
 @query("f80_h34_payload_posts", "SELECT CAST(event_id AS VARCHAR) AS post_id, event_type AS text, CAST(json_extract(props, '$.k') AS BIGINT) AS likes FROM events")
