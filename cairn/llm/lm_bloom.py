@@ -265,9 +265,10 @@ def scored(docs: DataFrame, learned: Column, head_size: int = HEAD, filter_bits:
     blocks1, blocks2 = sizes(segments1, n_segments), sizes(segments2, n_segments)
     shards1, shards2 = cuts(blocks1, filter_bits), cuts(blocks2, filter_bits)
     n_shards, stored = len(shards2), len(shards1) > 1
-    keyed = docs.withColumn("row", F.lit(0).cast("long"))
-    if n_shards > 1 or stored or not whole:
-        keyed = written(docs.withColumn("row", F.monotonically_increasing_id()), "lm-rows")
+    # Rows are told apart where results of several passes meet; a single pass's own result is written with them.
+    keyed = docs.withColumn("row", F.monotonically_increasing_id())
+    if n_shards > 1 or stored:
+        keyed = written(keyed, "lm-rows")
     keyed = keyed.select("row", F.col("doc_id").cast("long").alias("doc_id"), "text")
     unigrams = None
     if stored:
