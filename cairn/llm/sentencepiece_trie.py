@@ -39,11 +39,13 @@ MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Bytes, by estimate, of what a worker remembers: words with their ids until the end of a task, and pairs,
 #: which are emptied when full.
-WORD_BYTES, PAIR_BYTES = 48 << 20, 24 << 20
+WORD_BYTES, PAIR_BYTES = 48 << 20, 12 << 20
 #: Bytes of a word in the table besides its letters (at most 4 each) and ids (4 each), and of a pair.
 WORD_COST, PAIR_COST = 240, 96
 UNIGRAM, BPE = 1, 2
+#: Characters by which pieces are looked up, and what stands before a text that has fewer: no piece holds it.
 TAIL = 3
+PAD = "\0" * TAIL
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -105,51 +107,110 @@ class Model:
         inside = set("".join(p for p in self.ids if len(p) > 1))
         self.cuts = "".join(c for c in "\n\t" if c not in inside)
         self.words = re.compile(f" *[^ {self.cuts}]+|[{self.cuts}]| +") if self.cuts else re.compile(" *[^ ]+| +")
-        # Lengths of the pieces that end in TAIL given characters, the longest first: only these are looked up.
+        # Lengths of the longer pieces that end in TAIL given characters, the longest first: only these are looked up.
+        self.spaced = {p.replace(MARK, " "): i for p, i in self.ids.items()}
         tails: dict[str, set[int]] = {}
-        for p in self.ids:
-            if len(p) >= TAIL:
+        for p in self.spaced:
+            if len(p) > TAIL:
                 tails.setdefault(p[-TAIL:], set()).add(len(p))
-        short = list(range(TAIL - 1, 0, -1))
-        self.tails = {t: (*sorted(sizes, reverse=True), *short) for t, sizes in tails.items()}
-        self.short = tuple(short)
+        self.longer = {t: sorted(sizes, reverse=True) for t, sizes in tails.items()}
+        self.endings: dict[str, tuple[tuple[int, int], ...]] = {}
         self.forget()
         self.stands: dict[int, bool] = {}
+        self.grown: dict[int, tuple | None] = {}
+
+    def next_merge(self, parts: list[str]) -> int:
+        """Where the best-scored neighbours are, the leftmost among equals; -1 without any."""
+        best, at = None, -1
+        for i in range(len(parts) - 1):
+            k = self.ids.get(parts[i] + parts[i + 1])
+            if k is not None and (best is None or self.scores[k] > best):
+                best, at = self.scores[k], i
+        return at
 
     def merged(self, text: str) -> list[str]:
         """BPE of a short text: the best-scored neighbours are merged, the leftmost first."""
         parts = list(text)
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                k = self.ids.get(parts[i] + parts[i + 1])
-                if k is not None and (best is None or self.scores[k] > best):
-                    best, at = self.scores[k], i
-            if best is None:
-                break
+        while len(parts) > 1 and (at := self.next_merge(parts)) >= 0:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
+    def growth(self, piece: int) -> tuple[list[tuple[str, float]], list[tuple[str, float]]] | None:
+        """What a piece's first and its last character become while the piece is merged: (text, score) from the character to the piece; None if merging doesn't give the piece."""
+        found = self.grown.get(piece, False)
+        if found is False:
+            text = self.pieces[piece]
+            parts, first, final = list(text), [(text[0], 0.0)], [(text[-1], 0.0)]
+            while len(parts) > 1 and (at := self.next_merge(parts)) >= 0:
+                made = parts[at] + parts[at + 1]
+                step = (made, self.scores[self.ids[made]])
+                if at == 0:
+                    first.append(step)
+                if at == len(parts) - 2:
+                    final.append(step)
+                parts[at : at + 2] = [made]
+            falling = all(x[1] >= y[1] for chain in (first[1:], final[1:]) for x, y in zip(chain, chain[1:], strict=False))
+            found = self.grown[piece] = (first, final) if len(parts) == 1 and falling else None
+        return found
+
     def pair_stands(self, a: int, b: int) -> bool:
-        """Whether merging leaves the pieces a and b (ids) as they are beside each other."""
+        """Whether merging leaves the pieces a and b (ids) as they are beside each other.
+
+        The text at their border grows on both sides in the order of scores; the
+        pair falls if a piece across the border would be merged before the next
+        step of either side, the leftmost first among equals.
+        """
         key = a << 32 | b
         found = self.stands.get(key)
         if found is None:
             if len(self.stands) * PAIR_COST >= PAIR_BYTES:
                 self.stands.clear()
-            x, y = self.pieces[a], self.pieces[b]
-            found = self.stands[key] = self.merged(x + y) == [x, y]
+            left, right = self.growth(a), self.growth(b)
+            if left is None or right is None:
+                x, y = self.pieces[a], self.pieces[b]
+                found = self.merged(x + y) == [x, y]
+            else:
+                found = self._border_stands(left[1], right[0])
+            self.stands[key] = found
         return found
 
+    def _border_stands(self, xs: list[tuple[str, float]], ys: list[tuple[str, float]]) -> bool:
+        i = j = 0
+        none = float("-inf")
+        while True:
+            p, q = xs[i + 1][1] if i + 1 < len(xs) else none, ys[j + 1][1] if j + 1 < len(ys) else none
+            k = self.ids.get(xs[i][0] + ys[j][0])
+            if k is not None and self.scores[k] > p and self.scores[k] >= q:
+                return False
+            if p == q == none:
+                return True
+            if p >= q:
+                i += 1
+            else:
+                j += 1
+
     def loose(self, char: str) -> list[int]:
         """Ids of a character without a piece."""
         return [self.bytes[b] for b in char.replace(MARK, " ").encode()] if self.bytes else [self.unknown]
 
+    def ending(self, tail: str) -> tuple[tuple[int, int], ...]:
+        """(length, id) of the pieces that a text with these last TAIL characters may end in, the longest first; -1 for an id that depends on more characters."""
+        found = [(n, -1) for n in self.longer.get(tail, ())] + [(n, self.spaced[tail[-n:]]) for n in range(TAIL, 0, -1) if tail[-n:] in self.spaced]
+        if len(self.endings) * PAIR_COST * 2 >= PAIR_BYTES:
+            self.endings.clear()
+        self.endings[tail] = tuple(found)
+        return self.endings[tail]
+
     def segmented(self, words: Iterable[str]) -> Iterator[tuple[str, list[int]]]:
-        """(word, ids) of sorted distinct words (marks as MARK), prefix states shared along the sorted order."""
-        ids, scores, bpe, tails, short, stands = self.ids, self.scores, self.kind == BPE, self.tails, self.short, self.stands
+        """(word, ids) of distinct words with marks as MARK."""
+        return ((word.replace(" ", MARK), ids) for word, ids in self.searched(sorted(w.replace(MARK, " ") for w in words)))
+
+    def searched(self, words: Iterable[str]) -> Iterator[tuple[str, list[int]]]:
+        """(word, ids) of sorted distinct words (marks as spaces), prefix states shared along the sorted order."""
+        bpe, scores = self.kind == BPE, self.scores
+        piece_of, ending_of, stands = self.spaced.get, self.endings.get, self.stands.get
         low = min(scores, default=0.0) - 10
-        # By prefix length: where its last piece starts, that piece (or -1 for a character without one), and the best score.
+        # By prefix length: where its last piece starts, that piece (or -1 for a character without one), and for a unigram model the best score.
         start, last, score = [0], [-1], [0.0]
         before = ""
         for word in words:
@@ -157,31 +218,32 @@ class Model:
             while same < most and before[same] == word[same]:
                 same += 1
             del start[same + 1 :], last[same + 1 :], score[same + 1 :]
+            padded = PAD + word
             for end in range(same + 1, len(word) + 1):
+                tail = padded[end : end + TAIL]
                 best, at, piece = None, end - 1, -1
-                for size in tails.get(word[end - TAIL : end], short) if end >= TAIL else short:
+                for size, k in ending_of(tail) or self.ending(tail):
                     j = end - size
-                    if j < 0:
-                        continue
-                    k = ids.get(word[j:end])
-                    if k is None:
-                        continue
+                    if k < 0:
+                        if j < 0 or (k := piece_of(word[j:end], -1)) < 0:
+                            continue
                     if bpe:
-                        left = last[j] if j else -1
+                        left = last[j]
                         if left >= 0:
-                            ok = stands.get(left << 32 | k)
+                            ok = stands(left << 32 | k)
                             if not (self.pair_stands(left, k) if ok is None else ok):
                                 continue
-                        best, at, piece = 0.0, j, k
+                        at, piece = j, k
                         break
                     value = score[j] + scores[k]
                     if best is None or value > best:
                         best, at, piece = value, j, k
-                if best is None or not bpe and word[end - 1] not in ids and score[end - 1] + low > best:
-                    best, at, piece = score[end - 1] + low, end - 1, -1  # a character without a piece
                 start.append(at)
                 last.append(piece)
-                score.append(best)
+                if not bpe:
+                    if best is None or word[end - 1] not in self.spaced and score[end - 1] + low > best:
+                        best, start[-1], last[-1] = score[end - 1] + low, end - 1, -1  # a character without a piece
+                    score.append(best)
             out: list[int] = []
             end = len(word)
             while end:
@@ -206,8 +268,8 @@ class Model:
         for w in new.intersection(self.older):
             ids = self.known[w] = self.older[w]
             self.known_bytes += WORD_COST + 4 * len(w) + len(ids)
-        for word, found in self.segmented(sorted(w.replace(" ", MARK) for w in new.difference(self.older))):
-            ids = self.known[word.replace(MARK, " ")] = array("i", found).tobytes()
+        for word, found in self.searched(sorted(new.difference(self.older))):
+            ids = self.known[word] = array("i", found).tobytes()
             self.known_bytes += WORD_COST + 4 * len(word) + len(ids)
 
     def forget(self) -> None:

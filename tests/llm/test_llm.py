@@ -436,6 +436,19 @@ def test_tokens_equal_the_library(docs, empty):
     assert sentencepiece_trie.encoded(empty).count() == 0
 
 
+def test_pairs_stand_as_merging_says():
+    model = sentencepiece_trie.Model(sentencepiece_trie.read_model())
+    rng = random.Random(31)
+    ids = [i for p, i in model.ids.items() if len(p) < 12]
+    same = [model.ids[p] for p in ("a", "aa", "e", "ee", "ll", "l", "▁", "▁▁", "▁▁▁▁", "==", "=", "====", "-", "--") if p in model.ids]
+    pairs = [(rng.choice(ids), rng.choice(ids)) for _ in range(20000)] + [(a, b) for a in same for b in same]
+    short = [i for i in ids if len(model.pieces[i]) <= 3]
+    pairs += [(rng.choice(short), rng.choice(short)) for _ in range(20000)]
+    for a, b in pairs:
+        x, y = model.pieces[a], model.pieces[b]
+        assert model.pair_stands(a, b) == (model.merged(x + y) == [x, y]), (x, y)
+
+
 def test_unigram_viterbi():
     def field(number, kind, body):
         return bytes([number << 3 | kind]) + (bytes([len(body)]) if kind == 2 else b"") + body
