@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cairn.llm import chat, exact_lsm, line_cuckoo, lm_bloom, minhash_bayes, mixing, quality_mil, quality_rules, sentencepiece_trie, toxicity
+from cairn.llm import chat, exact_lsm, filter_audit, line_cuckoo, lm_bloom, minhash_bayes, mixing, quality_mil, quality_rules, sentencepiece_trie, simhash_mih, toxicity, whitening
 from cairn.llm.common import remainder, table
 
 
@@ -64,6 +64,18 @@ def op10_lm_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op13_simhash_mih(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_mih.grouped(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_mil": op1_quality_mil,
     "op2_minhash_bayes": op2_minhash_bayes,
@@ -75,6 +87,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat": op8_chat,
     "op9_mixing": op9_mixing,
     "op10_lm_bloom": op10_lm_bloom,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_whitening": op12_whitening,
+    "op13_simhash_mih": op13_simhash_mih,
 }
 ORACLE: dict[str, str] = {
     "op3_line_cuckoo": line_cuckoo.ORACLE,
@@ -85,6 +100,7 @@ FROM n WINDOW g AS (PARTITION BY text_sha256)
 """,
     "op8_chat": chat.ORACLE,
     "op9_mixing": mixing.ORACLE,
+    "op11_filter_audit": filter_audit.ORACLE,
 }
 
 
