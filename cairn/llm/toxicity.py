@@ -3,8 +3,12 @@
 A text is read in windows of WINDOW words. The words of a window and their
 character n-grams, bounded by the spaces around them, are hashed to buckets;
 their embeddings are averaged and a linear softmax over two classes gives the
-window's probability. A text is toxic unless all its windows are clean, so its
-probability is one minus the product of theirs. Embeddings and softmax are
+window's probability. The evidence of a run of windows is minus the logarithm of
+the product of their clean probabilities, less LEAK for each window: what clean
+text gives by its length alone. A text's score is that of its strongest span of
+SPAN windows, less CHANCE for each factor of e in the number of spans, of which
+the strongest grows by chance; so a long clean text scores as low as a short one,
+and a toxic passage counts wherever it stands. Embeddings and softmax are
 trained together in numpy from document labels; a misspelt word shares most of
 its n-grams with the word, seen or not.
 
@@ -29,7 +33,8 @@ from cairn.llm.common import IS_SPACE, LOWER, chunks, fresh, map_text, sample, w
 WINDOW, ORDERS, BUCKETS, WIDTH = 4, (4, 5, 6), 1 << 18, 8
 #: Bound of the training sample: documents of either label, and bytes of all of them; documents are taken whole.
 SAMPLE_EACH, SAMPLE_BYTES = 1500, 1500 * 8192
-EPOCHS, PARTS, RATE, SEED = 24, 12, 0.3, 5
+EPOCHS, PARTS, RATE, SEED = 10, 12, 0.3, 5
+LEAK, SPAN, CHANCE = 1e-3, 256, 2.0
 THRESHOLD = 0.7
 
 
@@ -90,10 +95,24 @@ class Model:
         return toxic(z, edges)
 
 
-def toxic(z: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    """One minus the product of the windows' probabilities of being clean."""
+def evidence(z: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """For runs of windows: minus the logarithm of the probability that all are clean, less what their number gives by itself."""
     clean = np.concatenate([[0.0], np.cumsum(np.logaddexp(0, z))])
-    return -np.expm1(-np.maximum(clean[edges[1:]] - clean[edges[:-1]], 0))
+    return clean[ends] - clean[starts] - LEAK * (ends - starts)
+
+
+def toxic(z: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Scores of texts from their windows' margins: of the strongest span, with a bias for the number of spans."""
+    n = -(-np.diff(edges) // SPAN)
+    first = np.concatenate([[0], np.cumsum(n)])
+    of = np.repeat(np.arange(len(n)), n)
+    starts = edges[of] + (np.arange(len(of)) - first[of]) * SPAN
+    spans = evidence(z, starts, np.minimum(starts + SPAN, edges[of + 1]))
+    out = np.zeros(len(n))
+    full = np.flatnonzero(n)
+    if len(full):
+        out[full] = np.maximum.reduceat(spans, first[full]) - CHANCE * np.log(n[full])
+    return -np.expm1(-np.maximum(out, 0))
 
 
 def train(texts: list[bytes], y: np.ndarray, seed: int = SEED) -> Model:
@@ -110,23 +129,23 @@ def train(texts: list[bytes], y: np.ndarray, seed: int = SEED) -> Model:
         if len(begin):
             at, ids = np.concatenate([p for p, _ in parts]), np.concatenate([b for _, b in parts])
             of = (np.searchsorted(begin, at, side="right") - 1).astype(np.int32)
-            batches.append((ids, of, np.maximum(np.bincount(of, minlength=len(begin)), 1), edges, y[own]))
+            used, ids = np.unique(ids, return_inverse=True)
+            batches.append((used, ids.astype(np.int32), of, np.maximum(np.bincount(of, minlength=len(begin)), 1), edges, y[own]))
     table, soft = rng.normal(0, 0.5 / WIDTH, (BUCKETS, WIDTH)), rng.normal(0, 1, (WIDTH, 2))
     bias, seen, seen_soft, seen_bias = np.array([0.0, -5.0]), np.full((BUCKETS, 1), 1e-8), np.full((WIDTH, 2), 1e-8), 1e-8
     for _ in range(EPOCHS):
-        for ids, of, n, edges, yb in batches:
-            margin = soft[:, 1] - soft[:, 0]
-            s = table @ margin
-            z = np.bincount(of, weights=s[ids], minlength=len(n)) / n + bias[1] - bias[0]
-            p = np.clip(toxic(z, edges), 1e-9, 1 - 1e-9)
-            # d loss / d z of a window: its own probability, times 1 for a clean text, -(1-p)/p for a toxic one
-            by_doc = np.where(yb == 1, -(1 - p) / p, 1.0) / len(yb)
+        for used, ids, of, n, edges, yb in batches:
+            margin, own = soft[:, 1] - soft[:, 0], table[used]
+            z = np.bincount(of, weights=(own @ margin)[ids], minlength=len(n)) / n + bias[1] - bias[0]
+            s = evidence(z, edges[:-1], edges[1:])
+            p = np.clip(-np.expm1(-np.maximum(s, 1e-4)), 1e-9, 1 - 1e-9)
+            # d loss / d z of a window: its own probability, times 1 for a clean text that has evidence, -(1-p)/p for a toxic one
+            by_doc = np.where(yb == 1, np.maximum(-(1 - p) / p, -20), s > 0) / len(yb)
             dz = np.repeat(by_doc, np.diff(edges)) / (1 + np.exp(-z))
-            c = np.bincount(ids, weights=(dz / n)[of], minlength=BUCKETS)
-            d_table, d_margin = c[:, None] * margin, c @ table
-            hit = c != 0
-            seen[hit, 0] += (d_table[hit] ** 2).mean(1)
-            table[hit] -= RATE * d_table[hit] / np.sqrt(seen[hit])
+            c = np.bincount(ids, weights=(dz / n)[of], minlength=len(used))
+            d_table, d_margin = c[:, None] * margin, c @ own
+            seen[used, 0] += (d_table**2).mean(1)
+            table[used] -= RATE * d_table / np.sqrt(seen[used])
             d_soft = np.stack([-d_margin, d_margin], axis=1)
             seen_soft += d_soft**2
             soft -= 0.3 * RATE * d_soft / np.sqrt(seen_soft)
