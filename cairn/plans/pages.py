@@ -239,7 +239,12 @@ def h03(spark, sf):
 
 
 @query("h17_a25_html_features", rf"""WITH t AS (SELECT page_id, html, regexp_extract_all(regexp_replace(html, '<!--.*?-->|(<script>|<style>).*?(</script>|</style>)', '\1\2', 'gs'), '<([a-z][a-z0-9]*)', 1) AS e FROM pages)
-SELECT page_id, array_to_string(list_sort({_HREFS}), ' ') AS links, array_to_string(list_sort(list_distinct(e)), ' ') AS elements FROM t""")
+SELECT page_id, array_to_string(list_sort({_HREFS}), ' ') AS links,
+  array_to_string(list_sort(list_distinct(e || ['link', 'picture', 'source', 'img', 'link/@rel=license', 'meta/@name=', 'meta/@name=author'])), ' ') AS elements,
+  '/l/' || page_id AS licenses, 'a' || page_id || '.png b,c.png d.png s.png' AS images FROM t""")
 def h17(spark, sf):
+    """Every page gets a license, an author and a picture of several sizes."""
     joined = lambda c: F.array_join(F.array_sort(f"features.{c}"), " ").alias(c)
-    return H.features(table(spark, sf, "pages"), "html").select("page_id", joined("links"), joined("elements"))
+    k = F.col("page_id").cast("string")
+    more = F.concat(F.lit('<head><link rel="License" href="/l/'), k, F.lit('"><meta name="Author"><picture><source srcset="a'), k, F.lit('.png 1x, b,c.png 100w,\n d.png"><source><img srcset="s.png"></picture><source srcset="not.png">'))
+    return H.features(table(spark, sf, "pages").select("page_id", F.replace("html", F.lit("<head>"), more).alias("html")), "html").select("page_id", *map(joined, ("links", "elements", "licenses", "images")))

@@ -84,6 +84,17 @@ def test_page_regions():
     assert html.page_text("<p>" + "x" * 100, 10)["text"] == "x" * 10
 
 
+def test_page_spans():
+    """An end tag ends its own element only, and a role ends with the element that has it."""
+    text = lambda body: html.page_text(f"<html><body>{body}</body></html>")["text"]
+    assert text("</nav><p>a</p></header>") == "a" and text("<div role='banner'>top</div><p>own</p>") == "own"
+    assert text("<nav><nav>x</nav>y</nav>z") == "z" and text("<div role='main'>m</div><aside>n</aside>") == "m"
+    assert html.page_text("<title>a</title><h1>b <i>c</i></h1><svg><title>d</title></svg>")["headline"] == "b c"
+    assert html.iso_date(" 2024-01-02T03:04:05+02:00") == "2024-01-02T03:04:05Z" and html.iso_date("2024-01-02 03:04") == "2024-01-02T03:04:00Z" and html.iso_date("2024-01-02x") == "2024-01-02T00:00:00Z" and html.iso_date("2.1.2024") is None
+    found = html.feature_lists("<body background='b.png'><p> <br></p><p>one<p>two</p><a rel='LICENSE' href=' /l '>x</a><table background='t.png'><source srcset='no.png'><picture><source srcset='p1.png 1x, p2.png 2x,'></picture><img srcset='a,b.png' src='c.png'><o:p>y</o:p>")
+    assert found["first_paragraph"] == "one" and found["licenses"] == ["/l"] and found["images"] == ["b.png", "t.png", "c.png", "p1.png", "p2.png", "a,b.png"] and "o:p" not in found["elements"]
+
+
 def one(spark, **cols):
     return spark.range(1).select(*[c.alias(k) for k, c in cols.items()]).first()
 
