@@ -180,7 +180,7 @@ def subtitle_tracks(manual: Column, automatic: Column, language: Column) -> Colu
     return F.concat(plain, F.when(F.size(originals) > 0, originals).otherwise(F.coalesce(own, F.array().cast("array<string>"))))
 
 
-# ---- headers and secrets --------------------------------------------------------
+# ---- headers --------------------------------------------------------------------
 
 
 def clean_headers(headers: Column) -> Column:
@@ -200,20 +200,6 @@ def clean_headers(headers: Column) -> Column:
     return F.aggregate(headers, start, add)
 
 
-def redacted_headers(headers: Column, private: tuple[str, ...]) -> Column:
-    return F.filter(headers, lambda h: ~F.lower(F.coalesce(h["name"], F.lit(""))).isin(*private))
-
-
-def redacted_form(body: Column, private: tuple[str, ...], mark: str = "[REDACTED]") -> Column:
-    """A form's fields with the values of private ones replaced."""
-    return F.regexp_replace(body, rf"(?i)(^|&)({'|'.join(private)})=[^&]*", "$1$2=" + mark.replace("[", "%5B").replace("]", "%5D"))
-
-
-def redacted_json(body: Column, private: tuple[str, ...], mark: str = "[REDACTED]") -> Column:
-    """JSON text with the strings and numbers of private keys replaced, at any depth."""
-    return F.regexp_replace(body, rf'(?i)"({"|".join(private)})"\s*:\s*("(?:[^"\\]|\\.)*"|[0-9.eE+-]+|true|false|null)', f'"$1":"{mark}"')
-
-
 # ---- metadata ---------------------------------------------------------------------
 
 #: Names of metadata elements in their standard order; all but the last are Dublin Core. Fixed values.
@@ -265,10 +251,15 @@ def warc_fields(fields: Column) -> Column:
 # ---- choices ------------------------------------------------------------------------
 
 
+#: First words of answers that mean to keep or to reject. Fixed values.
+KEEP = ("yes", "relevant", "keep", "true")
+REJECT = ("no", "irrelevant", "not", "reject", "false")
+
+
 def yes_or_no(answer: Column) -> Column:
     """keep, reject or unsure by the first word of a model's answer."""
     word = F.regexp_extract(F.lower(answer), "([a-z]+)", 1)
-    return F.when(word.isin("yes", "relevant", "keep", "true"), "keep").when(word.isin("no", "irrelevant", "not", "reject", "false"), "reject").otherwise("unsure")
+    return F.when(word.isin(*KEEP), "keep").when(word.isin(*REJECT), "reject").otherwise("unsure")
 
 
 def uploaded_at(timestamp: Column, released: Column, day: Column, release_day: Column) -> Column:
@@ -297,20 +288,26 @@ def requested(post: Column, permalink: Column, wanted: Column) -> Column:
     return wanted.isNull() | (post == wanted) | F.coalesce(F.contains(permalink, wanted), F.lit(False))
 
 
-#: Forms of a British postcode. Fixed values.
-POSTCODES = (
-    "[A-PR-UWYZ][0-9] *[0-9][ABD-HJLNP-UW-Z]{2}", "[A-PR-UWYZ][0-9][0-9] *[0-9][ABD-HJLNP-UW-Z]{2}", "[A-PR-UWYZ][A-HK-Y][0-9] *[0-9][ABD-HJLNP-UW-Z]{2}",
-    "[A-PR-UWYZ][A-HK-Y][0-9][0-9] *[0-9][ABD-HJLNP-UW-Z]{2}", "[A-PR-UWYZ][0-9][A-HJKS-UW] *[0-9][ABD-HJLNP-UW-Z]{2}", "[A-PR-UWYZ][A-HK-Y][0-9][A-Z] *[0-9][ABD-HJLNP-UW-Z]{2}", "GIR0AA",
-)
+#: Letters of British postcodes: of an area's first and second place, after the only digit of a one-letter area, and of the inward part. Fixed values.
+AREA, SECOND, AFTER_DIGIT, INWARD = "A-PR-UWYZ", "A-HK-Y", "A-HJKS-UW", "ABD-HJLNP-UW-Z"
+
+
+def postcode_pattern() -> str:
+    """A postcode: area, district (one or two digits, or a digit and a letter), inward part of a digit and two letters; and one of its own kind."""
+    one_letter = f"[{AREA}][0-9](?:[0-9]|[{AFTER_DIGIT}])?"
+    two_letters = f"[{AREA}][{SECOND}][0-9][0-9A-Z]?"
+    return f"(?:{two_letters}|{one_letter}) *[0-9][{INWARD}]{{2}}|GIR0AA"
 
 
 def is_postcode(text: Column) -> Column:
-    return text.rlike(f"(?i)^(?:{'|'.join(POSTCODES)})$")
+    return text.rlike(f"(?i)^(?:{postcode_pattern()})$")
 
 
 def xml_root(text: Column) -> Column:
     """namespace#name of an XML document's root element in lower case; null without a namespace."""
-    root = r"(?s)^\s*(?:<\?.*?\?>|<!--.*?-->|<![^>]*>|\s)*<((?:[\w.-]+:)?)([\w.-]+)([^>]*)>"
+    quoted = r"""(?:"[^"]*+"|'[^']*+')"""
+    subset = rf"""\[(?:<!--.*?-->|{quoted}|[^\]"'<]++|<)*+\]"""
+    root = rf"""(?s)^\s*(?:<\?.*?\?>|<!--.*?-->|<!(?:{subset}|{quoted}|[^>\["']++)*+>|\s)*<((?:[\w.-]+:)?)([\w.-]+)([^>]*)>"""
     prefix, name, attrs = (F.regexp_extract(text, root, k) for k in (1, 2, 3))
     own = F.when(prefix == "", F.lit("xmlns")).otherwise(F.concat(F.lit("xmlns:"), F.regexp_replace(prefix, ":$", "")))
     space = F.get(F.filter(F.transform(F.regexp_extract_all(attrs, F.lit(r"""([\w:.-]+\s*=\s*(?:"[^"]*"|'[^']*'))"""), 1), lambda a: F.struct(F.trim(F.split_part(a, F.lit("="), F.lit(1))).alias("k"), F.regexp_extract(a, r"""=\s*["'](.*)["']$""", 1).alias("v"))), lambda x: x["k"] == own), F.lit(0))["v"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -37,6 +38,9 @@ class Kind:
     links: tuple[str, ...] = ()
     images: tuple[str, ...] = ()
     language: str = ""
+    #: More addresses under which the record may have been saved: columns, and addresses made from the id or made_from.
+    evidence: tuple[str, ...] = ()
+    also: tuple[str, ...] = ()
     #: A column whose value ends the category, and what stands for a missing one.
     category_of: str = ""
     category: str = ""
@@ -49,17 +53,17 @@ KINDS = (
          extra=("author_id", "reactions_count", "comments_count", "shares_count", "is_pinned", "source", "page_url")),
     Kind("facebook", "comment", "Facebook Comment", ("comment_id",), made_url="{from}?comment_id={id}", made_from="parent_permalink", text=("text",), authors=("author_name",), published="created_time", images=("media_urls",), category="comment",
          extra=("parent_post_id", "parent_comment_id", "author_id", "depth")),
-    Kind("facebook", "photo", "Facebook Photo", ("photo_id",), ("photo_url",), text=("caption",), authors=("owner_name",), published="created_time", images=("image_url",), category="photo",
+    Kind("facebook", "photo", "Facebook Photo", ("photo_id",), ("photo_url",), evidence=("post_url",), text=("caption",), authors=("owner_name",), published="created_time", images=("image_url",), category="photo",
          extra=("post_id", "album_id", "width", "height", "belongs_to_captured_post")),
     Kind("instagram", "post", "Instagram Post", ("media_id", "shortcode"), ("permalink_url",), "https://www.instagram.com/p/{from}/", "shortcode", text=("caption",), authors=("owner_username",), published="created_time", images=("media_urls",), category_of="kind", category="post",
          extra=("shortcode", "owner_id", "kind", "likes_count", "comments_count", "video_view_count", "is_pinned", "surface", "source")),
-    Kind("instagram", "comment", "Instagram Comment", ("comment_id",), made_url="https://www.instagram.com/p/{from}/c/{id}/", made_from="post_shortcode", text=("text",), authors=("author_username",), published="created_time", category="comment",
+    Kind("instagram", "comment", "Instagram Comment", ("comment_id",), made_url="{from}c/{id}/", made_from="parent_permalink", evidence=("parent_permalink",), text=("text",), authors=("author_username",), published="created_time", category="comment",
          extra=("post_shortcode", "parent_comment_id", "author_id", "likes_count", "depth")),
     Kind("instagram", "profile", "Instagram Profile", ("user_id", "username"), made_url="https://www.instagram.com/{from}/", made_from="username", text=("biography",), title=("full_name", "username"), authors=("username",), description="biography", links=("external_url",), images=("profile_pic_url",), category="profile",
          extra=("username", "followers_count", "following_count", "posts_count", "is_private", "is_verified")),
-    Kind("x", "post", "X Post", ("post_id",), ("permalink_url",), "https://x.com/i/status/{id}", text=("text",), handles=("author_handle",), authors=("author_name",), published="created_time", keywords=("hashtags",), language="lang", links=("urls",), images=("media_urls",), category_of="capture_role", category="post",
+    Kind("x", "post", "X Post", ("post_id",), ("permalink_url",), "https://x.com/i/status/{id}", also=("https://twitter.com/i/status/{id}",), text=("text",), handles=("author_handle",), authors=("author_name",), published="created_time", keywords=("hashtags",), language="lang", links=("urls",), images=("media_urls",), category_of="capture_role", category="post",
          extra=("author_id", "relationship", "capture_role", "conversation_id", "in_reply_to_post_id", "in_reply_to_handle", "original_post_id", "quoted_post_id", "reply_count", "repost_count", "like_count", "quote_count", "view_count", "is_pinned", "mentions")),
-    Kind("x", "user", "X User", ("user_id",), made_url="https://x.com/{from}", made_from="handle", text=("description",), title=("name", "handle"), handles=("handle",), authors=("name",), published="created_time", description="description", links=("url",), images=("profile_image_url",), category="user",
+    Kind("x", "user", "X User", ("user_id",), made_url="https://x.com/{from}", made_from="handle", also=("https://twitter.com/{from}",), text=("description",), title=("name", "handle"), handles=("handle",), authors=("name",), published="created_time", description="description", links=("url",), images=("profile_image_url",), category="user",
          extra=("handle", "location", "followers_count", "following_count", "posts_count", "is_protected", "is_verified")),
     Kind("youtube", "video", "YouTube Video", ("video_id",), ("url",), "https://www.youtube.com/watch?v={id}", text=("title", "description"), title=("title",), authors=("channel_name", "channel_handle"), published="published_time", description="description", keywords=("tags", "categories"), images=("thumbnail_url",), category_of="kind", category="video",
          extra=("channel_id", "duration_seconds", "live_status", "availability", "view_count", "like_count", "comment_count", "media_file", "complete", "source")),
@@ -72,6 +76,8 @@ KINDS = (
     Kind("youtube", "playlist", "YouTube Playlist", ("playlist_id",), ("url",), "https://www.youtube.com/playlist?list={id}", text=("title", "description"), title=("title",), authors=("channel_name",), description="description", category="playlist",
          extra=("channel_id", "item_count")),
 )
+#: Fields of links and media that are objects: the first that is there is the address. Fixed values.
+ADDRESSES = ("expanded_url", "url")
 BY_NAME = {(k.platform, k.kind): k for k in KINDS}
 
 
@@ -83,8 +89,18 @@ def built(rows: DataFrame, kind: Kind, collection: str, captured: Column) -> Dat
         own = [F.nullif(F.col(n).cast("string"), F.lit("")) for n in names if n in have]
         return F.coalesce(*own, F.lit(None).cast("string"))
 
+    def listed(name: str) -> Column:
+        """A column's values as a list of strings: of objects their addresses."""
+        kind = have[name].dataType
+        if kind.typeName() != "array":
+            return F.array(F.col(name).cast("string"))
+        if kind.elementType.typeName() != "struct":
+            return F.col(name).cast("array<string>")
+        own = [f for f in ADDRESSES if f in kind.elementType.names]
+        return F.transform(F.col(name), lambda x: F.coalesce(*[F.nullif(x[f].cast("string"), F.lit("")) for f in own], F.lit(None).cast("string")))
+
     def many(names: tuple[str, ...]) -> Column:
-        parts = [F.col(n).cast("array<string>") if have[n].dataType.typeName() == "array" else F.array(F.col(n).cast("string")) for n in names if n in have]
+        parts = [listed(n) for n in names if n in have]
         parts = [F.coalesce(p, F.array().cast("array<string>")) for p in parts]
         return F.concat(*parts) if parts else F.array().cast("array<string>")
 
@@ -93,13 +109,17 @@ def built(rows: DataFrame, kind: Kind, collection: str, captured: Column) -> Dat
 
     key = one(*kind.id)
     source = one(kind.made_from) if kind.made_from else key
-    before, _, after = kind.made_url.partition("{id}")
-    fill = lambda part: [F.lit(part)] if "{from}" not in part else [F.lit(part.split("{from}")[0]), source, F.lit(part.split("{from}")[1])]
-    pieces = [*fill(before), *([key] if "{id}" in kind.made_url else []), *fill(after)]
-    made = F.when(source.isNotNull(), F.concat(*pieces)) if kind.made_url else F.lit(None).cast("string")
+
+    def filled(template: str) -> Column:
+        """An address from a template with {id} and {from}; null where one of them is."""
+        return F.concat(*[{"{id}": key, "{from}": source}.get(part, F.lit(part)) for part in re.split(r"({id}|{from})", template) if part])
+
+    made = filled(kind.made_url) if kind.made_url else F.lit(None).cast("string")
     if kind.made_url.startswith("{from}&"):  # the address may have no query yet
         made = F.when(source.isNotNull() & ~F.contains(source, F.lit("?")), F.concat(source, F.lit("?lc="), key)).otherwise(made)
     url = F.coalesce(one(*kind.url), made)
+    saved = F.col("provenance.url") if "provenance" in have and "url" in getattr(have["provenance"].dataType, "names", ()) else F.lit(None).cast("string")
+    evidence = F.array_distinct(F.array_compact(F.array(url, *[one(n) for n in kind.url], made, *map(filled, kind.also), *[one(n) for n in kind.evidence], F.nullif(saved, F.lit("")))))
     raw = F.concat_ws(" ", *[one(n) for n in kind.text])
     text = F.nullif(X.collapsed(raw), F.lit(""))
     handles = [F.concat(F.lit("@"), one(n)) for n in kind.handles]
@@ -114,10 +134,24 @@ def built(rows: DataFrame, kind: Kind, collection: str, captured: Column) -> Dat
         S.iso_utc(captured).alias("crawl_date"), S.wayback(captured).alias("wayback_date"), F.year(captured).alias("crawl_year"), S.iso_utc(when).alias("publication_date"), F.year(when).cast("string").alias("publication_year"),
         links.alias("links"), images.alias("links_images"), F.array_sort(distinct(F.transform(F.concat(links, images), U.host))).alias("links_hosts"), F.array(F.lit(collection)).alias("collection"),
         F.array_compact(F.array(X.kv("platform", F.lit(kind.platform)), X.kv("kind", F.lit(kind.kind)), *[X.kv(n, value(n)) for n in kind.extra if n in have])).alias("content_metadata_ss"),
-        F.when(text.isNotNull(), X.sha1_digest(text)).alias("hash"), U.normalised(url).alias("url_norm"), U.host(url).alias("host"),
+        F.when(text.isNotNull(), X.sha1_digest(text)).alias("hash"), U.normalised(url).alias("url_norm"), U.host(url).alias("host"), evidence.alias("evidence"),
     )
 
 
+def with_parents(comments: DataFrame, posts: DataFrame, own: str, key: str, made: Column | None = None, address: str = "permalink_url") -> DataFrame:
+    """comments with parent_permalink: the address of the post whose key is their column own, else made; the largest address where a key is repeated."""
+    parents = posts.where(F.col(key).isNotNull()).groupBy(F.col(key).alias(own)).agg(F.max(F.nullif(F.col(address), F.lit(""))).alias("_address"))
+    return comments.join(parents, own, "left").withColumn("parent_permalink", F.coalesce("_address", *([made] if made is not None else []))).drop("_address")
+
+
+def located_by_evidence(docs: DataFrame, records: DataFrame) -> DataFrame:
+    """docs with the record under the first of their evidence addresses that has one, and which address that is (found_by); records as for located()."""
+    asked = docs.select("id", F.posexplode("evidence").alias("_rank", "found_by")).withColumn("url_norm", U.normalised(F.col("found_by")))
+    record = F.struct("found_by", F.col("status").alias("status_code"), "source_file", "source_file_offset", F.col("digest").alias("record_hash"))
+    best = asked.join(records, "url_norm").groupBy("id").agg(F.min_by(record, "_rank").alias("_r"))
+    return docs.join(best, "id", "left").select(*docs.columns, "_r.*")
+
+
 def located(docs: DataFrame, records: DataFrame) -> DataFrame:
     """docs with the record of their address: status, source_file, source_file_offset and the record's digest as hash. records: (url_norm, status, source_file, source_file_offset, digest), one for each address."""
     own = records.select("url_norm", F.col("status").alias("status_code"), "source_file", "source_file_offset", "digest")

@@ -62,9 +62,10 @@ def k02(spark, sf):
 
 
 def _x_posts(spark, sf):
+    link = lambda full, short: F.struct(full.alias("expanded_url"), short.alias("url"))
     d, c = table(spark, sf, "documents"), F.col
     return d.select(c("doc_id").alias("post_id"), F.when(c("doc_id") % 3 == 0, F.concat(F.lit("https://x.com/a/status/"), c("doc_id").cast("string"))).alias("permalink_url"), "text", c("source").alias("author_handle"), c("lang").alias("author_name"), F.lit("2024-02-03T04:05:06Z").alias("created_time"),
-                    F.array(c("lang"), c("lang"), F.lit("")).alias("hashtags"), c("lang"), F.array(F.lit("http://A.example/x"), F.lit("http://b.example/")).alias("urls"), F.array(F.lit("http://a.example/i.jpg")).alias("media_urls"), F.when(c("doc_id") % 2 == 0, "reply").alias("capture_role"), c("n_chars").alias("like_count"), F.array(F.lit("p"), F.lit("q")).alias("mentions"))
+                    F.array(c("lang"), c("lang"), F.lit("")).alias("hashtags"), c("lang"), F.array(link(F.lit("http://A.example/x"), F.lit("http://t.co/a")), link(F.lit(None).cast("string"), F.lit("http://b.example/")), link(F.lit(""), F.lit(None).cast("string"))).alias("urls"), F.array(F.lit("http://a.example/i.jpg")).alias("media_urls"), F.when(c("doc_id") % 2 == 0, "reply").alias("capture_role"), c("n_chars").alias("like_count"), F.array(F.lit("p"), F.lit("q")).alias("mentions"))
 
 
 _FLAT = r"trim(regexp_replace(text, '\s+', ' ', 'g'), ' ')"
@@ -79,6 +80,25 @@ def p05(spark, sf):
     return d.select("id", "type", "category", "url", "content", joined("author", "|").alias("author"), joined("keywords", " ").alias("keywords"), "publication_date", joined("links", " ").alias("links"), joined("links_hosts", " ").alias("hosts"), joined("content_metadata_ss", ";").alias("meta"), "hash")
 
 
+@query("p04_evidence", r"""WITH c AS (SELECT conv_id * 1000 + turn AS k, CASE WHEN conv_id % 3 = 0 THEN 'https://i.example/own/' || conv_id || '/' ELSE 'https://www.instagram.com/p/s' || conv_id || '/' END AS post, conv_id, turn FROM conversations)
+SELECT 'instagram:comment:' || k AS id, post || 'c/' || k || '/' AS url, CASE WHEN k % 2 = 0 THEN post || 'c/' || k || '/' WHEN conv_id % 5 > 0 THEN post WHEN turn > 0 THEN 'https://saved.example/' || k END AS found_by,
+  CASE WHEN k % 2 = 0 THEN 'comment' WHEN conv_id % 5 > 0 THEN 'post' WHEN turn > 0 THEN 'saved' END AS source_file FROM c""")
+def p04_evidence(spark, sf):
+    """Comments get their posts' addresses; even ones have records of their own, others those of their post or of the page they were saved from."""
+    t, c = table(spark, sf, "conversations"), F.col
+    text = lambda name: c(name).cast("string")
+    code = F.concat(F.lit("s"), text("conv_id"))
+    posts = t.select(code.alias("shortcode"), F.when(c("conv_id") % 3 == 0, F.concat(F.lit("https://i.example/own/"), text("conv_id"), F.lit("/"))).alias("permalink_url"))
+    key = c("conv_id") * 1000 + c("turn")
+    comments = t.select(key.alias("comment_id"), code.alias("post_shortcode"), "text", "conv_id", "turn", F.struct(F.concat(F.lit("https://saved.example/"), key.cast("string")).alias("url")).alias("provenance"))
+    comments = D.with_parents(comments, posts, "post_shortcode", "shortcode", F.concat(F.lit("https://www.instagram.com/p/"), c("post_shortcode"), F.lit("/")))
+    docs = D.built(comments, D.BY_NAME["instagram", "comment"], "c", F.lit(_CAPTURED).cast("timestamp"))
+    record = lambda rows, url, name: rows.select(D.U.normalised(url).alias("url_norm"), F.lit(200).alias("status"), F.lit(name).alias("source_file"), F.lit(0).alias("source_file_offset"), F.lit("d").alias("digest"))
+    own = F.concat("parent_permalink", F.lit("c/"), text("comment_id"), F.lit("/"))
+    records = record(comments.where(c("comment_id") % 2 == 0), own, "comment").unionByName(record(comments.where(c("conv_id") % 5 > 0).select("parent_permalink").distinct(), c("parent_permalink"), "post")).unionByName(record(comments.where("turn > 0"), c("provenance.url"), "saved"))
+    return D.located_by_evidence(docs, records).select("id", "url", "found_by", "source_file")
+
+
 @query("p04_p06_capture_documents", """SELECT 'instagram:comment:' || (conv_id * 1000 + turn) AS id, 'Instagram Comment' AS type, 'https://www.instagram.com/p/s' || conv_id || '/c/' || (conv_id * 1000 + turn) || '/' AS url, role AS author, CAST(20240301000000 AS BIGINT) AS wayback_date FROM conversations
 UNION ALL SELECT 'instagram:profile:' || c_custkey, 'Instagram Profile', 'https://www.instagram.com/' || c_name || '/', c_name, CAST(20240301000000 AS BIGINT) FROM customer
 UNION ALL SELECT 'youtube:channel:' || s_suppkey, 'YouTube Channel', 'https://www.youtube.com/' || s_name, s_name, CAST(20240301000000 AS BIGINT) FROM supplier
@@ -87,7 +107,7 @@ UNION ALL SELECT 'facebook:comment:' || o_orderkey, 'Facebook Comment', CASE WHE
 def p04(spark, sf):
     t, c = lambda n: table(spark, sf, n), F.col
     tables = {
-        ("instagram", "comment"): t("conversations").select((c("conv_id") * 1000 + c("turn")).alias("comment_id"), F.concat(F.lit("s"), c("conv_id").cast("string")).alias("post_shortcode"), "text", c("role").alias("author_username")),
+        ("instagram", "comment"): t("conversations").select((c("conv_id") * 1000 + c("turn")).alias("comment_id"), F.concat(F.lit("https://www.instagram.com/p/s"), c("conv_id").cast("string"), F.lit("/")).alias("parent_permalink"), "text", c("role").alias("author_username")),
         ("instagram", "profile"): t("customer").select(c("c_custkey").alias("user_id"), c("c_name").alias("username")),
         ("youtube", "channel"): t("supplier").select(c("s_suppkey").alias("channel_id"), c("s_name").alias("handle"), c("s_name").alias("name")),
         ("youtube", "comment"): t("events").select(c("event_id").alias("comment_id"), F.when(c("event_id") % 2 == 0, "http://y/post").otherwise("http://y/watch?v=1").alias("target_url"), c("event_type").alias("author_name")),

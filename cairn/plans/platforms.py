@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cairn.functions import platforms as P
+from cairn.functions import redaction as R
 from cairn.operators import indexing as I
 from cairn.operators import social_json as J
 from cairn.plans.catalog import Catalog
@@ -135,13 +136,32 @@ def f70(spark, sf):
     return _events(spark, sf).select("event_id", F.array_join(F.transform(clean, lambda x: F.concat(x["name"], F.lit("="), x["value"])), "|").alias("shown"))
 
 
-@query("h16_redacted_requests", "SELECT event_id, 'user=' || event_id || '&Pass=%5BREDACTED%5D&q=pass%3Dx' AS form, '{\"a\":[{\"pass\":\"[REDACTED]\",\"id\":' || event_id || '}],\"token\":\"[REDACTED]\"}' AS json, 'Accept' AS names FROM events")
+@query("h15_redacted_bodies", r"""WITH p AS (SELECT page_id, html, '[REDACTED]' AS r FROM pages)
+SELECT page_id, replace(html, '<head>', '<head><script type="application/json" data-content-len="' || (26 + length(page_id || '') + 2) || '">{"token":"' || r || '","é":' || page_id || '}</script><a href="/x?access_token=' || r || '&amp;sid=' || r || '">') AS html, 'access_token,sid,token' AS changed FROM p""")
+def h15_bodies(spark, sf):
+    """Pages with a token in a block that states its length, and secrets in an address."""
+    rules = [*R.rules_from({"token": {"pattern": r'"token"\s*:\s*"(?P<secret>[^"]+)"'}}), R.query_rule(("access_token", "sid"))]
+    k = F.col("page_id").cast("string")
+    more = F.concat(F.lit('<head><script type="application/json" data-content-len="9">{"token":"sec'), k, F.lit('","é":'), k, F.lit('}</script><a href="/x?access_token=abc&amp;sid='), k, F.lit('">'))
+    p = table(spark, sf, "pages").select("page_id", F.replace("html", F.lit("<head>"), more).alias("html"))
+    r = p.select("page_id", R.redacted_bodies(rules)(F.col("html"), F.lit("text/html")).alias("r"))
+    return r.select("page_id", F.col("r.body").alias("html"), F.array_join("r.changed", ",").alias("changed"))
+
+
+@query("h16_redacted_requests", r"""SELECT event_id, 'user=' || event_id || '&Pass=%5BREDACTED%5D&q=pass%3Dx&v=%7B%22token%22%3A%22%5BREDACTED%5D%22%2C%22n%22%3A' || event_id || '%7D' AS form,
+  '{"a":[{"pass":"[REDACTED]","id":' || event_id || '}],"token":"[REDACTED]","inner":"{\"pass\":\"[REDACTED]\",\"k\":[' || user_id || ']}","props":' || replace(props, ' ', '') || '}' AS json,
+  CASE WHEN event_id % 2 = 0 THEN '[REDACTED]' ELSE 'plain ' || event_id END AS login, event_id % 2 = 0 AS login_changed, 'Accept' AS names FROM events""")
 def h16(spark, sf):
-    private = ("pass", "token")
-    form = P.redacted_form(cat("user=", _e(), "&Pass=se%20cret", _e(), "&q=pass%3Dx"), private)
-    body = P.redacted_json(cat('{"a":[{"pass":"x\\"y","id":', _e(), '}],"token":', _e(), "}"), private)
+    """Requests with secrets in objects, lists, JSON inside JSON and forms; props are the events' own JSON."""
+    clean = R.redacted_requests(("pass", "token"), login=("/login",))
+    u = F.col("user_id").cast("string")
+    form = cat("user=", _e(), "&Pass=se%20cret&q=pass%3Dx&v=%7B%22token%22%3A%20%5B1%5D%2C%20%22n%22%3A%20", _e(), "%7D")
+    body = cat('{"a":[{"pass":{"a":"x\\"y"},"id":', _e(), '}],"token":["s1",{"t":2}],"inner":"{\\"pass\\": [1], \\"k\\": [', u, ']}","props":', F.col("props"), "}")
     headers = F.array(F.struct(F.lit("Cookie").alias("name"), _e().alias("value")), F.struct(F.lit("Accept").alias("name"), _e().alias("value")))
-    return _events(spark, sf).select("event_id", form.alias("form"), body.alias("json"), F.array_join(F.transform(P.redacted_headers(headers, ("cookie",)), lambda x: x["name"]), ",").alias("names"))
+    at = F.when(F.col("event_id") % 2 == 0, "https://h/a/Login?x=1").otherwise("https://h/a?x=/login")
+    none = F.lit(None).cast("string")
+    out = table(spark, sf, "events").withColumn("e", F.col("event_id").cast("string")).select("event_id", clean(form, none, none)["body"].alias("form"), clean(body, none, none)["body"].alias("json"), clean(cat("plain ", _e()), F.lit("text/plain"), at).alias("l"), F.array_join(F.transform(R.redacted_headers(headers, ("cookie",)), lambda x: x["name"]), ",").alias("names"))
+    return out.select("event_id", "form", "json", F.col("l.body").alias("login"), F.col("l.changed").alias("login_changed"), "names")
 
 
 # ---- metadata --------------------------------------------------------------------------
