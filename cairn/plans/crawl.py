@@ -52,6 +52,21 @@ def s02(spark, sf):
     return warc.captures(warc.read(spark, _written(spark, sf), bodies=False)).select("record_id", "status", "mime", "hash_matched", "orphaned")
 
 
+@query("s02_response_heads", _DOCS + """ SELECT 'http://' || lang || '.example.com/' || doc_id AS target_uri, CASE WHEN n_chars < 100 THEN 404 ELSE 200 END AS http_status, strlen(text) + strlen(source) + 72 AS content_length FROM d WHERE NOT again""")
+def s02_heads(spark, sf):
+    """Where responses are, by heads alone, in files that are cut into ranges."""
+    return warc.read(spark, _written(spark, sf, 64 << 20), light=True, types=("response",), split=1 << 20).select("target_uri", "http_status", "content_length")
+
+
+@query("s03_fetched_records", _DOCS + " SELECT '<urn:doc:' || doc_id || '>' AS record_id, sha1(text) AS sha1, true AS hash_matched FROM d WHERE NOT again AND n_chars < 100")
+def s03(spark, sf):
+    """Responses that weren't found are looked up among heads and then read, each from its own offset."""
+    folder = _written(spark, sf)
+    heads = warc.response_heads(spark, folder).where("http_status = 404")
+    files = warc.listed(spark, folder).select("path", F.element_at(F.split("path", "/"), -1).alias("warc_file"))
+    return warc.fetched(heads.join(files, "warc_file")).select("record_id", F.sha1("body").alias("sha1"), "hash_matched")
+
+
 @query("k02_extracted_records", _DOCS + " SELECT doc_id FROM d WHERE NOT again AND strlen(text) + strlen(source) + 72 <= 1000")
 def k02(spark, sf):
     rows = warc.extracted(warc.read(spark, _written(spark, sf), types=("response",)), 1000)

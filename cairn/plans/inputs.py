@@ -2,34 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairn.sources.shared import shared_folder, written  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the one that all executors share; only on one machine, where the session names none, a local one."""
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        top = tempfile.mkdtemp(prefix="cairn-")
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str = "step") -> DataFrame:
-    """df as a table below the shared folder: computed once however often it is read."""
-    path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 #: Captures: a document is a payload that job `source` found; the site is its language, the page its first word.
 CAPTURES = r"""
 captures0 AS (SELECT doc_id AS id, CAST(regexp_extract(source, '([0-9]+)$', 1) AS BIGINT) AS crawl_id,

@@ -1,11 +1,16 @@
 """WARC and ARC files as tables, and tables as WARC files.
 
-Files are read by Spark's own binary reader, so any file system that Spark
-knows will do; a file is one task, since members of a compressed file can only
-be found in order. That reader holds a file whole, 2 GB at most; files are
-rotated at 900 MB here. A file that breaks off keeps the records before the break
-and adds one row with an error. Writing goes through a data source whose tasks
-start a new file when one is large enough.
+A file is read as a stream, in steps: a task holds one record at a time, and
+none of its body where bodies aren't asked for. Members of a compressed file can
+only be found in order, so a file of more than SPLIT bytes is gone through once
+for their offsets alone, without hashing or keeping anything, and what is written
+of that is one row for each SPLIT bytes; the ranges then go to as many tasks. A
+record that can't be read is tried once more, from its own offset; if that fails
+too, the rest of its range is left out, and one row says why.
+
+Streams come from any file system that pyarrow knows. From one that only Spark
+knows, its binary reader gives whole files, of 2 GB at most. Writing goes through
+a data source whose tasks start a new file when one is large enough.
 """
 
 from __future__ import annotations
@@ -13,10 +18,12 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyarrow import fs
@@ -24,6 +31,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
+from cairn.sources.shared import written
+
 SCHEMA = (
     "warc_file string, record_offset long, record_type string, record_id string, target_uri string, warc_date string, payload_digest string, "
     "refers_to_id string, refers_to_uri string, refers_to_date string, http_status int, http_headers array<struct<name:string,value:string>>, "
@@ -35,33 +44,115 @@ _ARROW = pa.schema(
 ).set(1, pa.field("record_offset", pa.int64())).set(10, pa.field("http_status", pa.int32())).set(11, pa.field("http_headers", pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())])))).set(13, pa.field("content_length", pa.int64())).set(14, pa.field("body", pa.binary())).set(16, pa.field("hash_matched", pa.bool_()))
 
 
-#: Bytes that are inflated at a time.
-STEP = 1 << 16
-
-
-def members(data: bytes | memoryview) -> Iterator[tuple[int, bytes]]:
-    """(offset, bytes) of each gzip member, or of the whole if the file isn't compressed.
-
-    A member is fed to the decompressor in steps, so no member costs a copy of
-    the rest of the file.
-    """
-    view = memoryview(data)
-    if bytes(view[:2]) != b"\x1f\x8b":
-        yield 0, bytes(view)
-        return
-    at = 0
-    while at < len(view):
-        z, parts, end = zlib.decompressobj(31), [], at
-        while not z.eof:
-            step = view[end : end + STEP]
-            if not len(step):
-                raise ValueError(f"the member at {at} breaks off")
-            parts.append(z.decompress(step))
-            end += len(step)
-        yield at, b"".join(parts)
-        at = end - len(z.unused_data)
-        while at < len(view) and view[at] == 0:  # padding between members
-            at += 1
+#: Bytes that are read and inflated at a time, and most bytes of a record's head.
+STEP, HEAD = 1 << 18, 1 << 20
+#: Bytes of a file that one task reads, about; larger bodies than BODY are left out.
+SPLIT, BODY = 64 << 20, 1 << 30
+GZIP = b"\x1f\x8b"
+
+
+class Plain:
+    """What stands in an uncompressed file from an offset on."""
+
+    def __init__(self, stream: BinaryIO, at: int) -> None:
+        self.stream, self.ended = stream, False
+        stream.seek(at)
+
+    def more(self) -> bytes:
+        got = self.stream.read(STEP)
+        self.ended = not got
+        return got
+
+    def forward(self, n: int) -> int:
+        """Goes over n bytes; how many of them are missing."""
+        here = self.stream.tell()
+        size = self.stream.seek(0, io.SEEK_END)
+        self.stream.seek(min(here + n, size))
+        return max(0, here + n - size)
+
+
+class Member(Plain):
+    """What a gzip member holds; end is the offset behind it, once all of it was read."""
+
+    def __init__(self, stream: BinaryIO, at: int) -> None:
+        super().__init__(stream, at)
+        self.z, self.end, self.fed = zlib.decompressobj(31), at, at
+
+    def more(self) -> bytes:
+        while not self.z.eof:
+            step = self.z.unconsumed_tail
+            if not step:
+                step = self.stream.read(STEP)
+                self.fed += len(step)
+                if not step:
+                    raise ValueError("the member breaks off")
+            if got := self.z.decompress(step, STEP):
+                return got
+        self.end, self.ended = self.fed - len(self.z.unused_data), True
+        return b""
+
+    def forward(self, n: int) -> int:
+        while n > 0 and (got := self.more()):
+            n -= len(got)
+            self.over = got[len(got) + n :] if n < 0 else b""
+        return max(n, 0)
+
+
+class Buffer:
+    """Bytes that come in pieces, to be taken by number or up to a mark."""
+
+    def __init__(self, source: Plain) -> None:
+        self.source, self.held, self.at = source, b"", 0
+
+    def _fill(self, n: int) -> bool:
+        """Whether n bytes are held, after reading as far as needed."""
+        parts, size = [self.held], len(self.held)
+        while size < n and not self.source.ended and (got := self.source.more()):
+            parts.append(got)
+            size += len(got)
+        self.held = b"".join(parts) if len(parts) > 1 else parts[0]
+        return size >= n
+
+    def starts(self, mark: bytes) -> bool:
+        self._fill(len(mark))
+        return self.held.startswith(mark)
+
+    def upto(self, mark: bytes) -> bytes | None:
+        """What stands before the next mark, which is taken too; None without one in HEAD bytes."""
+        size = STEP
+        while (end := self.held.find(mark)) < 0:
+            if len(self.held) > HEAD or not self._fill(min(len(self.held) + 1, size)):
+                return None
+        out = self.held[:end]
+        self.held = self.held[end + len(mark) :]
+        self.at += end + len(mark)
+        return out
+
+    def take(self, n: int) -> bytes:
+        if not self._fill(n):
+            raise ValueError("the record breaks off")
+        out, self.held = self.held[:n], self.held[n:]
+        self.at += n
+        return out
+
+    def drop(self, n: int) -> None:
+        """Goes over n bytes without holding them."""
+        rest = n - len(self.held)
+        if rest <= 0:
+            self.held = self.held[n:]
+        else:
+            self.held, self.source.over = b"", b""
+            if self.source.forward(rest):
+                raise ValueError("the record breaks off")
+            self.held = self.source.over
+        self.at += n
+
+    def blank(self) -> bool:
+        """Goes over line ends; whether more follows."""
+        while self._fill(1) and (plain := self.held.lstrip(b"\r\n")) != self.held:
+            self.at += len(self.held) - len(plain)
+            self.held = plain
+        return bool(self.held)
 
 
 #: Content encodings that are undone, and zlib's window bits for them; deflate may come without its header. Fixed values.
@@ -129,50 +220,112 @@ def http_parts(block: bytes) -> dict:
     return {"http_status": int(status[1]) if len(status) > 1 and status[1].isdigit() else None, "http_headers": [{"name": k, "value": v} for k, v in pairs], "content_type": own.get("content-type"), "body": body, "content_encoding": own.get("content-encoding")}
 
 
-def records(data: bytes | memoryview, inflate: bool = True) -> Iterator[dict]:
-    """The records of a WARC or ARC file, with the offset of the member they begin in.
+def heads(buffer: Buffer) -> Iterator[tuple[int, dict, int]]:
+    """(offset, row, length) of the records that a buffer holds; between two steps the block of that length must be taken or dropped."""
+    while buffer.blank():
+        at = buffer.at
+        if buffer.starts(b"WARC/"):
+            top = buffer.upto(b"\r\n\r\n")
+            if top is None:
+                raise ValueError("no end of a record's head")
+            own = {k.lower(): v for k, v in headers(top)}
+            row = {
+                "record_type": own.get("warc-type"), "record_id": own.get("warc-record-id"), "target_uri": own.get("warc-target-uri", "").strip("<>") or None, "warc_date": own.get("warc-date"), "payload_digest": own.get("warc-payload-digest"),
+                "refers_to_id": own.get("warc-refers-to"), "refers_to_uri": own.get("warc-refers-to-target-uri"), "refers_to_date": own.get("warc-refers-to-date"), "content_type": own.get("content-type"),
+            }
+            yield at, row, int(own.get("content-length", 0))
+        else:
+            line = buffer.upto(b"\n")
+            found = arc_record(line) if line else None
+            if found is None:
+                raise ValueError("no record")
+            yield at, found[1], found[0]
+
+
+def whole(row: dict, block: bytes, inflate: bool) -> dict:
+    """A record's row with what its block holds. Digests are of bodies without transfer encoding; hash_matched says whether a record's own digest is that."""
+    row = dict.fromkeys(COLUMNS) | row | {"body": block}
+    if row["record_type"] in ("response", "revisit", "arc") and block.startswith(b"HTTP/"):
+        row |= http_parts(block)
+        encoding = row.pop("content_encoding")
+        row["hash_matched"] = row["payload_digest"] in digests(row["body"]) if row["payload_digest"] else None
+        row["body"] = unpacked(row["body"], encoding) if inflate else row["body"]
+    elif row["record_type"] == "resource":
+        row["http_status"] = 200
+        row["hash_matched"] = row["payload_digest"] in digests(block) if row["payload_digest"] else None
+    return row
+
+
+def record_rows(buffer: Buffer, base: int, packed: bool, inflate: bool, light: bool) -> Iterator[dict]:
+    """The records of a member (or of a file that isn't packed); light: of blocks the HTTP head at most."""
+    for at, row, size in heads(buffer):
+        row |= {"record_offset": base if packed else base + at, "content_length": size}
+        if light or size > BODY:
+            top = buffer.take(min(size, 1 << 14))
+            buffer.drop(size - len(top))
+            http = http_parts(top) if row["record_type"] in ("response", "revisit", "arc") and top.startswith(b"HTTP/") else {}
+            named = {k: v for k, v in http.items() if k not in ("body", "content_encoding")}
+            yield dict.fromkeys(COLUMNS) | row | named | ({} if light else {"error": f"its {size} bytes are left out"})
+        else:
+            yield whole(row, buffer.take(size), inflate)
+
+
+def padded(stream: BinaryIO, at: int) -> int | None:
+    """The offset of the next member from at on, over zeros between members; None at the end."""
+    stream.seek(at)
+    while got := stream.read(STEP):
+        if plain := got.lstrip(b"\0"):
+            return at + len(got) - len(plain)
+        at += len(got)
+    return None
 
-    Digests of payloads are of bodies without transfer encoding; hash_matched
-    says whether a record's own digest is that. inflate: undo content encodings.
-    """
-    packed = bytes(data[:2]) == b"\x1f\x8b"
-    for offset, raw in members(data):
-        at = 0
-        while at < len(raw):
-            if raw.startswith(b"WARC/", at):
-                head_end = raw.find(b"\r\n\r\n", at)
-                if head_end < 0:
-                    raise ValueError(f"no record at {offset + at}")
-                head = {k.lower(): v for k, v in headers(raw[at:head_end])}
-                size, start = int(head.get("content-length", 0)), head_end + 4
-                row = {
-                    "record_type": head.get("warc-type"), "record_id": head.get("warc-record-id"), "target_uri": head.get("warc-target-uri", "").strip("<>") or None, "warc_date": head.get("warc-date"), "payload_digest": head.get("warc-payload-digest"),
-                    "refers_to_id": head.get("warc-refers-to"), "refers_to_uri": head.get("warc-refers-to-target-uri"), "refers_to_date": head.get("warc-refers-to-date"), "content_type": head.get("content-type"),
-                }
-            else:
-                line_end = raw.find(b"\n", at)
-                found = arc_record(raw[at:line_end]) if line_end > 0 else None
-                if found is None:
-                    if raw[at:].strip():
-                        raise ValueError(f"no record at {offset + at}")
-                    break
-                (size, row), start = found, line_end + 1
-            block = raw[start : start + size]
-            if len(block) < size:
-                raise ValueError(f"the record at {offset + at} breaks off")
-            row = dict.fromkeys(COLUMNS) | row | {"record_offset": offset if packed else at, "content_length": size, "body": block}
-            if row["record_type"] in ("response", "revisit", "arc") and block.startswith(b"HTTP/"):
-                row |= http_parts(block)
-                encoding = row.pop("content_encoding")
-                row["hash_matched"] = row["payload_digest"] in digests(row["body"]) if row["payload_digest"] else None
-                row["body"] = unpacked(row["body"], encoding) if inflate else row["body"]
-            elif row["record_type"] == "resource":
-                row["http_status"] = 200
-                row["hash_matched"] = row["payload_digest"] in digests(block) if row["payload_digest"] else None
+
+def members(data: bytes | memoryview) -> Iterator[tuple[int, bytes]]:
+    """(offset, bytes) of each gzip member of a file in memory, or of the whole if it isn't compressed."""
+    stream, at = io.BytesIO(data), 0
+    if bytes(data[:2]) != GZIP:
+        yield 0, bytes(data)
+        return
+    while (at := padded(stream, at)) is not None:
+        member = Member(stream, at)
+        yield at, b"".join(iter(member.more, b""))
+        at = member.end
+
+
+def streamed(stream: BinaryIO, start: int = 0, end: int | None = None, inflate: bool = True, light: bool = False) -> Iterator[dict]:
+    """The records that begin from start on and before end, where start is the offset of a member (of a record, in a file that isn't compressed)."""
+    stream.seek(0)
+    if stream.read(2) != GZIP:
+        for row in record_rows(Buffer(Plain(stream, start)), start, False, inflate, light):
+            if end is not None and row["record_offset"] >= end:
+                return
             yield row
-            at = start + size
-            while raw[at : at + 1] in (b"\r", b"\n"):
-                at += 1
+        return
+    at = start
+    while (at := padded(stream, at)) is not None and (end is None or at < end):
+        member = Member(stream, at)
+        yield from record_rows(Buffer(member), at, True, inflate, light)
+        while member.more():
+            pass
+        at = member.end
+
+
+def records(data: bytes | memoryview, inflate: bool = True) -> Iterator[dict]:
+    """The records of a WARC or ARC file in memory, with the offset of the member they begin in."""
+    return streamed(io.BytesIO(data), inflate=inflate)
+
+
+def ranges(stream: BinaryIO, size: int, split: int) -> Iterator[tuple[int, int]]:
+    """(start, end) of runs of whole members (or records) of about split bytes each. What stands behind a break is in the last one."""
+    begin = 0
+    try:
+        for row in streamed(stream, light=True):
+            if row["record_offset"] - begin >= split:
+                yield begin, row["record_offset"]
+                begin = row["record_offset"]
+    except (ValueError, zlib.error):
+        pass
+    yield begin, size
 
 
 def digests(body: bytes) -> set[str]:
@@ -181,33 +334,121 @@ def digests(body: bytes) -> set[str]:
     return {"sha1:" + sha1.hexdigest(), "sha1:" + base64.b32encode(sha1.digest()).decode(), "sha256:" + hashlib.sha256(body).hexdigest(), "md5:" + hashlib.md5(body).hexdigest()}
 
 
-def read(spark: SparkSession, path: str, bodies: bool = True, types: tuple[str, ...] = (), inflate: bool = True) -> DataFrame:
-    """All records of the WARC and ARC files under path; without bodies these are left out before they leave the task."""
+def opened(path: str) -> BinaryIO:
+    """A file of any store that pyarrow knows, as a stream."""
+    store, name = fs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
+    return store.open_input_file(name)
+
+
+def retried(make: Callable[[], BinaryIO], start: int, end: int | None, inflate: bool, light: bool) -> Iterator[dict]:
+    """streamed(), which goes on from a failed record's offset with a new stream once; a second failure there ends with a row that says why."""
+    at, done, failed_at = start, 0, -1
+    while True:
+        try:
+            with make() as stream:
+                skip = done  # records of the member at `at` that are out already
+                for row in streamed(stream, at, end, inflate, light):
+                    if row["record_offset"] == at and skip:
+                        skip -= 1
+                        continue
+                    at, done = row["record_offset"], done + 1 if row["record_offset"] == at else 1
+                    yield row
+            return
+        except Exception as why:  # whatever a store or a broken file gives
+            if (at, done) == failed_at:
+                yield dict.fromkeys(COLUMNS) | {"record_offset": at, "error": f"after the record at {at}: {why}"}
+                return
+            failed_at = (at, done)
+
+
+def _batches(rows: Iterator[dict], name: str, bodies: bool, types: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    held: list[dict] = []
+    size = 0
+    for row in rows:
+        if types and row["record_type"] not in types and not row["error"]:
+            continue
+        held.append(row | {"warc_file": name.rsplit("/", 1)[-1], **({} if bodies else {"body": None})})
+        size += len(held[-1]["body"] or b"")
+        if size > 16 << 20 or len(held) > 5000:
+            yield pa.RecordBatch.from_pylist(held, schema=_ARROW)
+            held, size = [], 0
+    yield pa.RecordBatch.from_pylist(held, schema=_ARROW)
+
+
+def listed(spark: SparkSession, path: str) -> DataFrame:
+    """(path, length) of the WARC and ARC files under path; nothing is read of them."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{warc,arc}*").option("recursiveFileLookup", "true").load(path)
+    return files.select("path", "length")
+
+
+def split_ranges(files: DataFrame, split: int = SPLIT) -> DataFrame:
+    """(path, first, last) of the ranges of files (path, length) that tasks read; files of more than split bytes are gone through for their members' offsets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, length in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with opened(path) as stream:
+                    found = list(ranges(stream, length, split))
+                yield pa.RecordBatch.from_arrays([pa.array([path] * len(found)), pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["path", "first", "last"])
+
+    large = files.where(F.col("length") > split)
+    most = max(1, min(large.count(), 4096))
+    cut = large.repartition(most, "path").mapInArrow(run, "path string, first long, last long")
+    return files.where(F.col("length") <= split).select("path", F.lit(0).cast("long").alias("first"), F.col("length").alias("last")).unionByName(cut)
+
+
+def read(spark: SparkSession, path: str, bodies: bool = True, types: tuple[str, ...] = (), inflate: bool = True, light: bool = False, split: int = SPLIT) -> DataFrame:
+    """All records of the WARC and ARC files under path.
+
+    Without bodies these are left out before they leave the task; light: blocks
+    are gone over unread but for HTTP heads, so that there are no bodies and no
+    hash_matched. inflate: undo content encodings.
+    """
+    try:
+        fs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
+    except (ValueError, OSError, pa.ArrowException):
+        return _read_whole(spark, path, bodies, types, inflate, light)
+    found = written(split_ranges(listed(spark, path), split), "warc-ranges")
+    parts = found.agg(F.ceil(F.sum(F.greatest(F.col("last") - F.col("first"), F.lit(1 << 16))) / split)).first()[0] or 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, first, last in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows = retried(lambda name=name: opened(name), first, last, inflate, light)
+                yield from _batches(rows, name, bodies, types)
+
+    return found.repartition(int(min(parts, found.count())) or 1, "path", "first").mapInArrow(run, SCHEMA)
+
+
+def _read_whole(spark: SparkSession, path: str, bodies: bool, types: tuple[str, ...], inflate: bool, light: bool) -> DataFrame:
+    """read() by Spark's binary reader, a file a task."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{warc,arc}*").option("recursiveFileLookup", "true").load(path).select("path", "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                rows: list[dict] = []
-                size = 0
-                try:
-                    for row in records(memoryview(content.as_buffer()), inflate):
-                        if types and row["record_type"] not in types:
-                            continue
-                        if not bodies:
-                            row["body"] = None
-                        rows.append(row | {"warc_file": name.rsplit("/", 1)[-1]})
-                        size += len(row["body"] or b"")
-                        if size > 16 << 20 or len(rows) > 5000:
-                            yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
-                            rows, size = [], 0
-                except Exception as why:  # a broken file keeps what came before
-                    rows.append(dict.fromkeys(COLUMNS) | {"warc_file": name.rsplit("/", 1)[-1], "error": str(why)})
-                yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
+                rows = retried(lambda content=content: io.BytesIO(content.as_buffer()), 0, None, inflate, light)
+                yield from _batches(rows, name, bodies, types)
 
     return files.mapInArrow(run, SCHEMA)
 
 
+def response_heads(spark: SparkSession, path: str) -> DataFrame:
+    """(warc_file, record_offset, target_uri, warc_date, http_status, content_length, error) of responses: where each is, without reading it."""
+    return read(spark, path, light=True, types=("response",)).select("warc_file", "record_offset", "target_uri", "warc_date", "http_status", "content_length", "error")
+
+
+def fetched(wanted: DataFrame, inflate: bool = True) -> DataFrame:
+    """The records at given places: wanted (path, record_offset); each is read from its own offset, whatever stands before it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                yield from _batches(retried(lambda path=path: opened(path), at, at + 1, inflate, False), path, True, ())
+
+    return wanted.select("path", "record_offset").distinct().mapInArrow(run, SCHEMA)
+
+
 def captures(rows: DataFrame) -> DataFrame:
     """Responses and revisits with status, plain lower-cased type, digest checked against the body, and whether a revisit's record is there."""
     own = rows.where(F.col("record_type").isin("response", "revisit") & F.col("error").isNull())
