@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cairn.plans.catalog import Catalog
-from cairn.plans.inputs import shared_folder
+from cairn.plans.inputs import shared_folder, table
 from cairn.streaming import states as S
+from cairn.streaming.tail import tailed
 
 query = Catalog()
 QUERIES, ORACLE = query.queries, query.sql
@@ -53,3 +54,15 @@ SELECT user_id, min(ts) AS start_, count(*) AS n FROM g GROUP BY user_id, g HAVI
 def st13_sessions(spark, sf):
     out = S.drained(spark, S.sessions(_events(spark, sf), "ts", "30 minutes", "0 seconds", "user_id"), _folder(spark))
     return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start_"), "n")
+
+
+@query("s18_st6_tailed_lines", "SELECT event_type, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids, CAST(sum(length(props)) AS BIGINT) AS props FROM events GROUP BY 1")
+def s18(spark, sf):
+    """Log files that grow by new ones between two runs of a stream, read by byte position in several ranges a file."""
+    folder = _folder(spark)
+    e = table(spark, sf, "events").select("event_id", F.concat_ws(" ", F.col("event_id").cast("string"), "event_type", "props").alias("value"))
+    for early in (True, False):
+        e.where((F.col("event_id") % 3 == 0) == F.lit(early)).select("value").write.mode("append").text(f"{folder}/in")
+        out = S.drained(spark, tailed(spark, f"{folder}/in", "part-*.txt", split=64 << 10), folder)
+    part = lambda k: F.regexp_extract("line", "^([0-9]+) ([a-z_]+) (.*)$", k)
+    return out.groupBy(part(2).alias("event_type")).agg(F.count("*").alias("n"), F.sum(part(1).cast("long")).alias("ids"), F.sum(F.length(part(3)).cast("long")).alias("props"))
