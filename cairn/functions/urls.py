@@ -6,8 +6,10 @@ absolute http(s) URL comes back stripped, or as null where a part is asked for.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Query parameters that only track, by the start of their lower-cased name. Fixed values.
 TRACKING = ("utm_", "fbclid", "gclid", "mc_cid", "mc_eid", "_ga")
@@ -73,6 +75,94 @@ def normalised(url: Column) -> Column:
     return F.when(hostport(url) == "", F.trim(url)).otherwise(_with_query(F.concat(F.lit("http://"), own, where), _pairs(query(url))))
 
 
+def without_dots(where: Column) -> Column:
+    """A path with its . and .. parts applied; a path that ends in one of them ends in a slash."""
+    none = F.array().cast("array<string>")
+    step = lambda held, part: F.when(part == "..", F.slice(held, 1, F.greatest(F.size(held) - 1, F.lit(0)))).when(part == ".", held).otherwise(F.concat(held, F.array(part)))
+    parts = F.split(F.regexp_replace(where, "^/", ""), "/")
+    kept = F.aggregate(parts, none, step)
+    whole = F.concat(F.lit("/"), F.array_join(kept, "/"))
+    return F.when(where.rlike(r"(?:^|/)\.\.?$") & ~F.endswith(whole, F.lit("/")), F.concat(whole, F.lit("/"))).otherwise(whole)
+
+
+def resolved(base: Column, link: Column) -> Column:
+    """The absolute URL that a link means on a page, its dots applied; null for other schemes than http and https, or without a base."""
+    link = F.trim(link)
+    front, more = F.regexp_extract(link, r"^([^?#]*)", 1), F.regexp_extract(link, r"^[^?#]*(.*)$", 1)
+    root = F.concat(scheme(base), F.lit("://"), hostport(base))
+    at = F.regexp_extract(front, r"^((?i:https?:)?//[^/]*)", 1)
+    there = F.when(F.startswith(at, F.lit("//")), F.concat(scheme(base), F.lit(":"), at)).otherwise(F.concat(F.lower(F.substring_index(at, ":", 1)), F.regexp_extract(at, "^[^:]*(.*)$", 1)))
+    onward = F.regexp_replace(front, r"^(?i:https?:)?//[^/]*", "")
+    beside = F.concat(F.regexp_replace(path(base), "[^/]*$", ""), front)
+    own = F.concat(root, path(base))
+    asked = F.when(query(base) == "", own).otherwise(F.concat(own, F.lit("?"), query(base)))
+    return (
+        F.when(hostport(base) == "", F.lit(None))
+        .when(at != "", F.concat(there, without_dots(onward), more))
+        .when(front.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None))
+        .when(F.startswith(front, F.lit("/")), F.concat(root, without_dots(front), more))
+        .when(front != "", F.concat(root, without_dots(beside), more))
+        .when(F.startswith(more, F.lit("?")), F.concat(own, more))
+        .otherwise(F.concat(asked, more))
+    )
+
+
+def _bytes_escaped(char: Column) -> Column:
+    return F.lower(F.regexp_replace(F.hex(F.encode(char, "UTF-8")), "(..)", "%$1"))
+
+
+def _escaped(text: Column, space: str, high_order: bool, low_order: bool) -> Column:
+    """Each part of a text in its one form: escapes, stray percent signs, and what stands between them."""
+    tokens = F.regexp_extract_all(text, F.lit(r"(%[cCdD][0-9a-fA-F]%[89abAB][0-9a-fA-F]|%[0-9a-fA-F]{2}|%|[^%]+)"), 1)
+    beyond = "[\\x{800}-\\x{10FFFF}]" if high_order else "[^\\x00-\\x7F]"
+
+    def plain(t: Column) -> Column:
+        t = F.replace(F.replace(t, F.lit(" "), F.lit(space)), F.lit("\\"), F.lit("%5c"))
+        each = F.array_join(F.transform(F.split(t, ""), lambda c: F.when(c.rlike(beyond), _bytes_escaped(c)).otherwise(c)), "")
+        return F.when(t.rlike(beyond), each).otherwise(t)
+
+    def one(t: Column) -> Column:
+        code = F.conv(F.substring(t, 2, 2), 16, 10).cast("int")
+        kept = F.lower(t)
+        two = F.decode(F.unhex(F.concat(F.substring(t, 2, 2), F.substring(t, 5, 2))), "UTF-8")
+        low = F.when(code == 32, F.lit(space)).when((code < 33) | (code > 126) | F.char(code).isin("%", "\\", "#"), kept).otherwise(F.char(code) if low_order else kept)
+        return F.when(F.length(t) == 6, two if high_order else kept).when(F.length(t) == 3, low).otherwise(F.lit("%25"))
+
+    return F.array_join(F.transform(tokens, lambda t: F.when(F.startswith(t, F.lit("%")), one(t)).otherwise(plain(t))), "")
+
+
+def escaped(url: Column, high_order: bool = True, low_order: bool = True) -> Column:
+    """A URL with percent-encoding in one form.
+
+    Percent signs that escape nothing are escaped themselves, and escapes of
+    printable ASCII are undone but for space, percent, backslash and hash;
+    hexadecimal digits are lower-case. A space becomes %20, and + behind the
+    question mark. Characters of two bytes stand for themselves with high_order,
+    longer ones are escaped. low_order: whether escapes of ASCII are undone.
+    """
+    front, more = F.regexp_extract(url, r"(?s)^([^?]*)", 1), F.regexp_extract(url, r"(?s)^[^?]*(.*)$", 1)
+    return F.concat(_escaped(front, "%20", high_order, low_order), _escaped(more, "+", high_order, low_order))
+
+
+def canonical(url: Column, high_order: bool = True) -> Column:
+    """normalised() with percent-encoding in one form and without slashes at the end, unless there is a host only."""
+    bare = F.regexp_replace(escaped(normalised(url), high_order), "/+$", "")
+    return F.when(bare.rlike("^https?://[^/]+$"), F.concat(bare, F.lit("/"))).otherwise(bare)
+
+
+@F.pandas_udf(T.StringType())
+def ascii_host(names: pd.Series) -> pd.Series:
+    """Hosts in the form that name servers know: lower-cased, other alphabets as xn--...; null for what isn't a host's name."""
+
+    def one(name: str | None) -> str | None:
+        try:
+            return None if name is None else name.strip().rstrip(".").encode("idna").decode().lower()
+        except UnicodeError:
+            return None
+
+    return names.map(one)
+
+
 def replay_key(url: Column) -> Column:
     """(host without www., path, query)."""
     return F.struct(F.regexp_replace(host(url), r"^www\.", "").alias("host"), path(url).alias("path"), query(url).alias("query"))
@@ -96,6 +186,29 @@ def registrable(name: Column) -> Column:
     return F.when(n <= 2, name).when(three, take(3)).otherwise(take(2))
 
 
+def with_suffixes(df: DataFrame, name: str, rules: DataFrame) -> DataFrame:
+    """df with public_suffix and private_suffix of the hosts in column name.
+
+    rules (rule) are lines of a public suffix list: a suffix, one with * for a
+    label, or one after ! that is an exception to those. The longest rule counts,
+    an exception before all others, and its suffix is without its first label; a
+    host that no rule fits has its last label as suffix. The private suffix has
+    one label more; a host that is a public suffix, or no name at all, stands for
+    itself. Each host of df is looked up once, by a join of its endings with the rules.
+    """
+    hosts = df.select(F.col(name).alias("_host")).where(F.col(name).rlike(r"^[^.\s/:]+(?:\.[^.\s/:]+)*$") & ~F.col(name).rlike(r"^[0-9.]+$")).distinct()
+    labels = hosts.select("_host", F.split(F.lower("_host"), r"\.").alias("_l"))
+    ends = labels.select("_host", "_l", F.explode(F.sequence(F.lit(1), F.size("_l"))).alias("_n"))
+    tail = lambda n: F.array_join(F.slice("_l", F.size("_l") - n + 1, n), ".")
+    forms = F.array(F.struct(tail(F.col("_n")).alias("rule")), F.struct(F.when(F.col("_n") > 1, F.concat(F.lit("*."), tail(F.col("_n") - 1))).alias("rule")), F.struct(F.concat(F.lit("!"), tail(F.col("_n"))).alias("rule")))
+    met = ends.select("_host", "_n", F.inline(forms)).join(rules.select(F.lower(F.trim("rule")).alias("rule")).distinct(), "rule")
+    spared = F.startswith("rule", F.lit("!"))
+    best = met.groupBy("_host").agg(F.max(F.struct(spared.alias("spared"), F.when(spared, F.col("_n") - 1).otherwise(F.col("_n")).alias("n"))).alias("b"))
+    found = labels.join(best, "_host", "left").withColumn("n", F.coalesce("b.n", F.lit(1)))
+    found = found.select(F.col("_host").alias(name), tail(F.col("n")).alias("public_suffix"), tail(F.least(F.col("n") + 1, F.size("_l"))).alias("private_suffix"))
+    return df.join(found, name, "left").withColumn("private_suffix", F.coalesce("private_suffix", name))
+
+
 def last_two_labels(name: Column) -> Column:
     return F.substring_index(name, ".", -2)
 

@@ -77,10 +77,8 @@ def links(html: Column) -> Column:
 
 
 def resolved_link(base: Column, link: Column) -> Column:
-    """An absolute URL of a link: absolute, from the host's root, or beside the page; null for other schemes."""
-    root = F.concat(U.scheme(base), F.lit("://"), U.hostport(base))
-    beside = F.concat(root, F.regexp_replace(U.path(base), "[^/]*$", ""), link)
-    return F.when(link.rlike("^(?i)https?://"), link).when(F.startswith(link, F.lit("//")), F.concat(U.scheme(base), F.lit(":"), link)).when(F.startswith(link, F.lit("/")), F.concat(root, link)).when(link.rlike("^[A-Za-z][A-Za-z0-9+.-]*:|^#|^$"), F.lit(None)).otherwise(beside)
+    """An absolute URL of a link; null for other schemes and for links within the page."""
+    return F.when(~link.rlike(r"^\s*(?:#|$)"), U.resolved(base, link))
 
 
 def host_edges(pages: DataFrame) -> DataFrame:
