@@ -1,4 +1,4 @@
-"""Queries of links, escapes and suffixes of hosts."""
+"""Queries of links, escapes and suffixes of hosts, and of documents on their way out."""
 
 from __future__ import annotations
 
@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from cairn.functions import urls as U
 from cairn.plans.catalog import Catalog
-from cairn.plans.inputs import table
+from cairn.plans.inputs import shared_folder, table
+from cairn.sources.documents_out import write_documents
 
 query = Catalog()
 QUERIES, ORACLE = query.queries, query.sql
@@ -42,3 +43,16 @@ def f11(spark, sf):
     ending = F.get(F.array(*map(F.lit, endings)), (F.length("text") % 8).cast("int"))
     d = table(spark, sf, "documents").select("doc_id", F.concat_ws(".", "source", "lang", ending).alias("host"))
     return U.with_suffixes(d, "host", spark.createDataFrame([(r,) for r in RULES], "rule string")).select("doc_id", "host", "public_suffix", "private_suffix")
+
+
+@query("k10_k11_ud3_delivered_documents", """SELECT source, count(*) AS n, CAST(sum(doc_id) AS BIGINT) AS ids, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY 1
+UNION ALL SELECT 'xml', count(*), CAST(sum(s_suppkey) AS BIGINT), CAST(sum(length(s_name)) AS BIGINT) FROM supplier""")
+def k10(spark, sf):
+    """Documents go to files of their sources as JSON lines, suppliers to XML; both are read back."""
+    folder = shared_folder(spark, "delivered")
+    write_documents(table(spark, sf, "documents").select("doc_id", "source", "text"), f"{folder}/j", by="source", gzip=True)
+    write_documents(table(spark, sf, "supplier").select("s_suppkey", "s_name"), f"{folder}/x", kind="xml")
+    docs = spark.read.schema("doc_id long, text string").json(f"{folder}/j").select(F.regexp_extract(F.input_file_name(), "/([^/]*)-[0-9a-f]{32}[.]jsonl", 1).alias("source"), F.col("doc_id").alias("k"), F.length("text").alias("c"))
+    field = lambda name: F.regexp_extract("value", f'<field name="{name}">([^<]*)</field>', 1)
+    xml = spark.read.text(f"{folder}/x").where("value LIKE '<doc>%'").select(F.lit("xml").alias("source"), field("s_suppkey").cast("long").alias("k"), F.length(field("s_name")).alias("c"))
+    return docs.unionByName(xml).groupBy("source").agg(F.count("*").alias("n"), F.sum("k").alias("ids"), F.sum(F.col("c").cast("long")).alias("chars"))
