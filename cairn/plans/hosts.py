@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from cairn.functions import images as I
+from cairn.functions import signatures as G
 from cairn.functions import urls as U
+from cairn.operators import replay as R
 from cairn.plans.catalog import Catalog
 from cairn.plans.inputs import shared_folder, table
 from cairn.sources.documents_out import write_documents
@@ -56,3 +61,56 @@ def k10(spark, sf):
     field = lambda name: F.regexp_extract("value", f'<field name="{name}">([^<]*)</field>', 1)
     xml = spark.read.text(f"{folder}/x").where("value LIKE '<doc>%'").select(F.lit("xml").alias("source"), field("s_suppkey").cast("long").alias("k"), F.length(field("s_name")).alias("c"))
     return docs.unionByName(xml).groupBy("source").agg(F.count("*").alias("n"), F.sum("k").alias("ids"), F.sum(F.col("c").cast("long")).alias("chars"))
+
+
+# ---- answers for addresses, formats ----------------------------------------------------------
+
+
+def _captured(spark, sf):
+    """Documents as records of their language's archive; those of 100 characters are pages."""
+    c = F.col
+    url = F.concat(F.lit("http://www."), "source", F.lit(".example.com/"), c("doc_id").cast("string"))
+    return table(spark, sf, "documents").select(c("lang").alias("job"), c("doc_id").alias("nr"), url.alias("url"), R.is_page(F.lit("response"), F.when(c("n_chars") < 100, 404).otherwise(200), F.lit("text/html"), c("n_chars")).alias("page"))
+
+
+@query("j17_replay_targets", """WITH c AS (SELECT lang AS job, doc_id AS nr, 'http://www.' || source || '.example.com/' || doc_id AS url, n_chars >= 100 AS page FROM documents),
+f AS (SELECT job, arg_min(url, nr) FILTER (page) AS first FROM c GROUP BY 1)
+SELECT nr, CASE WHEN nr % 4 = 0 THEN url || '#f' WHEN nr % 4 = 1 THEN url ELSE first END AS target, CASE nr % 4 WHEN 0 THEN 'exact' WHEN 1 THEN 'host-alias' WHEN 2 THEN 'fallback' ELSE 'auto' END AS reason FROM c JOIN f USING (job)""")
+def j17(spark, sf):
+    """Each record's address is asked for as it is, without www, for a page that isn't there, and not at all."""
+    pages, k = _captured(spark, sf), F.col("nr") % 4
+    asked = F.when(k == 0, F.concat("url", F.lit("#f"))).when(k == 1, F.replace("url", F.lit("//www."), F.lit("//"))).when(k == 2, F.concat("url", F.lit("/gone")))
+    return R.targets(pages.select("job", "nr", asked.alias("url")), pages, "job", "nr").select("nr", "target", "reason")
+
+
+@query("j18_archived_pages", "SELECT doc_id AS nr, CASE WHEN n_chars >= 100 THEN 'http://www.' || source || '.example.com/' || doc_id END AS page FROM documents")
+def j18(spark, sf):
+    pages = _captured(spark, sf)
+    asked = pages.select("job", "nr", F.regexp_replace("url", "^http://www[.]([^/]*)", "https://$1:8080").alias("url"))
+    return R.archived_pages(asked, pages.where("page"), "job", "nr").select("nr", "page")
+
+
+@query("h22_formats", """SELECT page_id, [NULL, 'pdf', 'xml', 'webp', 'rtf'][page_id % 5 + 1] AS format, [NULL, 'application/pdf', 'application/xml', 'image/webp', 'application/rtf'][page_id % 5 + 1] AS mime, [NULL, 'signature', 'served', 'signature', 'signature'][page_id % 5 + 1] AS found_by FROM pages""")
+def h22(spark, sf):
+    """Pages with the first (and last) bytes of other formats, all served as XML."""
+    k, lit = F.col("page_id") % 5, F.lit
+    body = F.concat(F.when(k == 1, "\n%PDF-1.7 ").when(k == 2, '<?xml version="1.0"?>').when(k == 3, "RIFF1234WEBP").when(k == 4, "{\\rtf1 ").otherwise(""), "html", F.when(k == 4, "}\n").otherwise(""))
+    f = G.identified(body, lit("Application/XML; charset=utf-8"))
+    return table(spark, sf, "pages").select("page_id", f.alias("f")).select("page_id", "f.format", "f.mime", F.col("f.by").alias("found_by"))
+
+
+def _drawn(batches):
+    """Each vector as an image, and the same one brighter; the label says how many columns are added."""
+    for frame in batches:
+        rows = frame.to_pandas()
+        grey = [np.clip(128 + 300 * np.pad(np.array(v, float).reshape(8, 8), ((0, 0), (0, n)), mode="edge"), 0, 200) for v, n in zip(rows["embedding"], rows["label"], strict=True)]
+        yield pa.RecordBatch.from_arrays([frame.column(0), frame.column(1), pa.array([I.png(g) for g in grey], pa.binary()), pa.array([I.png(g + 50) for g in grey], pa.binary())], names=["vec_id", "label", "body", "brighter"])
+
+
+@query("f66_h25_image_facts", "SELECT vec_id, 'png' AS kind, CAST(8 + label AS INT) AS width, CAST(8 AS INT) AS height, CAST((8 + label) * 8 AS BIGINT) AS pixels, CAST(vec_id AS BIGINT) AS alike FROM embeddings")
+def f66_images(spark, sf):
+    """Vectors drawn as grey images of 8 rows; a brighter copy of each has the same hash."""
+    e = table(spark, sf, "embeddings").select("vec_id", "label", "embedding")
+    drawn = e.mapInArrow(_drawn, "vec_id long, label int, body binary, brighter binary")
+    facts = drawn.select("vec_id", I.image_facts("body").alias("f"), I.image_facts("brighter").alias("b"))
+    return facts.select("vec_id", "f.kind", "f.width", "f.height", (F.col("f.width").cast("long") * F.col("f.height")).alias("pixels"), F.when(F.bit_count(F.col("f.hash").bitwiseXOR(F.col("b.hash"))) <= 4, F.col("vec_id")).alias("alike"))
