@@ -32,23 +32,34 @@ def _e():
     return F.col("e")
 
 
-@query("f17_original_images", """WITH u AS (SELECT event_id, event_id % 6 AS k, 'https://pbs.example/media/' || event_id AS s FROM events) SELECT event_id, CASE WHEN k = 0 THEN s || '?format=jpg&name=orig' WHEN k IN (1, 2) THEN s || '?format=png&name=orig' ELSE s || ['', '/page', '.svg'][k - 2] END AS first_, CASE WHEN k < 3 THEN 4 ELSE 1 END AS n,
- s || ['.JPEG', '.png?x=1', '.PNG#f', '', '/page', '.svg'][k + 1] AS last_ FROM u""")
+@query("f17_original_images", r"""WITH u AS (SELECT doc_id, 'https://' || source || '.example/' || doc_id || '/' || md5(text) AS stem, MAP {'en': '.JPEG', 'de': '.png?x=1', 'fr': '.WebP#f', 'es': '.svg'}[lang] AS ending FROM documents)
+SELECT doc_id, CASE lang WHEN 'en' THEN stem || '?format=jpg&name=orig' WHEN 'de' THEN stem || '?format=png&name=orig' WHEN 'fr' THEN stem || '?format=webp&name=orig' ELSE stem || ending END AS first_, CASE WHEN lang = 'es' THEN 1 ELSE 4 END AS n, stem || ending AS last_ FROM u JOIN documents USING (doc_id)""")
 def f17(spark, sf):
-    url = cat("https://pbs.example/media/", _e(), _pick(*map(F.lit, (".JPEG", ".png?x=1", ".PNG#f", "", "/page", ".svg"))))
-    return _events(spark, sf).select("event_id", P.original_image(url).alias("u")).select("event_id", F.col("u")[0].alias("first_"), F.size("u").alias("n"), F.element_at("u", -1).alias("last_"))
+    """Images named by their documents' digests; the ending tells the language."""
+    ending = F.create_map(*[F.lit(x) for x in ("en", ".JPEG", "de", ".png?x=1", "fr", ".WebP#f", "es", ".svg")])[F.col("lang")]
+    url = F.concat(F.lit("https://"), "source", F.lit(".example/"), F.col("doc_id").cast("string"), F.lit("/"), F.md5("text"), ending)
+    return table(spark, sf, "documents").select("doc_id", P.original_image(url).alias("u")).select("doc_id", F.col("u")[0].alias("first_"), F.size("u").alias("n"), F.element_at("u", -1).alias("last_"))
 
 
-@query("f18_x_targets", """SELECT event_id, [NULL, 'profile', 'post', 'search', 'search', NULL, 'profile'][event_id % 6 + 2] AS kind, ['u' || event_id, event_id || '', '#tag' || event_id, 'cats & ' || event_id, NULL, 'u' || event_id][event_id % 6 + 1] AS key FROM events""")
+@query("f18_x_targets", r"""WITH w AS (SELECT doc_id, source, regexp_extract(text, '([A-Za-z]+)', 1) AS word, lang FROM documents)
+SELECT doc_id, CASE WHEN lang = 'en' THEN CASE WHEN length(word) BETWEEN 1 AND 15 AND lower(word) NOT IN ('i', 'about', 'home', 'share', 'search', 'media') THEN 'profile' END WHEN lang = 'de' THEN CASE WHEN word <> '' THEN 'search' END WHEN lang = 'fr' THEN 'post' ELSE 'search' END AS kind,
+  CASE WHEN lang = 'en' THEN CASE WHEN length(word) BETWEEN 1 AND 15 AND lower(word) NOT IN ('i', 'about', 'home', 'share', 'search', 'media') THEN word END WHEN lang = 'de' THEN CASE WHEN word <> '' THEN '#' || word END WHEN lang = 'fr' THEN doc_id || '' ELSE word || ' & ' || source END AS key FROM w""")
 def f18(spark, sf):
-    raw = _pick(cat(" @u", _e()), cat("https://Mobile.Twitter.com/someone/status/", _e(), "?s=20"), cat("#tag", _e()), cat("https://x.com/search?q=cats%20%26%20", _e(), "&f=top"), cat("https://x.com/home/", _e()), cat("x.com/u", _e(), "/with_replies"))
-    return _events(spark, sf).select("event_id", P.x_target(raw).alias("t")).select("event_id", "t.kind", "t.key")
+    """The first word of a text as a handle, a hashtag or something to search for, or a document as a post, by language."""
+    word, lang = F.regexp_extract("text", "([A-Za-z]+)", 1), F.col("lang")
+    raw = F.when(lang == "en", F.concat(F.lit(" https://x.com/"), word, F.lit("/with_replies"))).when(lang == "de", F.concat(F.lit("#"), word)).when(lang == "fr", F.concat(F.lit("https://Mobile.Twitter.com/"), "source", F.lit("/status/"), F.col("doc_id").cast("string"), F.lit("?s=20")))
+    raw = F.coalesce(raw, F.concat(F.lit("https://x.com/search?f=top&q="), word, F.lit("%20%26%20"), "source"))
+    return table(spark, sf, "documents").select("doc_id", P.x_target(raw).alias("t")).select("doc_id", "t.kind", "t.key")
 
 
-@query("f19_facebook_targets", """SELECT event_id, CASE WHEN event_id % 6 IN (0, 1, 2, 5) THEN 'post' ELSE 'page' END AS kind, CASE WHEN event_id % 6 = 2 THEN 'a-title-' || event_id WHEN event_id % 6 <> 3 THEN event_id || '' END AS post_id FROM events""")
+@query("f19_facebook_targets", r"""WITH u AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '\?([^#]*)', 1) AS q FROM pages)
+SELECT page_id, 'page' AS kind, list_filter(string_split(path, '/'), lambda p: regexp_full_match(p, '[0-9]+'))[-1] AS post_id, 'post' AS own_kind, 'a-title-' || page_id AS own_id, 'post' AS asked_kind, page_id || '' AS asked_id FROM u""")
 def f19(spark, sf):
-    url = _pick(cat("https://f.example/permalink.php?id=9&story_fbid=", _e()), cat("https://f.example/Page/posts/", _e(), "/?ref=x"), cat("https://f.example/Page/posts/a-title-", _e()), F.lit("https://f.example/Page"), cat("https://f.example/groups/club/posts/", _e()), cat("https://f.example/watch/?v=", _e()))
-    return _events(spark, sf).select("event_id", P.facebook_target(url).alias("t")).select("event_id", "t.*")
+    """Pages' addresses as they are, as a post of a title, and as a link that asks for a post."""
+    k = F.col("page_id").cast("string")
+    front = F.regexp_extract("url", r"^([a-z]+://[^/?#]*)", 1)
+    p = table(spark, sf, "pages").select("page_id", P.facebook_target(F.col("url")).alias("t"), P.facebook_target(F.concat(front, F.lit("/Page/posts/a-title-"), k, F.lit("/?ref=x"))).alias("own"), P.facebook_target(F.concat(front, F.lit("/permalink.php?id=9&story_fbid="), k, F.lit("#c"))).alias("asked"))
+    return p.select("page_id", "t.*", F.col("own.kind").alias("own_kind"), F.col("own.post_id").alias("own_id"), F.col("asked.kind").alias("asked_kind"), F.col("asked.post_id").alias("asked_id"))
 
 
 @query("f20_graphql_requests", """SELECT event_id, CASE WHEN k < 4 THEN ['UserTweets', 'TweetDetail', 'SearchTimeline', 'Likes'][k + 1] END AS operation, CASE WHEN k < 4 THEN 'q' || k END AS query_id, CASE WHEN k = 0 THEN user_id || '' END AS user_id, CASE WHEN k = 2 THEN 'a b' END AS query, CASE WHEN k = 1 THEN event_id || '' END AS focal_id FROM (SELECT *, event_id % 6 AS k FROM events)""")
@@ -58,23 +69,28 @@ def f20(spark, sf):
     return _events(spark, sf).select("event_id", P.graphql_request(url).alias("g")).select("event_id", "g.operation", "g.query_id", "g.user_id", "g.query", "g.focal_id")
 
 
-@query("f56_text_of_nodes", "SELECT event_id, [event_type || ' ' || event_id, 'x' || event_id, 'plain', NULL, 'c', NULL][event_id % 6 + 1] AS said FROM events")
+@query("f56_text_of_nodes", r"""SELECT conv_id, turn, CASE WHEN role = 'user' THEN trim(replace(text, ' ', '')) ELSE trim(text, ' ') END AS said, nullif(trim(role, ' '), '') AS plain FROM conversations""")
 def f56(spark, sf):
-    node = _pick(cat('{"runs":[{"text":" ', F.col("event_type"), '"},{"bold":true},{"text":" ', _e(), '"}]}'), cat('{"simpleText":"x', _e(), ' "}'), F.lit('" plain "'), F.lit('{"runs":[]}'), F.lit('{"content":"c"}'), F.lit('{"simpleText":"  "}'))
-    return _events(spark, sf).select("event_id", P.text_of(node).alias("said"))
+    """What users say as runs of words, what others say as one text, roles as plain strings."""
+    runs = F.to_json(F.struct(F.transform(F.split("text", " "), lambda w: F.struct(w.alias("text"))).alias("runs")))
+    node = F.when(F.col("role") == "user", runs).otherwise(F.to_json(F.struct(F.col("text").alias("simpleText"))))
+    return table(spark, sf, "conversations").select("conv_id", "turn", P.text_of(node).alias("said"), P.text_of(F.concat(F.lit('" '), "role", F.lit(' "'))).alias("plain"))
 
 
-@query("f60_relay_ids", "SELECT event_id, ['comment', 'post', 'story', NULL, NULL, 'comment'][event_id % 6 + 1] AS kind, CASE WHEN event_id % 6 IN (3, 4) THEN NULL ELSE event_id || '' END AS id FROM events")
+@query("f60_relay_ids", r"""SELECT doc_id, MAP {'en': 'comment', 'de': 'post', 'fr': 'story'}[lang] AS kind, CASE lang WHEN 'en' THEN doc_id || '' WHEN 'de' THEN n_chars || '' WHEN 'fr' THEN source END AS id FROM documents""")
 def f60(spark, sf):
-    text = _pick(cat("comment:999_", _e()), cat("feedback:", _e(), "_77"), cat("S:_I100:VK:", _e()), cat("profile:", _e()), F.lit(""), cat("comment:", _e(), ""))
-    value = F.regexp_replace(F.when(F.col("k") == 4, cat("not base64 ", _e())).otherwise(F.base64(text.cast("binary"))), "=+$", "")
-    return _events(spark, sf).select("event_id", P.relay_id(F.when(F.length(value) < 12, F.base64(text.cast("binary"))).otherwise(value)).alias("r")).select("event_id", "r.kind", "r.id")
+    """Global ids made of documents' numbers, sizes and sources."""
+    k, n, lang = F.col("doc_id").cast("string"), F.col("n_chars").cast("string"), F.col("lang")
+    text = F.when(lang == "en", F.concat(F.lit("comment:"), n, F.lit("_"), k)).when(lang == "de", F.concat(F.lit("feedback:"), n, F.lit("_"), k)).when(lang == "fr", F.concat(F.lit("S:_I"), n, F.lit(":VK:"), "source")).otherwise(F.concat(F.lit("profile:"), k))
+    return table(spark, sf, "documents").select("doc_id", P.relay_id(F.regexp_replace(F.base64(text.cast("binary")), "=+$", "")).alias("r")).select("doc_id", "r.kind", "r.id")
 
 
-@query("f81_lookup_values", "SELECT event_id, CASE WHEN event_id % 6 IN (0, 1, 2, 3) THEN event_id || '' END AS found, CASE WHEN event_id % 6 < 2 THEN event_id || '' END AS top FROM events")
+@query("f81_lookup_values", r"""SELECT event_id, json_extract_string(props, '$.k') AS found, event_type AS top, CAST(NULL AS VARCHAR) AS deep FROM events""")
 def f81(spark, sf):
-    node = _pick(cat('{"post_id":"', _e(), '","x":1}'), cat('{"post_id":"","PostID":"', _e(), '"}'), cat('{"a":{"b":[1,{"legacyPostId":null,"post_ID":', _e(), "}]}}"), cat('{"a":{"b":{"c":{"postId":"', _e(), '"}}}}'), cat('{"a":{"b":{"c":{"d":{"post_id":"', _e(), '"}}}}}'), F.lit("[]"))
-    return _events(spark, sf).select("event_id", P.find_value(node, ("post_id",)).alias("found"), P.lookup(node, ("post_id",)).alias("top"))
+    """The value in events' own JSON, at three depths of an object around it."""
+    near = F.concat(F.lit('{"Event_Type":"'), "event_type", F.lit('","k":"","a":[1,{"b":'), "props", F.lit("}]}"))
+    far = F.concat(F.lit('{"a":{"b":{"c":{"d":'), "props", F.lit("}}}}"))
+    return table(spark, sf, "events").select("event_id", P.find_value(near, ("k",)).alias("found"), P.lookup(near, ("eventType",)).alias("top"), P.find_value(far, ("k",)).alias("deep"))
 
 
 def _payloads(spark, sf):
@@ -114,26 +130,34 @@ def j15(spark, sf):
     return I.nearest_ancestor(_payloads(spark, sf), "event_id", get("cid").isNotNull(), F.coalesce(get("cid"), get("id"))).select("event_id", "parent")
 
 
-@query("x13_best_renditions", "SELECT event_id, ['image', 'video', 'reel', 'image', 'image', 'video'][event_id % 6 + 1] AS kind, ['i2', 'v1', 'v9', 'd' || event_id, NULL, NULL][event_id % 6 + 1] AS url, CASE event_id % 6 WHEN 0 THEN 20 WHEN 1 THEN 10 WHEN 2 THEN 90 END AS width FROM events")
+@query("x13_best_renditions", r"""WITH l AS (SELECT l_orderkey, CAST(l_quantity AS INT) AS w, l_linenumber AS n, o_orderstatus AS s FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+b AS (SELECT l_orderkey, any_value(s) AS s, max(w) AS width, arg_min(n, (-w) * 100 + n) AS n FROM l GROUP BY 1)
+SELECT l_orderkey, CASE s WHEN 'F' THEN 'image' WHEN 'O' THEN 'video' ELSE 'reel' END AS kind, 'u' || n AS url, width FROM b""")
 def x13(spark, sf):
-    node = _pick(F.lit('{"image_versions2":{"candidates":[{"url":"i1","width":10},{"url":"i2","width":20},{"url":"i3","width":20},{"width":99}]}}'), F.lit('{"media_type":2,"video_versions":[{"url":"v1","width":10},{"url":"v2","width":9}]}'), F.lit('{"video_versions":[{"url":"v9","width":90}],"product_type":"clips"}'), cat('{"display_url":"d', _e(), '"}'), F.lit("{}"), F.lit('{"media_type":2}'))
-    return _events(spark, sf).select("event_id", P.best_rendition(node).alias("b")).select("event_id", "b.*")
+    """An order's lines as renditions whose width is the quantity; the status tells images, videos and clips."""
+    one = F.struct(F.concat(F.lit("u"), F.col("l_linenumber").cast("string")).alias("url"), F.col("l_quantity").cast("int").alias("width"))
+    lists = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", one.alias("v")))), lambda x: x["v"])).alias("v"))
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderstatus").alias("s"))
+    node = F.when(F.col("s") == "F", F.concat(F.lit('{"image_versions2":{"candidates":'), "v", F.lit("}}"))).when(F.col("s") == "O", F.concat(F.lit('{"media_type":2,"video_versions":'), "v", F.lit("}"))).otherwise(F.concat(F.lit('{"product_type":"clips","video_versions":'), "v", F.lit("}")))
+    return lists.join(o, "l_orderkey").select("l_orderkey", P.best_rendition(node).alias("b")).select("l_orderkey", "b.*")
 
 
-@query("h36_subtitle_tracks", "SELECT event_id, ['a-orig', 'de en', 'fr', 'de en fr', '', 'de en a-orig'][event_id % 6 + 1] AS tracks FROM events")
+@query("h36_subtitle_tracks", r"""WITH s AS (SELECT source, list_sort(list_distinct(list(lang) FILTER (n_chars % 5 = 0))) AS m, list_sort(list_distinct(list(lang || CASE WHEN n_chars % 97 = 0 THEN '-orig' ELSE '' END))) AS a, min(lang) AS own FROM documents GROUP BY 1),
+t AS (SELECT source, coalesce(m, []) AS m, list_filter(a, lambda x: ends_with(x, '-orig')) AS o, CASE WHEN list_contains(a, own) AND NOT list_contains(coalesce(m, []), own) THEN [own] ELSE [] END AS d FROM s)
+SELECT source, array_to_string(m || CASE WHEN len(o) > 0 THEN o ELSE d END, ' ') AS tracks FROM t""")
 def h36(spark, sf):
-    none, two = F.array().cast("array<string>"), F.array(F.lit("en"), F.lit("live_chat"), F.lit("de"))
-    orig, many = F.array(F.lit("fr"), F.lit("a-orig")), F.array(F.lit("fr"), F.lit("en"))
-    tracks = _pick(P.subtitle_tracks(none, orig, F.lit("fr")), P.subtitle_tracks(two, many, F.lit("en")), P.subtitle_tracks(none, many, F.lit("fr")), P.subtitle_tracks(two, many, F.lit("fr")), P.subtitle_tracks(none, none, F.lit("fr")), P.subtitle_tracks(two, orig, F.lit(None).cast("string")))
-    return _events(spark, sf).select("event_id", F.array_join(tracks, " ").alias("tracks"))
+    """Sources as videos: languages of some documents as manual tracks, those of all as automatic ones, some of them original."""
+    lang, n = F.col("lang"), F.col("n_chars")
+    s = table(spark, sf, "documents").groupBy("source").agg(F.collect_set(F.when(n % 5 == 0, lang)).alias("m"), F.collect_set(F.concat(lang, F.when(n % 97 == 0, "-orig").otherwise(""))).alias("a"), F.min(lang).alias("own"))
+    return s.select("source", F.array_join(P.subtitle_tracks(F.concat("m", F.array(F.lit("live_chat"))), F.col("a"), F.col("own")), " ").alias("tracks"))
 
 
-@query("f70_clean_headers", "SELECT event_id, ['Set-Cookie=a, b|X-A=1', 'CSP=default x, img src: y|Z=' || event_id, 'Ok='][event_id % 3 + 1] AS shown FROM events")
+@query("f70_clean_headers", r"""SELECT doc_id, 'X-' || source || '=' || regexp_replace(text, '\r\n|\r|\n', ', ', 'g') || ', in ' || lang || ': ' || doc_id || '|Ok=' AS shown FROM documents""")
 def f70(spark, sf):
-    h = lambda n, v: F.struct(F.lit(n).alias("name"), (F.lit(v) if isinstance(v, str) else v).alias("value"))
-    lists = F.array(F.array(h("Set-Cookie", "a\r\nb"), h(":status", "200"), h("X-A", "1")), F.array(h("bad name", "lost"), h("CSP", "default x"), h("img src", "y"), h("Z", _e())), F.array(h("", "x"), h("Ok", F.lit(None).cast("string"))))
-    clean = P.clean_headers(F.get(lists, (F.col("event_id") % 3).cast("int")))
-    return _events(spark, sf).select("event_id", F.array_join(F.transform(clean, lambda x: F.concat(x["name"], F.lit("="), x["value"])), "|").alias("shown"))
+    """Whole texts as values, and a name with a space, which goes to the value before it."""
+    h = lambda n, v: F.struct(n.alias("name"), v.alias("value"))
+    listed = F.array(h(F.lit(":status"), F.lit("200")), h(F.concat(F.lit("X-"), "source"), F.col("text")), h(F.concat(F.lit("in "), "lang"), F.col("doc_id").cast("string")), h(F.lit(""), F.lit("x")), h(F.lit("Ok"), F.lit(None).cast("string")))
+    return table(spark, sf, "documents").select("doc_id", F.array_join(F.transform(P.clean_headers(listed), lambda x: F.concat(x["name"], F.lit("="), x["value"])), "|").alias("shown"))
 
 
 @query("h15_redacted_bodies", r"""WITH p AS (SELECT page_id, html, '[REDACTED]' AS r FROM pages)
@@ -189,17 +213,22 @@ def f92(spark, sf):
 # ---- choices and limits -----------------------------------------------------------------
 
 
-@query("h10_nominal_answers", "SELECT event_id, ['keep', 'reject', 'unsure', 'unsure', 'reject', 'keep'][event_id % 6 + 1] AS decision FROM events")
+@query("h10_nominal_answers", r"""WITH w AS (SELECT doc_id, regexp_extract(lower(text), '([a-z]+)', 1) AS w FROM documents), a AS (SELECT event_id, regexp_extract(lower(props || event_type), '([a-z]+)', 1) AS w FROM events)
+SELECT doc_id, CASE WHEN w IN ('yes', 'relevant', 'keep', 'true') THEN 'keep' WHEN w IN ('no', 'irrelevant', 'not', 'reject', 'false') THEN 'reject' ELSE 'unsure' END AS decision, CASE WHEN quality = 1 THEN 'keep' WHEN quality = 0 THEN 'reject' ELSE 'unsure' END AS labelled FROM w LEFT JOIN labels USING (doc_id)""")
 def h10(spark, sf):
-    return _events(spark, sf).select("event_id", P.yes_or_no(_pick(*map(F.lit, ("1. Yes, it is", "NOT relevant", "maybe yes", "", "no", '"relevant"')))).alias("decision"))
+    """Whole texts as answers, and answers made of labels."""
+    d = table(spark, sf, "documents").select("doc_id", "text").join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left")
+    answer = F.concat(F.lit("1. "), F.when(F.col("quality") == 1, "Relevant, as ").when(F.col("quality") == 0, '"NOT" relevant: ').otherwise("Perhaps yes: "), F.coalesce("text", F.lit("")))
+    return d.select("doc_id", P.yes_or_no(F.col("text")).alias("decision"), P.yes_or_no(answer).alias("labelled"))
 
 
-@query("f43_upload_times", "SELECT event_id, ['1970-01-01T00:01:40Z', '1970-01-01T00:00:50Z', '2024-02-03T00:00:00Z', '2023-01-02T00:00:00Z', NULL, NULL][event_id % 6 + 1] AS at FROM events")
+@query("f43_upload_times", r"""SELECT event_id, CASE WHEN event_type IN ('click', 'view') THEN strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%SZ') WHEN event_type = 'error' THEN NULL ELSE strftime(ts, '%Y-%m-%dT00:00:00Z') END AS at FROM events""")
 def f43(spark, sf):
-    n, s = F.lit(None).cast("long"), F.lit(None).cast("string")
-    one = lambda a, b, c, d: P.uploaded_at(a, b, c, d)
-    at = _pick(one(F.lit(100).cast("long"), n, F.lit("20240203"), s), one(F.lit(0).cast("long"), F.lit(50).cast("long"), s, s), one(n, n, F.lit("20240203"), s), one(n, n, F.lit(""), F.lit("20230102")), one(n, n, F.lit("2024"), s), one(F.lit(-5).cast("long"), n, s, s))
-    return _events(spark, sf).select("event_id", at.alias("at"))
+    """Times of events as seconds of upload or of release, or as the day of either."""
+    kind, none, text = F.col("event_type"), F.lit(None).cast("long"), F.lit(None).cast("string")
+    seconds, day = F.unix_timestamp(F.col("ts").cast("timestamp")), F.date_format("ts", "yyyyMMdd")
+    at = P.uploaded_at(F.when(kind == "click", seconds).when(kind == "view", F.lit(0)).otherwise(none), F.when(kind == "view", seconds).otherwise(none), F.when(kind == "error", F.substring(day, 1, 6)).when(kind == "purchase", day).otherwise(text), F.when(kind != "error", day))
+    return table(spark, sf, "events").select("event_id", at.alias("at"))
 
 
 @query("h37_conversation_members", "WITH c AS (SELECT conv_id * 1000 + turn AS id, conv_id * 1000 AS root, CASE WHEN turn % 3 = 0 THEN NULL ELSE conv_id * 1000 + turn - 1 END AS up, turn FROM conversations) SELECT id, id > root AND turn > 0 OR coalesce(up = root, false) AS member FROM c")
@@ -221,22 +250,31 @@ def q25(spark, sf):
     return _events(spark, sf).select("event_id", P.requested(_e(), cat("http://p/", _e()), F.lit("12")).alias("asked"), F.array_contains(F.array(F.lit("3"), F.lit("5")), _e()).alias("pinned"))
 
 
-@query("f93_postcode_tests", "SELECT event_id, event_id % 6 IN (0, 1, 5) AS valid FROM events")
+@query("f93_postcode_tests", r"""WITH t AS (SELECT doc_id, translate(substr(md5(text), 1, 5 + doc_id % 3), 'abcdef6789', 'MWBEDZAXNS') AS c FROM documents), s AS (SELECT doc_id, left(c, length(c) - 3) || ' ' || right(c, 3) AS code FROM t)
+SELECT doc_id, code, regexp_full_match(code, '(?i)[A-PR-UWYZ]([0-9]{1,2}|[0-9][A-HJKS-UW]|[A-HK-Y][0-9][0-9A-Z]?) *[0-9][ABD-HJLNP-UW-Z][ABD-HJLNP-UW-Z]') AS valid FROM s""")
 def f93(spark, sf):
-    return _events(spark, sf).select("event_id", P.is_postcode(_pick(*map(F.lit, ("M1 1AA", "sw1a 2aa", "QA1 1AA", "M1 1AC", "EC1A 1BB x", "gir0aa")))).alias("valid"))
+    """Strings of letters and digits out of texts' digests."""
+    c = F.translate(F.substr(F.md5("text"), F.lit(1), (5 + F.col("doc_id") % 3).cast("int")), "abcdef6789", "MWBEDZAXNS")
+    code = F.concat(F.left(c, F.length(c) - 3), F.lit(" "), F.right(c, F.lit(3)))
+    return table(spark, sf, "documents").select("doc_id", code.alias("code"), P.is_postcode(code).alias("valid"))
 
 
-@query("h23_xml_roots", "SELECT event_id, ['http://ns.example/' || event_id || '#rss', 'urn:x#feed', NULL, NULL, 'urn:y#doc', NULL][event_id % 6 + 1] AS root FROM events")
+@query("h23_xml_roots", r"""SELECT page_id, lower(regexp_extract(url, '^([a-z]+://[^?#]*)', 1)) || '#rss' || page_id AS root, 'urn:x#p' AS prefixed, CAST(NULL AS VARCHAR) AS none FROM pages""")
 def h23(spark, sf):
-    text = _pick(cat('<?xml version="1.0"?>\n<!-- c -->\n<RSS xmlns="http://NS.example/', _e(), '" x="1">'), F.lit("<a:Feed xmlns='urn:other' xmlns:a = 'urn:X'/>"), F.lit('<plain x="xmlns">'), F.lit("no markup"), F.lit('<!DOCTYPE doc>\n<Doc\n xmlns="urn:y">'), F.lit('<b:x xmlns="urn:z">'))
-    return _events(spark, sf).select("event_id", P.xml_root(text).alias("root"))
+    """Pages inside XML documents whose namespace is their address; the pages alone have none."""
+    k = F.col("page_id").cast("string")
+    ns = F.regexp_extract("url", "^([a-z]+://[^?#]*)", 1)
+    one = F.concat(F.lit('<?xml version="1.0"?>\n<!-- <a> -->\n<!DOCTYPE r [<!ENTITY a "x>y">]>\n<RSS'), k, F.lit(' xmlns="'), ns, F.lit('" x="1">'), "html")
+    two = F.concat(F.lit("<a:P xmlns='"), ns, F.lit("' xmlns:a = 'urn:X'>"), "html")
+    return table(spark, sf, "pages").select("page_id", P.xml_root(one).alias("root"), P.xml_root(two).alias("prefixed"), P.xml_root(F.col("html")).alias("none"))
 
 
-@query("p21_fuzzy_texts", "SELECT event_id, CASE WHEN event_id % 6 IN (0, 3) THEN '48:b' || event_id || ':a:f.html' END AS fuzzy FROM events")
+@query("p21_fuzzy_texts", r"""WITH l AS (SELECT l_orderkey, list_sort(list({'a': l_linenumber * 48, 'b': l_returnflag || l_linestatus})) AS l FROM lineitem GROUP BY 1) SELECT l_orderkey, CASE WHEN len(l) = 2 THEN l[1].a || ':' || l[1].b || ':' || l[2].b || ':' || l_orderkey END AS fuzzy FROM l""")
 def p21(spark, sf):
-    b = lambda n, h: F.struct(F.lit(n).alias("size"), h.alias("hash"))
-    two = F.array(b(96, F.lit("a")), b(48, cat("b", _e())))
-    return _events(spark, sf).select("event_id", P.fuzzy_text(_pick(two, F.array(b(48, _e())), F.slice(two, 1, 0), F.reverse(two), F.concat(two, two), F.slice(two, 1, 1)), F.lit("f.html")).alias("fuzzy"))
+    """Orders as records whose lines are blocks: only with two of them there is a text."""
+    block = F.struct((F.col("l_linenumber") * 48).alias("size"), F.concat("l_returnflag", "l_linestatus").alias("hash"))
+    blocks = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_list(block).alias("b"))
+    return blocks.select("l_orderkey", P.fuzzy_text(F.col("b"), F.col("l_orderkey").cast("string")).alias("fuzzy"))
 
 
 @query("x12_limits", "SELECT doc_id, CASE WHEN length(text) > 120 THEN rtrim(substr(text, 1, 119), ' ') || '…' ELSE text END AS title, least(length(text), 524288) AS content, least(length(text) + 9, 2048) AS url FROM documents")
