@@ -14,6 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cairn.operators import running
+from cairn.sources.shared import written
+
 
 def originals(captures: DataFrame) -> DataFrame:
     """(digest, first_id, first_job): the earliest capture of each payload."""
@@ -194,20 +197,30 @@ def change_counts(events: DataFrame) -> DataFrame:
     return counts.na.fill(0, kinds)
 
 
-def not_visited(pages: DataFrame) -> DataFrame:
-    """(crawl_id, url_key, last_job, last_seen): for each job the pages that earlier jobs held and it didn't reach.
+def missed_intervals(pages: DataFrame) -> DataFrame:
+    """(url_key, last_job, last_seen, after, upto): runs of jobs that missed a page that an earlier one held.
 
-    A page that job p held is open until a job visits it or finds it gone; so
-    a page's visits in order of jobs give intervals of jobs that missed it.
-    Jobs are numbered, an interval is spread out as numbers, and these meet the
-    jobs by equality.
+    A page that job p held is open until a job visits it or finds it gone; so a
+    page's visits in order of jobs give intervals: all jobs after `after` and
+    before `upto` missed it, all later ones where upto is null.
     """
-    jobs = pages.select("crawl_id").distinct().select("crawl_id", F.row_number().over(W.orderBy("crawl_id")).alias("_no"))
-    visits = pages.groupBy("url_key", "crawl_id").agg(F.max(F.struct("seen_at", "id", "status")).alias("m")).join(jobs, "crawl_id")
+    visits = pages.groupBy("url_key", "crawl_id").agg(F.max(F.struct("seen_at", "id", "status")).alias("m"))
     order = W.partitionBy("url_key").orderBy("crawl_id")
     # The latest capture so far by date, not by job.
-    upto = visits.withColumn("best", F.max(F.struct("m.seen_at", "m.id", "m.status", "crawl_id")).over(order)).withColumn("next", F.lead("_no").over(order))
-    held = upto.select("url_key", F.col("best.status").alias("status"), F.col("best.crawl_id").alias("last_job"), F.col("best.seen_at").alias("last_seen"), "_no", "next").where("status = 200")
-    first, last = F.col("_no") + 1, F.coalesce(F.col("next") - 1, jobs.agg(F.max("_no")).scalar())
-    missed = held.where(first <= last).withColumn("_no", F.explode(F.sequence(first, last))).select("url_key", "last_job", "last_seen", "_no")
-    return missed.join(jobs, "_no").select("crawl_id", "url_key", "last_job", "last_seen")
+    seen = visits.withColumn("best", F.max(F.struct("m.seen_at", "m.id", "m.status", "crawl_id")).over(order)).withColumn("upto", F.lead("crawl_id").over(order))
+    return seen.where(F.col("best.status") == 200).select("url_key", F.col("best.crawl_id").alias("last_job"), F.col("best.seen_at").alias("last_seen"), F.col("crawl_id").alias("after"), "upto")
+
+
+def not_visited(pages: DataFrame) -> DataFrame:
+    """(crawl_id, url_key, last_job, last_seen): missed_intervals() with a row for each job in them; that is pages times jobs at most.
+
+    Jobs get numbers by ranges, an interval is spread out as numbers, and these
+    meet the jobs by equality.
+    """
+    named = pages.select("crawl_id", F.lit(0).alias("_one")).distinct()
+    jobs = written(running.earlier(named, "_one", "crawl_id", "_no").drop("_one"), "jobs")
+    edges = lambda c, n: jobs.select(F.col("crawl_id").alias(c), F.col("_no").alias(n))
+    missed = missed_intervals(pages).join(edges("after", "_from"), "after").join(edges("upto", "_to"), "upto", "left")
+    first, last = F.col("_from") + 1, F.coalesce("_to", jobs.agg(F.count("*")).scalar()) - 1
+    spread = missed.where(first <= last).withColumn("_no", F.explode(F.sequence(first, last)))
+    return spread.join(jobs, "_no").select("crawl_id", "url_key", "last_job", "last_seen")

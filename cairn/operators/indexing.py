@@ -119,19 +119,21 @@ def page_infos(found: DataFrame, key: str) -> DataFrame:
 def link_chunks(links: DataFrame, key: str, order: str, cost: str, head: int, budget: int) -> DataFrame:
     """links with chunk: greedy packing in order, each chunk's costs and head within the budget; a link that alone is larger has its own chunk.
 
-    Greedy packing is sequential within a key (the links of one page), which is
-    folded over an array.
+    Greedy packing is sequential within a key (the links of one page). The fold
+    over a page's costs keeps the places only where chunks begin; chunks are then
+    cut out of the list.
     """
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(-1).alias("chunk"), F.array().cast("array<int>").alias("out"))
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).alias("at"), F.array().cast("array<int>").alias("begin"))
 
     def add(acc: Column, x: Column) -> Column:
-        new = (acc["chunk"] < 0) | (acc["used"] + x["cost"] > budget - head)
-        chunk = F.when(new, acc["chunk"] + 1).otherwise(acc["chunk"])
-        return F.struct(F.when(new, x["cost"]).otherwise(acc["used"] + x["cost"]).alias("used"), chunk.alias("chunk"), F.concat(acc["out"], F.array(chunk)).alias("out"))
+        new = (acc["at"] == 0) | (acc["used"] + x["cost"] > budget - head)
+        return F.struct(F.when(new, x["cost"]).otherwise(acc["used"] + x["cost"]).alias("used"), (acc["at"] + 1).alias("at"), F.when(new, F.concat(acc["begin"], F.array(acc["at"] + 1))).otherwise(acc["begin"]).alias("begin"))
 
     lists = links.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(cost).cast("long").alias("cost")))).alias("l"))
-    packed = lists.select(key, F.arrays_zip(F.transform("l", lambda x: x["o"]).alias("o"), F.aggregate("l", start, add)["out"].alias("chunk")).alias("z"))
-    return packed.select(key, F.explode("z").alias("z")).select(key, F.col("z.o").alias(order), F.col("z.chunk").alias("chunk"))
+    cut = lists.select(key, "l", F.aggregate("l", start, add)["begin"].alias("b"))
+    pairs = F.arrays_zip("b", F.concat(F.slice("b", F.lit(2), F.greatest(F.size("b") - 1, F.lit(0))), F.array(F.size("l") + 1)).alias("e"))
+    chunks = cut.select(key, "l", F.posexplode(pairs).alias("chunk", "z"))
+    return chunks.select(key, F.explode(F.slice("l", F.col("z.b"), F.col("z.e") - F.col("z.b"))).alias("x"), "chunk").select(key, F.col("x.o").alias(order), "chunk")
 
 
 def selection_report(log: DataFrame, order: str) -> tuple[DataFrame, DataFrame]:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cairn.operators import running
+
 from cairn.operators.timeline import first_rows
 
 
@@ -26,9 +28,10 @@ def top_hosts(captures: DataFrame, host: str, most: int = 20) -> DataFrame:
 
 
 def later_siblings(jobs: DataFrame, group: str, key: str, created: str) -> DataFrame:
-    """(key, later): for each job the jobs of its group created at its time or later, itself not counted; a window, not a join."""
-    after = W.partitionBy(group).orderBy(created).rangeBetween(0, W.unboundedFollowing)
-    return jobs.select(key, (F.count("*").over(after) - 1).alias("later"))
+    """(key, later): for each job the jobs of its group created at its time or later, itself not counted: all less those that came before."""
+    placed = running.earlier(jobs.select(group, key, created), group, created, "_before")
+    sizes = placed.groupBy(group).agg(F.count("*").alias("_all"))
+    return running.null_safe_left(placed, sizes, [group]).select(key, (F.col("_all") - F.col("_before") - 1).alias("later"))
 
 
 def inherited(values: DataFrame) -> DataFrame:

@@ -1,8 +1,9 @@
 """Timelines of posts: what to select, when to stop, what counts as complete.
 
 Posts are rows (target, id, posted, pinned, ...) with a sequence that says in
-which order they were seen. Ordered rules are windows over one target; runs are
-found as islands between resets, so no loop carries state.
+which order they were seen. Ordered rules are running values over ranges of a
+target's posts (see running); runs are found as islands between resets, so no
+loop carries state and no task holds a whole target.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cairn.operators import running
+
 
 def in_range(posted: Column, first: Column | None, last: Column | None, keep_undated: bool) -> Column:
     """Whether a post lies between two times, both included; undated posts by the platform's rule."""
@@ -39,18 +42,16 @@ def oldest_and_newest(posts: DataFrame) -> DataFrame:
 
 def run_lengths(rows: DataFrame, order: list[str], hit: Column, reset: Column, key: str = "target") -> DataFrame:
     """rows with run: hits since the last reset; rows that are neither leave the run as it is."""
-    upto = W.partitionBy(key).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    marked = rows.withColumn("_hits", F.sum(hit.cast("int")).over(upto)).withColumn("_reset", reset)
-    base = F.coalesce(F.max(F.when(F.col("_reset"), F.col("_hits"))).over(upto), F.lit(0))
-    return marked.withColumn("run", F.col("_hits") - base).drop("_hits", "_reset")
+    return running.run_lengths(rows, key, order, hit, reset, "run")
 
 
 def until_run(rows: DataFrame, order: list[str], hit: Column, reset: Column, most: int, key: str = "target") -> DataFrame:
     """rows up to and with the first one at which a run reaches most; stop marks that one."""
     runs = run_lengths(rows, order, hit, reset, key)
-    before = W.partitionBy(key).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    over = runs.withColumn("stop", F.col("run") >= most).withColumn("_past", F.coalesce(F.max(F.col("stop")).over(before), F.lit(False)))
-    return over.where(~F.col("_past")).drop("_past")
+    first = runs.where(F.col("run") >= most).groupBy(key).agg(F.min(F.struct(*order)).alias("_first"))
+    at = F.struct(*order)
+    kept = running.null_safe_left(runs, first, [key]).where(F.col("_first").isNull() | (at <= F.col("_first")))
+    return kept.withColumn("stop", F.coalesce((F.col("run") >= most) & (at == F.col("_first")), F.lit(False))).drop("_first")
 
 
 def backoff(rows: DataFrame, order: list[str], blocked: Column, factor: float, cooldown: int, most: int, key: str = "target") -> DataFrame:
@@ -62,8 +63,7 @@ def backoff(rows: DataFrame, order: list[str], blocked: Column, factor: float, c
 
 def admitted(posts: DataFrame, order: list[str], most: int) -> DataFrame:
     """The first posts of each target up to most; pinned ones are free."""
-    upto = W.partitionBy("target").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    return posts.withColumn("_n", F.sum((~F.col("pinned")).cast("int")).over(upto)).where(F.col("pinned") | (F.col("_n") <= most)).drop("_n")
+    return running.running_sum(posts, "target", order, (~F.col("pinned")).cast("long"), "_n").where(F.col("pinned") | (F.col("_n") <= most)).drop("_n")
 
 
 def pinned_by_order(posts: DataFrame, order: list[str], first: int = 3, look: int = 5) -> DataFrame:
@@ -79,15 +79,16 @@ def capped(rows: DataFrame, key: str, order: list[str], most: int) -> DataFrame:
     return rows.groupBy(key).agg(F.least(F.count("*"), F.lit(most)).alias("kept"), F.greatest(F.count("*") - most, F.lit(0)).alias("overflow"))
 
 
-def first_of(rows: DataFrame, keys: list[str], order: list[str], most: int = 1) -> DataFrame:
-    """The first rows of each key."""
-    return rows.withColumn("_i", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("_i") <= most).drop("_i")
+def first_of(rows: DataFrame, keys: list[str], order: list[str], most: int = 1, parts: int = 64) -> DataFrame:
+    """The first rows of each key: of each of its parts first, so no task sorts a whole key."""
+    first = lambda df, *by: df.withColumn("_i", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col("_i") <= most)
+    spread = rows.withColumn("_part", F.pmod(F.xxhash64(*order), F.lit(parts)))
+    return first(first(spread, *keys, "_part"), *keys).drop("_i", "_part")
 
 
 def sliding_sum(rows: DataFrame, seconds: Column, amount: Column, span: int, key: str) -> DataFrame:
     """rows with used: the amounts of the last span seconds, the row itself among them."""
-    near = W.partitionBy(key).orderBy(seconds).rangeBetween(-span, 0)
-    return rows.withColumn("used", F.sum(amount).over(near))
+    return running.recent_sum(rows, key, seconds, amount, span, "used")
 
 
 def grade(observed: Column, stated: Column, more: Column, more_first: bool) -> Column:

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 FLAGSHIP = "a01_job_dedup_summary"
-MODULES = ["archive", "scalars", "social", "jobs", "pages", "records", "more", "streams", "crawl", "platforms", "indexing", "timelines", "likeness", "hosts"]
+MODULES = ["archive", "scalars", "social", "jobs", "pages", "records", "more", "streams", "crawl", "platforms", "indexing", "timelines", "likeness", "hosts", "inputs_read"]
 
 
 def _modules():
