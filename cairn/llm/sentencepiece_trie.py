@@ -22,10 +22,12 @@ U+FFFD, so round_trip is false. Repeated rows are encoded like others.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import re
 from array import array
 from collections.abc import Iterable, Iterator
+from contextlib import suppress
 from functools import lru_cache
 
 import numpy as np
@@ -37,8 +39,8 @@ from cairn.llm.common import bounded_batches, fresh, map_text
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: Bytes, by estimate, of what a worker remembers: words with their ids until the end of a task, and pairs,
-#: which are emptied when full.
+#: Bytes, by estimate, of what a worker remembers unless told otherwise: words with their ids until the end of
+#: a task, and pairs, which are emptied when full.
 WORD_BYTES, PAIR_BYTES = 48 << 20, 24 << 20
 #: Bytes of a word in the table besides its letters (at most 4 each) and ids (4 each), and of a pair.
 WORD_COST, PAIR_COST = 240, 96
@@ -79,7 +81,8 @@ class Model:
 
     NORMAL, UNKNOWN, BYTE = 1, 2, 6
 
-    def __init__(self, data: bytes):
+    def __init__(self, data: bytes, word_bytes: int = WORD_BYTES, pair_bytes: int = PAIR_BYTES):
+        self.word_bytes, self.pair_bytes = word_bytes, pair_bytes
         self.kind, self.pieces, self.scores, kinds = UNIGRAM, [], [], []
         dummy = True
         for number, value in _fields(data):
@@ -163,7 +166,7 @@ class Model:
         key = a << 32 | b
         found = self.stands.get(key)
         if found is None:
-            if len(self.stands) * PAIR_COST >= PAIR_BYTES:
+            if len(self.stands) * PAIR_COST >= self.pair_bytes:
                 self.stands.clear()
             left, right = self.growth(a), self.growth(b)
             if left is None or right is None:
@@ -196,7 +199,7 @@ class Model:
     def ending(self, tail: str) -> tuple[tuple[int, int], ...]:
         """(length, id) of the pieces that a text with these last TAIL characters may end in, the longest first; -1 for an id that depends on more characters."""
         found = [(n, -1) for n in self.longer.get(tail, ())] + [(n, self.spaced[tail[-n:]]) for n in range(TAIL, 0, -1) if tail[-n:] in self.spaced]
-        if len(self.endings) * PAIR_COST * 2 >= PAIR_BYTES:
+        if len(self.endings) * PAIR_COST * 2 >= self.pair_bytes:
             self.endings.clear()
         self.endings[tail] = tuple(found)
         return self.endings[tail]
@@ -262,7 +265,7 @@ class Model:
         Of two generations the older is dropped when the younger is full, so words
         that keep coming stay.
         """
-        if self.known_bytes > WORD_BYTES // 2:
+        if self.known_bytes > self.word_bytes // 2:
             self.older, self.known, self.known_bytes = self.known, {}, 0
         new = words.difference(self.known)
         for w in new.intersection(self.older):
@@ -290,8 +293,14 @@ class Model:
 
 
 @lru_cache(maxsize=2)
-def model_of(data: bytes) -> Model:
-    return Model(data)
+def model_of(data: bytes, word_bytes: int = WORD_BYTES, pair_bytes: int = PAIR_BYTES) -> Model:
+    return Model(data, word_bytes, pair_bytes)
+
+
+def give_back() -> None:
+    """Returns what the worker has freed to the system, where its C library can."""
+    with suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def read_model(path: str = MODEL_PATH) -> bytes:
@@ -299,19 +308,20 @@ def read_model(path: str = MODEL_PATH) -> bytes:
         return f.read()
 
 
-def encoded(docs: DataFrame, path: str = MODEL_PATH, ids: bool = True, drop_text: bool = True) -> DataFrame:
+def encoded(docs: DataFrame, path: str = MODEL_PATH, ids: bool = True, drop_text: bool = True, word_bytes: int = WORD_BYTES, pair_bytes: int = PAIR_BYTES) -> DataFrame:
     """docs with n_tokens, ids_sha256, round_trip (whether decoding gave the text back), and ids unless they aren't wanted.
 
     ids_sha256 is of the ids as little-endian 32-bit integers. Columns that docs
     has already keep their names; the new ones then get underscores in front.
     The model file is read by the driver and sent to the workers; it is a few
-    hundred KB.
+    hundred KB. word_bytes and pair_bytes bound what a worker remembers: less of
+    it takes more time and gives the same result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(read_model(path))
     fields = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("round_trip", T.BooleanType())] + ([("ids", T.ArrayType(T.IntegerType()))] if ids else [])
 
     def run(buf: np.ndarray, offs: np.ndarray) -> list:
-        model = model_of(shared.value)
+        model = model_of(shared.value, word_bytes, pair_bytes)
         whole = buf.tobytes()
         raw = [whole[a:b] for a, b in zip(offs[:-1], offs[1:], strict=True)]
         found = model.encode_all([r.decode("utf-8", "replace") for r in raw])
@@ -323,7 +333,11 @@ def encoded(docs: DataFrame, path: str = MODEL_PATH, ids: bool = True, drop_text
             out.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int32))))
         return out
 
-    return map_text(docs, "text", fields, run, drop_text, done=lambda: model_of(shared.value).forget())
+    def done() -> None:
+        model_of(shared.value, word_bytes, pair_bytes).forget()
+        give_back()
+
+    return map_text(docs, "text", fields, run, drop_text, done=done)
 
 
 def decoded(rows: DataFrame, path: str = MODEL_PATH) -> DataFrame:
