@@ -216,7 +216,8 @@ def test_toxicity_scores_by_hand():
                 b = b" " + b + b" "
                 bag += [bucket(b[k : k + n]) for n in toxicity.ORDERS for k in range(len(b) - n + 1)]
             clean *= 1 - 1 / (1 + math.exp(-(float(np.mean(table[bag])) - 1.5)))
-        assert abs(score - (1 - clean)) < 1e-4
+        n_windows = -(-len(words) // toxicity.WINDOW)  # one span: its evidence less what its length gives
+        assert abs(score - (1 - math.exp(min(0.0, math.log(clean) + toxicity.LEAK * n_windows)))) < 1e-4
 
 
 def test_broken_utf8_and_clashing_names(spark):
