@@ -308,14 +308,15 @@ def read_model(path: str = MODEL_PATH) -> bytes:
         return f.read()
 
 
-def encoded(docs: DataFrame, path: str = MODEL_PATH, ids: bool = True, drop_text: bool = True, word_bytes: int = WORD_BYTES, pair_bytes: int = PAIR_BYTES) -> DataFrame:
+def encoded(docs: DataFrame, path: str = MODEL_PATH, ids: bool = True, drop_text: bool = True, word_bytes: int = WORD_BYTES, pair_bytes: int = PAIR_BYTES, keep_model: bool = True) -> DataFrame:
     """docs with n_tokens, ids_sha256, round_trip (whether decoding gave the text back), and ids unless they aren't wanted.
 
     ids_sha256 is of the ids as little-endian 32-bit integers. Columns that docs
     has already keep their names; the new ones then get underscores in front.
     The model file is read by the driver and sent to the workers; it is a few
     hundred KB. word_bytes and pair_bytes bound what a worker remembers: less of
-    it takes more time and gives the same result.
+    it takes more time and gives the same result. keep_model: whether it keeps
+    the model with its pairs for its next task.
     """
     shared = docs.sparkSession.sparkContext.broadcast(read_model(path))
     fields = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("round_trip", T.BooleanType())] + ([("ids", T.ArrayType(T.IntegerType()))] if ids else [])
@@ -335,6 +336,8 @@ def encoded(docs: DataFrame, path: str = MODEL_PATH, ids: bool = True, drop_text
 
     def done() -> None:
         model_of(shared.value, word_bytes, pair_bytes).forget()
+        if not keep_model:
+            model_of.cache_clear()
         give_back()
 
     return map_text(docs, "text", fields, run, drop_text, done=done)
