@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from cairn.llm import exact_lsm, minhash_bayes, mixing, quality_mil, sentencepiece_trie
 from cairn.llm.common import fresh, remainder, table, temporary_tables, written
 
-#: What a worker remembers of words and pairs of pieces: less than in a query of its own, as other stages' memory stays with an executor.
+#: What a worker remembers of words and pairs of pieces: less than in a query of its own, and nothing after a task, as other stages need an executor's memory too.
 WORD_BYTES, PAIR_BYTES = 16 << 20, 8 << 20
 
 
@@ -45,7 +45,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with token ids in place of text, checked by decoding; other columns stay."""
-    return sentencepiece_trie.encoded(docs, word_bytes=WORD_BYTES, pair_bytes=PAIR_BYTES)
+    return sentencepiece_trie.encoded(docs, word_bytes=WORD_BYTES, pair_bytes=PAIR_BYTES, keep_model=False)
 
 
 STAGES = [("quality classifier", quality), ("exact dedup", exact), ("MinHash near-dedup", near), ("mixing", mix), ("SentencePiece", tokens)]
