@@ -41,7 +41,7 @@ MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Bytes, by estimate, of what a worker remembers unless told otherwise: words with their ids until the end of
 #: a task, and pairs, which are emptied when full.
-WORD_BYTES, PAIR_BYTES = 48 << 20, 24 << 20
+WORD_BYTES, PAIR_BYTES = 128 << 20, 24 << 20
 #: Bytes of a word in the table besides its letters (at most 4 each) and ids (4 each), and of a pair.
 WORD_COST, PAIR_COST = 240, 96
 UNIGRAM, BPE = 1, 2
