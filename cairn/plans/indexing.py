@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cairn.functions import platforms as P
+from cairn.operators import gates as G
 from cairn.operators import indexing as I
 from cairn.plans.catalog import Catalog
 from cairn.plans.inputs import shared_folder, table, written
@@ -90,26 +91,32 @@ def a26(spark, sf):
     return d.groupBy("source").agg(F.array_join(F.array_sort(F.collect_set(error)), "|").alias("errors"))
 
 
-@query("p10_p15_p16_projections", "SELECT doc_id, 'me' AS institution, CASE WHEN lang = '' THEN NULL ELSE lang END AS title, CAST(n_chars AS VARCHAR) AS size, n_chars * 2 AS length FROM documents")
+@query("p10_p15_p16_projections", """SELECT o_orderkey, 'me' AS institution, nullif(o_orderstatus, '') AS title, CAST(o_custkey AS BIGINT) AS content_length, strftime(o_orderdate, '%Y%m%d%H%M%S') AS crawl_date, coalesce(string_agg(l_partkey || '.jpg', ',' ORDER BY l_linenumber, l_partkey), '') AS media FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL""")
 def p10(spark, sf):
-    d = table(spark, sf, "documents").withColumn("institution", F.lit("me")).drop("text")
-    return d.select("doc_id", "institution", F.nullif("lang", F.lit("")).alias("title"), F.col("n_chars").cast("string").alias("size"), (F.col("n_chars").cast("string").try_cast("long") * 2).alias("length"))
+    """Orders as posts with their lines as media, then as flat records with the institution's name."""
+    o, k = table(spark, sf, "orders"), F.col
+    posts = o.select("o_orderkey", F.lit("me").alias("institution"), F.array(k("o_orderstatus"), F.lit("other")).alias("title"), k("o_custkey").cast("string").alias("content_length"), k("o_orderdate").alias("crawl_date"), F.to_json(F.struct("o_orderkey")).alias("raw"))
+    media = table(spark, sf, "lineitem").select(k("l_orderkey").alias("o_orderkey"), F.struct("l_linenumber", "l_partkey").alias("position"), F.concat(k("l_partkey").cast("string"), F.lit(".jpg")).alias("file"))
+    both = G.posts_with_media(posts, media, "o_orderkey").withColumn("media", F.array(F.array_join("media_files", ","))).drop("media_files")
+    return G.memento(both, ("content_length", "o_orderkey")).select("o_orderkey", "institution", "title", "content_length", "crawl_date", F.coalesce("media", F.lit("")).alias("media"))
 
 
-@query("f42_last_modified", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'm' || event_id WHEN 1 THEN 'd' WHEN 2 THEN 'c' END AS at FROM events")
+@query("f42_last_modified", "SELECT event_id, CASE WHEN event_type = 'click' THEN strftime(ts, '%Y-%m-%d') WHEN value > 20 THEN user_id || '' ELSE props END AS at FROM events")
 def f42(spark, sf):
-    k = F.col("event_id") % 4
-    modified, meta, created = F.when(k == 0, F.concat(F.lit("m"), F.col("event_id").cast("string"))), F.when(k < 2, "d"), F.when(k < 3, "c")
-    return table(spark, sf, "events").select("event_id", F.coalesce(modified, meta, created).alias("at"))
+    """Events' days as times of change, users as what metadata say, props as times of creation; what isn't there is empty or null."""
+    e = table(spark, sf, "events")
+    modified, stated = F.when(F.col("event_type") == "click", F.date_format("ts", "yyyy-MM-dd")).otherwise(""), F.when(F.col("value") > 20, F.col("user_id"))
+    return e.select("event_id", G.last_modified(F.col("props"), stated, modified).alias("at"))
 
 
-@query("h31_h32_text_and_revisits", "SELECT doc_id, CASE WHEN again THEN NULL WHEN lang = 'en' THEN NULL ELSE length(text) END AS content, CASE WHEN NOT again AND lang = 'en' THEN length(text) END AS text, CASE WHEN NOT again THEN n_chars END AS content_length FROM (SELECT *, doc_id > min(doc_id) OVER (PARTITION BY text) AS again FROM documents)")
+@query("h31_h32_text_and_revisits", "SELECT doc_id, CASE WHEN again THEN NULL WHEN lang = 'en' THEN NULL ELSE length(text) END AS content, CASE WHEN NOT again AND lang = 'en' THEN length(text) END AS text, CASE WHEN NOT again THEN n_chars END AS content_length, CASE WHEN again THEN source ELSE lang END AS content_type FROM (SELECT *, doc_id > min(doc_id) OVER (PARTITION BY text) AS again FROM documents)")
 def h31(spark, sf):
     """Revisits carry no text and no length; of originals the English texts are indexed but not stored."""
     d = table(spark, sf, "documents")
     d = d.join(d.groupBy("text").agg(F.min("doc_id").alias("first")), "text")
-    again, stored, size = F.col("doc_id") > F.col("first"), F.col("lang") != "en", F.length("text").cast("long")
-    return d.select("doc_id", F.when(~again & stored, size).alias("content"), F.when(~again & ~stored, size).alias("text"), F.when(~again, F.col("n_chars")).alias("content_length"))
+    rows = d.select("doc_id", F.when(F.col("doc_id") > F.col("first"), "revisit").otherwise("response").alias("record_type"), F.col("text").alias("content"), F.col("n_chars").alias("content_length"), F.col("lang").alias("content_type"), F.col("source").alias("content_type_served"), "lang")
+    out = G.with_stored_text(G.without_revisits(rows), True, F.col("lang") != "en")
+    return out.select("doc_id", F.length("content").cast("long").alias("content"), F.length("text").cast("long").alias("text"), "content_length", "content_type")
 
 
 @query("f66_f94_sizes_and_health", "SELECT p_partkey, p_size * (p_size + 1) AS pixels, CASE WHEN p_size > 0 THEN 100.0 * (p_size % 7) / p_size END AS free_percent FROM part")

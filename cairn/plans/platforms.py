@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import platforms as P
 from cairn.functions import redaction as R
+from cairn.operators import gates as T
 from cairn.operators import indexing as I
 from cairn.operators import social_json as J
 from cairn.plans.catalog import Catalog
@@ -283,12 +284,15 @@ def x12(spark, sf):
     return d.select("doc_id", P.shown_title(F.col("text")).alias("title"), F.length(F.left("text", F.lit(512 * 1024))).cast("long").alias("content"), F.length(F.left(F.concat(F.lit("http://h/"), "text"), F.lit(2048))).cast("long").alias("url"))
 
 
-@query("q16_q32_q35_payload_gates", "SELECT event_id, event_id % 6 NOT IN (1, 5) AS parsed, event_id % 6 = 3 AS empty_api, event_id % 6 IN (0, 2) AS analysed FROM events")
+@query("q16_q32_q35_payload_gates", r"""WITH m AS (SELECT doc_id, MAP {'en': 'text/html; charset=x', 'de': 'application/pdf', 'fr': 'Application/JSON', 'es': 'video/mp4'}[lang] AS mime, CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 0 ELSE n_chars END AS length FROM documents)
+SELECT doc_id, mime NOT LIKE 'video%' AS parsed, mime LIKE 'text%' AS html, mime = 'application/pdf' AS pdf, mime = 'Application/JSON' AND length = 0 AS empty_api FROM m""")
 def q16(spark, sf):
-    mime = _pick(*map(F.lit, ("text/html", "video/mp4", "application/pdf", "application/json", "text/plain")), F.lit(None).cast("string"))
-    allowed = mime.isNotNull() & ~F.coalesce(mime.rlike("video|audio"), F.lit(False))
-    gate = F.coalesce(F.startswith(mime, F.lit("text/html")) | F.startswith(mime, F.lit("application/pdf")) | F.startswith(mime, F.lit("application/xhtml+xml")), F.lit(False))
-    return _events(spark, sf).select("event_id", allowed.alias("parsed"), (F.coalesce(mime, F.lit("")) == "application/json").alias("empty_api"), gate.alias("analysed"))
+    """Types by language; copies of a text come back empty."""
+    d = table(spark, sf, "documents")
+    first = d.groupBy("text").agg(F.min("doc_id").alias("first"))
+    mime = F.create_map(*[F.lit(x) for x in ("en", "text/html; charset=x", "de", "application/pdf", "fr", "Application/JSON", "es", "video/mp4")])[F.col("lang")]
+    length = F.when(F.col("doc_id") > F.col("first"), 0).otherwise(F.col("n_chars"))
+    return d.join(first, "text").select("doc_id", T.parsed(mime, ("video", "audio")).alias("parsed"), T.taken_by(mime, "html").alias("html"), T.taken_by(mime, "pdf").alias("pdf"), T.empty_answer(F.lit("response"), mime, length).alias("empty_api"))
 
 
 @query("o03_o06_lists_and_scopes", "SELECT event_id, CASE WHEN event_type = 'view' THEN 'view,b' ELSE event_type || ',view,b' END AS once, event_type IN ('view', 'click') AND value <= 50 AS wanted FROM events")
