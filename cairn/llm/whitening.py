@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from cairn.llm.common import bounded_batches, written
+from cairn.llm.common import bounded_batches, temporary_tables, written
 
 SCALE, SHIFT = 64, 1_000_000
 COMPONENTS = 32
@@ -164,7 +164,12 @@ def tree_factor(vectors: DataFrame, fit: Fit, project: bool) -> np.ndarray:
 
 
 def fitted(vectors: DataFrame, components: int = COMPONENTS) -> Fit | None:
-    """Sums, directions and variances of vectors (vec_id, embedding), or None without any."""
+    """Sums, directions and variances of vectors (vec_id, embedding), or None without any; what was written for them is deleted."""
+    with temporary_tables(vectors.sparkSession):
+        return _fitted(vectors, components)
+
+
+def _fitted(vectors: DataFrame, components: int) -> Fit | None:
     fit = sums(vectors)
     if fit is None:
         return None
