@@ -31,14 +31,14 @@ X_RESERVED = (
 X_TABS = ("with_replies", "media", "highlights", "likes", "articles")
 
 
-def x_target(raw: Column) -> Column:
-    """struct(kind, key) of a handle, profile, post, hashtag or search; null for anything else."""
+def x_target(raw: Column, reserved: tuple[str, ...] = X_RESERVED) -> Column:
+    """struct(kind, key) of a handle, profile, post, hashtag or search; null for anything else, and for reserved names."""
     text = F.trim(raw)
     made = lambda kind, key: F.struct(F.lit(kind).alias("kind"), key.alias("key"))
     bare = ~F.contains(text, F.lit("/")) & ~F.contains(text, F.lit("?"))
     searched = F.nullif(F.trim(F.regexp_replace(text, "(?i)^search:", "")), F.lit(""))
     handle = F.regexp_replace(text, "^@+", "")
-    is_handle = lambda h: h.rlike("^[A-Za-z0-9_]{1,15}$") & ~F.lower(h).isin(*X_RESERVED)
+    is_handle = lambda h: h.rlike("^[A-Za-z0-9_]{1,15}$") & ~F.lower(h).isin(*reserved)
     full = F.when(F.contains(text, F.lit("://")), text).otherwise(F.concat(F.lit("https://"), text))
     host = F.lower(F.regexp_extract(full, r"^[a-zA-Z]+://([^/?#:]*)", 1))
     parts = F.filter(F.split(F.regexp_extract(full, r"^[a-zA-Z]+://[^/?#]*([^?#]*)", 1), "/"), lambda p: p != "")
