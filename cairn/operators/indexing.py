@@ -96,17 +96,13 @@ def media_urls(found: DataFrame, key: str, fields: tuple[str, ...], markers: tup
     return rows.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_p", "url"))), lambda x: x["url"]).alias("urls"))
 
 
-def nearest_ancestor(found: DataFrame, key: str, child: Column, ancestor: Column) -> DataFrame:
+def nearest_ancestor(found: DataFrame, key: str, child: Column) -> DataFrame:
     """(key, path, parent): for objects of a payload that are children, the id of the closest object above them that has one.
 
-    Paths above an object are spread out, so both meet by equality; a path has
-    few parts.
+    found: nodes with ids. The walk takes the id along on its way down, so that no
+    object has to be joined with those above it.
     """
-    children = found.where(child).select(key, F.col("path").alias("_own"), F.split("path", r"\.").alias("_p"))
-    above = children.select(key, "_own", F.explode(F.sequence(F.lit(0), F.size("_p") - 1)).alias("_n"), "_p").select(key, "_own", "_n", F.array_join(F.slice("_p", 1, F.col("_n")), ".").alias("path"))
-    ids = found.select(key, "path", ancestor.alias("_id")).where("_id IS NOT NULL")
-    best = above.join(ids, [key, "path"]).groupBy(key, "_own").agg(F.max_by("_id", "_n").alias("parent"))
-    return children.select(key, "_own").join(best, [key, "_own"], "left").select(key, F.col("_own").alias("path"), "parent")
+    return found.where(child).select(key, "path", F.col("above").alias("parent"))
 
 
 def page_infos(found: DataFrame, key: str) -> DataFrame:
