@@ -91,9 +91,9 @@ def media_urls(found: DataFrame, key: str, fields: tuple[str, ...], markers: tup
     marked = F.lit(False)
     for m in markers:
         marked = marked | F.contains("path", F.lit(m))
-    rows = rows.where(F.startswith("url", F.lit("http")) & marked).groupBy(key, "url").agg(F.min(F.struct("at", "i")).alias("o"))
-    rows = rows.withColumn("_p", F.row_number().over(W.partitionBy(key).orderBy("o"))).where(F.col("_p") <= most)
-    return rows.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_p", "url"))), lambda x: x["url"]).alias("urls"))
+    rows = rows.where(F.startswith("url", F.lit("http")) & marked).repartition(key)  # dealt by key once, for both steps
+    firsts = rows.groupBy(key, "url").agg(F.min(F.struct("at", "i")).alias("o"))
+    return firsts.groupBy(key).agg(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("o", "url"))), 1, most), lambda x: x["url"]).alias("urls"))
 
 
 def nearest_ancestor(found: DataFrame, key: str, child: Column) -> DataFrame:

@@ -31,3 +31,9 @@ def test_many_nodes_go_on_in_parts(spark, monkeypatch):
     rows = payloads(spark, *[[{"id": f"{i}-{j}"} for j in range(300)] for i in range(3)]).coalesce(1)
     monkeypatch.setattr(J, "CHARS", 1000)
     assert {(r.k, r.id) for r in J.nodes(rows, "body").select("k", F.get_json_object("node", "$.id").alias("id")).collect()} == {(i, f"{i}-{j}") for i in range(3) for j in range(300)}
+
+
+def test_media_in_order_and_up_to_most(spark):
+    rows = payloads(spark, {"image": [{"src": f"http://m/{i % 7}", "uri": "http://u"} for i in range(20)]}, {"other": {"src": "http://no"}})
+    found = J.nodes(rows, "body", fields=("src", "uri"))
+    assert [(r.k, r.urls) for r in I.media_urls(found, "k", ("src", "uri"), ("image",), 4).collect()] == [(0, ["http://m/0", "http://u", "http://m/1", "http://m/2"])]
