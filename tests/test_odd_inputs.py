@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import duckdb
+from pyspark.sql import functions as F
 
 from cairn import registry
+from cairn.functions import redaction as R
 
 
 def differing(spark, folder, name, table, rows, schema):
@@ -31,3 +33,12 @@ def test_long_numbers_are_no_statuses(spark, tmp_path):
     users = [2, 20, 29, 200, 299, 2000, 20_000, 29_999_999_999, 3, 300, 0, -2, -25, None]
     rows = [(i, u, k, p) for i, (u, k, p) in enumerate((u, k, p) for u in users for k in ("view", "error", "violet", "err", "VIEW", "purchase", "", None) for p in ('{"k": 7}', "", None))]
     assert differing(spark, tmp_path, "q10_q13_record_filters", "events", rows, "event_id long, user_id long, event_type string, props string") == [[], []]
+
+
+def test_requests_of_a_query_are_cleaned_in_one_worker(spark):
+    clean = R.redacted_requests(("pass",))
+    rows = spark.createDataFrame([(i, f'{{"pass":{i}}}', f"pass={i}") for i in range(1200)], "i long, a string, b string").coalesce(1)
+    none = F.lit(None).cast("string")
+    out = rows.select("i", clean(F.col("a"), none, none)["body"].alias("a"), clean(F.col("b"), none, none)["body"].alias("b"))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    assert {tuple(r)[1:] for r in out.collect()} == {('{"pass":"[REDACTED]"}', "pass=%5BREDACTED%5D")} and out.count() == 1200
