@@ -83,11 +83,19 @@ def a21(spark, sf):
 
 @query("k07_checksums", "SELECT sha256(string_agg(CAST(doc_id AS VARCHAR) || chr(10), '' ORDER BY doc_id)) AS sha256 FROM documents GROUP BY source, doc_id // 500")
 def k07(spark, sf):
-    """Checksums of files that hold the numbers of a source's documents."""
+    """Checksums of files that hold the numbers of a source's documents.
+
+    Each list is a file of one flat folder, not one in a folder of its own: those
+    would be made, moved and listed one by one. All cores make files, as lists are
+    short and would be put together in few tasks. Files move to their place as tasks
+    end, under names that a repeated task gives again; a task without lists may
+    leave an empty file.
+    """
     folder = shared_folder(spark, "sums")
     lists = table(spark, sf, "documents").groupBy("source", F.expr("doc_id div 500").alias("part")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string")), "\n").alias("value"))
-    lists.write.partitionBy("source", "part").text(folder)
-    return files.checksums(spark, folder).select("sha256")
+    dealt = lists.select("value", F.xxhash64("source", "part").alias("k")).repartition(2 * spark.sparkContext.defaultParallelism, "k").select("value")
+    dealt.write.option("maxRecordsPerFile", 1).option("mapreduce.fileoutputcommitter.algorithm.version", 2).text(folder)
+    return files.checksums(spark, folder).where(F.col("sha256") != F.sha2(F.lit("").cast("binary"), 256)).select("sha256")
 
 
 @query("f16_f54_f69_texts", r"""SELECT doc_id, 'http://h/' || doc_id AS uri, lower(trim(regexp_replace(text, '\s+', ' ', 'g'), ' ')) AS canonical, lower(lang) || '-8' AS charset, CAST(doc_id AS VARCHAR) AS widest FROM documents""")

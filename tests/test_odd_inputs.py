@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cairn import registry
 from cairn.functions import redaction as R
+from cairn.plans import inputs_read
 
 
 def differing(spark, folder, name, table, rows, schema):
@@ -42,3 +43,11 @@ def test_requests_of_a_query_are_cleaned_in_one_worker(spark):
     out = rows.select("i", clean(F.col("a"), none, none)["body"].alias("a"), clean(F.col("b"), none, none)["body"].alias("b"))
     assert out._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
     assert {tuple(r)[1:] for r in out.collect()} == {('{"pass":"[REDACTED]"}', "pass=%5BREDACTED%5D")} and out.count() == 1200
+
+
+def test_lists_are_files_of_one_folder(spark, tmp_path, monkeypatch):
+    folder = tmp_path / "sums"
+    monkeypatch.setattr(inputs_read, "shared_folder", lambda *_: str(folder))
+    docs = [(i, None if i % 3 == 0 else f"s{i % 3}") for i in range(0, 5000, 7)]
+    assert differing(spark, tmp_path, "k07_checksums", "documents", docs, "doc_id long, source string") == [[], []]
+    assert not [p for p in folder.iterdir() if p.is_dir()]
