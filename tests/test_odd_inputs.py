@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import duckdb
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from cairn import registry
+from cairn.functions import html as H
 from cairn.functions import redaction as R
 from cairn.plans import inputs_read
 
@@ -51,3 +53,9 @@ def test_lists_are_files_of_one_folder(spark, tmp_path, monkeypatch):
     docs = [(i, None if i % 3 == 0 else f"s{i % 3}") for i in range(0, 5000, 7)]
     assert differing(spark, tmp_path, "k07_checksums", "documents", docs, "doc_id long, source string") == [[], []]
     assert not [p for p in folder.iterdir() if p.is_dir()]
+
+
+def test_pages_are_read_in_parts(spark):
+    assert [p.num_rows for p in H.parts(pa.record_batch({"x": list(range(250))}))] == [100, 100, 50]
+    pages = spark.range(250).select("id", F.concat(F.lit("<p>"), F.col("id").cast("string")).alias("html")).coalesce(1)
+    assert {(r.id, r.text) for r in H.page_texts(pages, "html").select("id", "page.text").collect()} == {(i, str(i)) for i in range(250)}
